@@ -87,22 +87,27 @@ def keys_at_ranks(
     within: Sequence[str] = (),
     shift: int = LINE_SHIFT,
     few_groups: bool = False,
+    facts: Column | None = None,
 ) -> DataFrame:
     """(within, rank, key, tie): the rows that stand at the wanted 0-based ``ranks``.
 
-    ``ranks`` is an ``array<bigint>`` column and may use ``group_rows``, the size of the group.
+    ``ranks`` is an ``array<bigint>`` column and may use ``group_rows``, the size of the group, and
+    ``facts``, a scalar subquery.
     Comparing every row with such a border row then places it below or above the rank without
     moving it. Only ranges that hold a wanted rank are sorted. ``few_groups`` states that groups
     and ranks are a handful by construction, so the wanted ranges are broadcast; otherwise they are
     written first and Spark decides by their size.
     """
     bucket = F.shiftright(key, shift)
+    offsets = _range_offsets(rows, within, bucket)
+    if facts is not None:
+        offsets = offsets.withColumn("facts", facts)
     wanted = (
-        _range_offsets(rows, within, bucket)
+        offsets.withColumn("ranks", ranks)
         .withColumn(
             "wanted",
             F.filter(
-                ranks,
+                "ranks",
                 lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")),
             ),
         )

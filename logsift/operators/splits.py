@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.functions.numeric import hash_order
-from logsift.functions.text import bind
 from logsift.operators.labels import ANOMALOUS, UNLABELED
 from logsift.operators.ranking import HASH_SHIFT, global_rank, keys_at_ranks
 from logsift.sources.scratch import materialize
@@ -68,17 +67,19 @@ def force_ratio(rows: DataFrame, ratio: int, seed=10, y: str = "y") -> DataFrame
     if ratio <= 0:
         return rows
     ordered = rows.select("line_no", y, _order(seed).alias("key"))
-    keep = bind(
-        _class_sizes(rows, y),
-        lambda s: F.when(
-            s["n_pos"] * ratio <= s["n_unl"],
-            F.when(F.col(y) == ANOMALOUS, s["n_pos"]).otherwise(s["n_pos"] * ratio),
-        ).otherwise(
-            F.when(F.col(y) == ANOMALOUS, F.floor(s["n_unl"] / ratio)).otherwise(s["n_unl"])
-        ),
-    )
+    n_pos, n_unl, anomalous = F.col("facts.n_pos"), F.col("facts.n_unl"), F.col(y) == ANOMALOUS
+    keep = F.when(
+        n_pos * ratio <= n_unl, F.when(anomalous, n_pos).otherwise(n_pos * ratio)
+    ).otherwise(F.when(anomalous, F.floor(n_unl / ratio)).otherwise(n_unl))
     borders = keys_at_ranks(
-        ordered, "key", F.array(keep - 1), ("line_no",), [y], HASH_SHIFT, few_groups=True
+        ordered,
+        "key",
+        F.array(keep - 1),
+        ("line_no",),
+        [y],
+        HASH_SHIFT,
+        few_groups=True,
+        facts=_class_sizes(rows, y),
     )
     border = F.struct("key", "line_no")
     borders = borders.agg(
@@ -86,11 +87,11 @@ def force_ratio(rows: DataFrame, ratio: int, seed=10, y: str = "y") -> DataFrame
         F.max(F.when(F.col(y) == UNLABELED, border)).alias("unl"),
     ).select(F.struct("pos", "unl"))
     here = F.struct(_order(seed).alias("key"), F.col("line_no"))
-    kept = bind(
-        borders.scalar(),
-        lambda b: here <= F.when(F.col(y) == ANOMALOUS, b["pos"]).otherwise(b["unl"]),
+    return (
+        rows.withColumn("borders", borders.scalar())
+        .where(here <= F.when(anomalous, F.col("borders.pos")).otherwise(F.col("borders.unl")))
+        .drop("borders")
     )
-    return rows.where(kept)
 
 
 def shuffle_order(rows: DataFrame, seed=5) -> DataFrame:
@@ -112,34 +113,38 @@ def label_noise(rows: DataFrame, top: int, step: int, seed=5, y: str = "y") -> D
         y, "line_no", _order(seed).alias("key")
     )
 
-    def relabeled(sizes: Column, i: int) -> Column:
-        return F.least(F.floor(sizes["n_unl"] * i / (100 - i)), sizes["n_pos"])
+    def lost(sizes: str, i: int) -> Column:
+        n_unl, n_pos = F.col(f"{sizes}.n_unl"), F.col(f"{sizes}.n_pos")
+        return F.least(F.floor(n_unl * i / (100 - i)), n_pos)
 
-    last = bind(
-        _class_sizes(rows, y),
-        lambda s: F.array(*[relabeled(s, i) - 1 for i in levels]),
-    )
     borders = keys_at_ranks(
-        positives, "key", last, ("line_no",), [y], HASH_SHIFT, few_groups=True
+        positives,
+        "key",
+        F.array(*[lost("facts", i) - 1 for i in levels]),
+        ("line_no",),
+        [y],
+        HASH_SHIFT,
+        few_groups=True,
+        facts=_class_sizes(rows, y),
     )
-    border = F.map_from_entries(
+    by_rank = F.map_from_entries(
         F.collect_list(F.struct("rank", F.struct("key", "line_no").alias("border")))
     )
-    facts = F.struct(
-        _class_sizes(rows, y).alias("sizes"), borders.agg(border).scalar().alias("borders")
-    )
     here = F.struct(_order(seed).alias("key"), F.col("line_no"))
 
-    def level(f: Column, i: int) -> Column:
-        border = F.try_element_at(f["borders"], relabeled(f["sizes"], i) - 1)
-        lost = (F.col(y) == ANOMALOUS) & F.coalesce(here <= border, F.lit(False))
+    def level(i: int) -> Column:
+        border = F.try_element_at("borders", lost("sizes", i) - 1)
+        gone = (F.col(y) == ANOMALOUS) & F.coalesce(here <= border, F.lit(False))
         return F.struct(
             F.lit(i).alias("percentage"),
-            F.when(lost, F.lit(UNLABELED)).otherwise(F.col(y)).alias("y_noisy"),
+            F.when(gone, F.lit(UNLABELED)).otherwise(F.col(y)).alias("y_noisy"),
         )
 
-    noisy = bind(facts, lambda f: F.array(*[level(f, i) for i in levels]))
-    return rows.select("*", F.inline(noisy))
+    return (
+        rows.withColumn("sizes", _class_sizes(rows, y))
+        .withColumn("borders", borders.agg(by_rank).scalar())
+        .select(*rows.columns, F.inline(F.array(*[level(i) for i in levels])))
+    )
 
 
 def holdout_split(rows: DataFrame, ratio: float = 0.1, seed=0, y: str = "y") -> DataFrame:
