@@ -33,3 +33,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/logsift/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Spread rows by ``key`` when the scan has fewer tasks than the cluster has cores.
+
+    Helps files that cannot be split: one row group, one gzip member. Large inputs have more
+    splits than cores and pass unchanged.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows

@@ -23,7 +23,7 @@ def one(spark, value, column):
         ("at 10.0.16.7 and 1.2. left", "at and left"),
         ("23:59:01 boot (cpu0) [done]", "boot done"),
         ("a:b:c tail", "c tail"),
-        ("::x:y z", "y z"),
+        ("::x:y z", "z"),
         ("path/to-file=x<y>.z", "path to file x y z"),
         (
             'RAS:3 { Jan 01 00:08:25 10.0.16.7 KERNEL INFO : node:card-16 view handler() failed '
@@ -43,7 +43,7 @@ def test_free_colons(spark):
 
 def test_long_tokens_stay_linear(spark):
     blob = "1" * 200_000 + " " + "x" * 200_000 + " " + "a:" * 50_000 + " end"
-    assert one(spark, blob, T.clean_parameters) == "x" * 200_000 + " end"
+    assert one(spark, blob, T.clean_parameters) == "x" * 200_000 + " a end"
 
 
 def test_strip_and_tokens(spark):
@@ -74,9 +74,6 @@ def test_ngrams(spark, line, n, expected):
     assert one(spark, line, lambda c: T.ngrams(T.tokens(c), n)) == expected
 
 
-BGL = "- 1117838570 2005.06.03 R02-M1-N0-C:J12-U11 2005-06-03 RAS KERNEL {sev} {body}"
-
-
 def bgl(spark, *lines):
     raw = spark.createDataFrame(list(enumerate(lines)), "line_no bigint, raw string")
     return [tuple(r) for r in P.preprocess_bgl(raw).orderBy("line_no").collect()]

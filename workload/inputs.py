@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions import text as T
 from logsift.operators.labels import encode_labels
-from logsift.sources.scratch import materialize
+from logsift.sources.scratch import materialize, spread
 
 HEALTHY_SOURCE = "src0"
 HEALTHY_EVENT = "view"
@@ -27,8 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def log_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return (
-        table(spark, sf_dir, "documents")
+        spread(texts, "doc_id")
         .select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
         .select(
             (F.col("doc_id") * LINES_PER_DOC + F.col("pos")).alias("line_no"),
@@ -60,13 +61,13 @@ DUCK_HEX = "' x''00ff'' after hex dump of the card register'"
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    return spread(table(spark, sf_dir, "events"), "event_id").selectExpr(
         "event_id AS line_no", "event_type AS label", EVENT_LINE.format(ts=SPARK_TS) + " AS raw"
     )
 
 
 def log_bgl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    return spread(table(spark, sf_dir, "events"), "event_id").selectExpr(
         "event_id AS line_no", BGL_LINE.format(ts=SPARK_TS, hex=SPARK_HEX) + " AS raw"
     )
 
