@@ -6,6 +6,8 @@ shuffled for it, and a class that makes up most of the data is no special case.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,15 +102,16 @@ def shuffle_order(rows: DataFrame, seed=5) -> DataFrame:
     return global_rank(keyed, "key", ("line_no",), shift=HASH_SHIFT, name="place").drop("key")
 
 
-def label_noise(rows: DataFrame, top: int, step: int, seed=5, y: str = "y") -> DataFrame:
-    """Rows for each noise level 0, step, ... below ``top`` percent, with ``y_noisy``.
+def noisy_labels(
+    rows: DataFrame, levels: Sequence[int], seed=5, y: str = "y", name: str = "noisy"
+) -> DataFrame:
+    """Add an array with the label of the row at each noise level.
 
     At i percent, ``i * unlabeled // (100 - i)`` positives, or all if there are fewer, are
     relabeled as unlabeled. Each level starts from the clean labels.
     """
-    levels = [i for i in range(0, top, step)]
-    if any(i >= 100 for i in levels):
-        raise ValueError("noise levels must stay below 100 percent")
+    if any(not 0 <= i < 100 for i in levels):
+        raise ValueError("noise levels must be at least 0 and below 100 percent")
     positives = rows.where(F.col(y) == ANOMALOUS).select(
         y, "line_no", _order(seed).alias("key")
     )
@@ -132,19 +135,26 @@ def label_noise(rows: DataFrame, top: int, step: int, seed=5, y: str = "y") -> D
     )
     here = F.struct(_order(seed).alias("key"), F.col("line_no"))
 
-    def level(i: int) -> Column:
+    def label_at(i: int) -> Column:
         border = F.try_element_at("borders", lost("sizes", i) - 1)
         gone = (F.col(y) == ANOMALOUS) & F.coalesce(here <= border, F.lit(False))
-        return F.struct(
-            F.lit(i).alias("percentage"),
-            F.when(gone, F.lit(UNLABELED)).otherwise(F.col(y)).alias("y_noisy"),
-        )
+        return F.when(gone, F.lit(UNLABELED)).otherwise(F.col(y))
 
     return (
         rows.withColumn("sizes", _class_sizes(rows, y))
         .withColumn("borders", borders.agg(by_rank).scalar())
-        .select(*rows.columns, F.inline(F.array(*[level(i) for i in levels])))
+        .select(*rows.columns, F.array(*[label_at(i) for i in levels]).alias(name))
+    )
+
+
+def label_noise(rows: DataFrame, top: int, step: int, seed=5, y: str = "y") -> DataFrame:
+    """Rows for each noise level 0, step, ... below ``top`` percent, with ``y_noisy``."""
+    levels = list(range(0, top, step))
+    noisy = noisy_labels(rows, levels, seed, y)
+    pairs = F.arrays_zip(
+        F.array(*[F.lit(i) for i in levels]).alias("percentage"), F.col("noisy").alias("y_noisy")
     )
+    return noisy.select(*rows.columns, F.inline(pairs).alias("percentage", "y_noisy"))
 
 
 def holdout_split(rows: DataFrame, ratio: float = 0.1, seed=0, y: str = "y") -> DataFrame:
