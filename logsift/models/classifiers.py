@@ -23,15 +23,20 @@ from logsift.registry import binary_models, multi_models
 from logsift.sources.stores import load_run, save_run
 
 
-def training_rows(rows: DataFrame, *columns: str) -> DataFrame:
+ROWS_PER_TASK = 50_000
+
+
+def training_rows(rows: DataFrame, n_rows: int, *columns: str) -> DataFrame:
     """Rows in a reproducible layout: MLlib's bootstrap depends on partitions and their order.
 
-    Hashing a unique line number spreads any class evenly.
+    Hashing a unique line number spreads any class evenly. Iterative fits start a job per pass, so
+    small data gets few tasks; large data gets as many as the session's shuffles.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(most, math.ceil(n_rows / ROWS_PER_TASK)))
     return (
         rows.select("line_no", "y", "features", *columns)
-        .repartition(n, "line_no")
+        .repartition(tasks, "line_no")
         .sortWithinPartitions("line_no")
         .withColumn("label", F.when(F.col("y") == ANOMALOUS, 1.0).otherwise(0.0))
     )
@@ -56,7 +61,7 @@ class Detector(Estimator):
         self.base = base
 
     def _fit(self, rows: DataFrame) -> DetectorModel:
-        train = training_rows(rows).persist()
+        train = training_rows(rows, rows.count()).persist()
         try:
             return DetectorModel(self.base.fit(train))
         finally:
@@ -96,12 +101,12 @@ class PULearningClassifier(Estimator):
         self.seed = seed
 
     def _fit(self, rows: DataFrame) -> PULearningModel:
-        n_pos = rows.where(F.col("y") == ANOMALOUS).count()
+        n_rows, n_pos = rows.agg(F.count("*"), F.count_if(F.col("y") == ANOMALOUS)).first()
         needed = math.ceil(n_pos * self.hold_out_ratio)
         if n_pos <= needed:
             raise ValueError(f"need more than {needed} positive rows, got {n_pos}")
         split = holdout_split(rows.select("line_no", "y", "features"), self.hold_out_ratio, self.seed)
-        split = training_rows(split, "is_holdout").persist()
+        split = training_rows(split, n_rows, "is_holdout").persist()
         try:
             model = self.base.fit(split.where("NOT is_holdout"))
             c = pu_constant(_probability_one(model, split.where("is_holdout"))).first().c
@@ -147,12 +152,15 @@ class SvmClassifier(Estimator):
         self.svc_params = params
 
     def _fit(self, rows: DataFrame) -> SvmModel:
-        train = training_rows(rows).drop("label").persist()
+        n_rows = rows.count()
+        train = training_rows(rows, n_rows).drop("label").persist()
         try:
-            # Unit loss weight per line against 1/2 |w|^2, in MLlib's scale.
+            # Unit loss weight per line against 1/2 |w|^2, in MLlib's scale. The loose tolerance
+            # asks for a rough optimum, which a few passes reach; each pass is a line search.
             params = {
                 "tol": 0.1,
-                "regParam": 1.0 / max(train.count(), 1),
+                "maxIter": 10,
+                "regParam": 1.0 / max(n_rows, 1),
                 "standardization": False,
                 **self.svc_params,
             }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.functions import text as T
+from logsift.models.features import FeatureExtractor, FeatureModel
 from logsift.operators import features as FE
 from logsift.operators import labels as L
 from logsift.operators import preprocess as P
@@ -16,6 +17,8 @@ from logsift.operators import pu
 from logsift.operators import reports as R
 from logsift.operators import splits as S
 from logsift.operators import vocabulary as V
+from logsift.plans import jobs
+from logsift.registry import binary_models, multi_models
 from logsift.sources import files, stores
 from logsift.sources.scratch import materialize, scratch_dir
 from workload import inputs as I
@@ -684,3 +687,139 @@ def weighted_terms(spark, sf_dir):
         F.round("ilf", 6).alias("ilf"),
         F.round(F.col("tf") * F.col("ilf"), 6).alias("tfilf"),
     )
+
+
+# -- report set ---------------------------------------------------------------------------------------
+
+
+@query(
+    "report_set",
+    f"""SELECT 'macro' AS report, round(avg(2 * tp / (2 * tp + fp + fn)::DOUBLE), 6) AS value
+    FROM ({PER_LABEL})
+    UNION ALL SELECT 'micro', round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))::DOUBLE, 6)
+    FROM ({PER_LABEL})
+    UNION ALL SELECT 'multi_acc', round(avg((y = pred)::INT::DOUBLE), 6) FROM order_preds""",
+    "order_preds",
+)
+def report_set(spark, sf_dir):
+    """All reports that suit several classes; "acc" is asked for too but needs two classes."""
+    preds = I.order_predictions(spark, sf_dir)
+    found = R.run_reports(["acc", "macro", "micro", "multi_acc"], multi=preds)
+    rows = None
+    for (_, name), report in found.items():
+        row = report.select(F.lit(name).alias("report"), F.round(report[0], 6).alias("value"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@query(
+    "feature_store",
+    "SELECT token, idx, df, lf, round(idf, 6) AS idf, round(ilf, 6) AS ilf FROM weights",
+    *WEIGHTS,
+)
+def feature_store(spark, sf_dir):
+    """Vocabulary and weights saved by a feature model and loaded again."""
+    path = temp_path(spark, "features")
+    FeatureExtractor(["tfidf", "tfilf"]).fit(I.clean_lines(I.log_docs(spark, sf_dir))).save(path)
+    weights = FeatureModel.load(spark, path).weights
+    return weights.select(
+        "token", "idx", "df", "lf", F.round("idf", 6).alias("idf"), F.round("ilf", 6).alias("ilf")
+    )
+
+
+# -- models: no SQL counterpart, tested on separable lines instead --------------------------------------
+
+
+def _event_corpus(spark, sf_dir) -> DataFrame:
+    """Event lines; ``view`` is the healthy label, the other four types are the anomalies."""
+    lines = I.clean_lines(I.log_events(spark, sf_dir))
+    corpus = lines.select("line_no", "label", F.array_join("tokens", " ").alias("message"))
+    return materialize(corpus, "event-corpus")
+
+
+def _bgl_corpus(spark, sf_dir) -> DataFrame:
+    return materialize(P.preprocess_bgl(I.log_bgl(spark, sf_dir)), "bgl-corpus")
+
+
+def _vectors(corpus: DataFrame, healthy: str) -> DataFrame:
+    rows, _ = jobs.prepare(corpus, healthy)
+    rows = materialize(rows, "rows")
+    return FeatureExtractor(["tfilf", "length"]).fit(rows).transform(rows)
+
+
+def _detect(name: str) -> Query:
+    def run(spark, sf_dir):
+        rows = _vectors(_bgl_corpus(spark, sf_dir), "unlabeled")
+        rows = rows.withColumn("y", L.binary_truth(F.col("y")))
+        return binary_models[name]().fit(rows).transform(rows).select("line_no", "y", "pred")
+
+    return run
+
+
+query("pu_detect")(_detect("pu_learning"))
+query("rf_baseline")(_detect("regular"))
+
+
+@query("svm_classify")
+def svm_classify(spark, sf_dir):
+    rows = L.anomalous_only(_vectors(_event_corpus(spark, sf_dir), I.HEALTHY_EVENT))
+    return multi_models["svm"]().fit(rows).transform(rows).select("line_no", "y", "pred")
+
+
+@query("train_global")
+def train_global(spark, sf_dir):
+    return jobs.train_global(_event_corpus(spark, sf_dir), I.HEALTHY_EVENT).results
+
+
+@query("score_global")
+def score_global(spark, sf_dir):
+    corpus, path = _event_corpus(spark, sf_dir), temp_path(spark, "run")
+    jobs.train_global(corpus, I.HEALTHY_EVENT, k=2, path=path)
+    return jobs.score_global(corpus, path).multi
+
+
+@query("train_binary")
+def train_binary(spark, sf_dir):
+    return jobs.train_binary(_bgl_corpus(spark, sf_dir), "unlabeled").results
+
+
+@query("score_binary")
+def score_binary(spark, sf_dir):
+    corpus, path = _bgl_corpus(spark, sf_dir), temp_path(spark, "run")
+    jobs.train_binary(corpus, "unlabeled", k=2, path=path)
+    return jobs.score_binary(corpus, path).binary
+
+
+@query("train_multi")
+def train_multi(spark, sf_dir):
+    return jobs.train_multi(_event_corpus(spark, sf_dir), I.HEALTHY_EVENT, swap=True).results
+
+
+@query("pu_robustness")
+def pu_robustness(spark, sf_dir):
+    corpus = _bgl_corpus(spark, sf_dir)
+    return jobs.pu_robustness(corpus, "unlabeled", ratio=1, step=5, k=2).results
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark, sf_dir):
+    """Predictions of the trained models that the saved and loaded ones disagree with, per task."""
+    corpus, path = _event_corpus(spark, sf_dir), temp_path(spark, "run")
+    run = jobs.train_global(corpus, I.HEALTHY_EVENT, k=2, path=path)
+    loaded = jobs.load_models(spark, path)
+    rows, _ = jobs.prepare(corpus, I.HEALTHY_EVENT)
+    found = []
+    for task in ("binary", "multi"):
+        before = run.models[task].transform(run.models["features"].transform(rows))
+        after = loaded[task].transform(loaded["features"].transform(rows))
+        pairs = before.select("line_no", "pred").join(
+            after.select("line_no", F.col("pred").alias("again")), "line_no"
+        )
+        found.append(
+            pairs.agg(
+                F.lit(task).alias("task"),
+                F.count("*").alias("n"),
+                F.count_if(F.col("pred") != F.col("again")).alias("n_different"),
+            )
+        )
+    return found[0].unionByName(found[1])
