@@ -76,14 +76,15 @@ def term_counts(words: Column) -> Column:
 def token_places(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Occurrences combined per (by..., token, pos), from ``(by..., line_no, tokens)``.
 
-    Lines without tokens are counted under a NULL token.
+    ``first_line`` is the first line in which the position is the token's leftmost one. Lines
+    without tokens are counted under a NULL token.
     """
     return (
         lines.select(*by, "line_no", F.inline_outer(_occurrences(F.col("tokens"))))
         .groupBy(*by, "token", "pos")
         .agg(
             F.count_if("lead").alias("df"),
-            F.min("line_no").alias("first_line"),
+            F.min(F.when(F.col("lead"), F.col("line_no"))).alias("first_line"),
             F.max(F.coalesce("len", F.lit(0))).alias("max_len"),
             F.count("*").alias("n"),
         )
@@ -115,6 +116,9 @@ def token_stats(places: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per token: ``df`` = lines with it, ``lf`` = different positions it takes, ``first_line`` and
     ``first_pos`` = where it is first seen, ``n_lines`` = lines that start with it (so the sum is
     the number of lines) and ``max_len`` = longest line with it.
+
+    A token has one leftmost position per line, so the smallest ``first_line`` is unique and plain
+    ``min_by`` finds its position; all buffers are primitive, so this stays a hash aggregation.
     """
     starts = (F.col("pos") == 0) | F.col("pos").isNull()
     return (
@@ -122,20 +126,11 @@ def token_stats(places: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .agg(
             F.sum("df").alias("df"),
             F.count("pos").alias("lf"),
-            F.min(F.struct("first_line", "pos")).alias("first"),
+            F.min_by("pos", "first_line").alias("first_pos"),
+            F.min("first_line").alias("first_line"),
             F.sum(F.when(starts, F.col("n")).otherwise(0)).alias("n_lines"),
             F.max("max_len").cast("bigint").alias("max_len"),
         )
-        .select(
-            *by,
-            "token",
-            "df",
-            "lf",
-            F.col("first.first_line").alias("first_line"),
-            F.col("first.pos").alias("first_pos"),
-            "n_lines",
-            "max_len",
-        )
     )
 
 

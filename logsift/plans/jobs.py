@@ -10,7 +10,9 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,17 @@ def predict_timed(model, rows: DataFrame, **columns):
     return timed(materialize, preds, "predictions")
 
 
+def _each_fold(fit, feature_models: Sequence[FeatureModel], parallelism: int) -> list:
+    """``fit(fold, feature_model)`` for every fold, up to ``parallelism`` at a time.
+
+    The fits are independent Spark jobs; overlapping them fills the gaps between short stages, at
+    the price of holding that many training sets.
+    """
+    spark = feature_models[0].weights.sparkSession
+    with ThreadPool(max(1, min(parallelism, len(feature_models)))) as pool:
+        return pool.starmap(inheritable_thread_target(spark)(fit), enumerate(feature_models))
+
+
 def _union(tables: Sequence[DataFrame]) -> DataFrame:
     whole = tables[0]
     for table in tables[1:]:
@@ -112,20 +125,21 @@ def train_binary(
     binary_classifier: str = "pu_learning",
     reports: Sequence[str] = ("confusion_matrix",),
     path: str | None = None,
+    parallelism: int = 1,
     **params,
 ) -> Run:
     """Cross-validated anomaly detection; the fold with the best F1 is kept."""
     rows, _, feature_models = _folded(corpus, healthy, k, False, features)
     rows = _as_binary(rows)
-    preds, times, models = [], [], []
-    for fold, feature_model in enumerate(feature_models):
+
+    def fit(fold, feature_model):
         train = feature_model.transform(S.train_part(rows, fold))
         model, train_time = fit_timed(binary_models[binary_classifier](**params), train)
         test = feature_model.transform(S.test_part(rows, fold))
         found, run_time = predict_timed(model, test, fold=fold)
-        preds.append(found)
-        models.append(model)
-        times.append((fold, train_time, run_time))
+        return model, found, (fold, train_time, run_time)
+
+    models, preds, times = zip(*_each_fold(fit, feature_models, parallelism), strict=True)
     preds = _union(preds)
     results = R.f1_binary(preds, ["fold"]).join(_times_table(rows.sparkSession, times), "fold")
     results = materialize(results.coalesce(1), "results")
@@ -153,23 +167,24 @@ def train_global(
     path: str | None = None,
     binary_params: dict | None = None,
     multi_params: dict | None = None,
+    parallelism: int = 1,
 ) -> Run:
     """Cross-validated detection and classification; best F1 wins, then best accuracy."""
     rows, classes, feature_models = _folded(corpus, healthy, k, False, features)
-    spark = rows.sparkSession
-    binary_preds, multi_preds, models = [], [], []
-    for fold, feature_model in enumerate(feature_models):
+
+    def fit(fold, feature_model):
         train = feature_model.transform(S.train_part(rows, fold))
         test = feature_model.transform(S.test_part(rows, fold))
-        detector, _ = fit_timed(
-            binary_models[binary_classifier](**(binary_params or {})), _as_binary(train)
-        )
-        binary_preds.append(predict_timed(detector, _as_binary(test), fold=fold)[0])
-        classifier, _ = fit_timed(
-            multi_models[multi_classifier](**(multi_params or {})), anomalous_only(train)
-        )
-        multi_preds.append(predict_timed(classifier, anomalous_only(test), fold=fold)[0])
-        models.append((detector, classifier))
+        detector = binary_models[binary_classifier](**(binary_params or {}))
+        detector, _ = fit_timed(detector, _as_binary(train))
+        classifier = multi_models[multi_classifier](**(multi_params or {}))
+        classifier, _ = fit_timed(classifier, anomalous_only(train))
+        detected, _ = predict_timed(detector, _as_binary(test), fold=fold)
+        classified, _ = predict_timed(classifier, anomalous_only(test), fold=fold)
+        return (detector, classifier), detected, classified
+
+    fitted = _each_fold(fit, feature_models, parallelism)
+    models, binary_preds, multi_preds = zip(*fitted, strict=True)
     binary_preds, multi_preds = _union(binary_preds), _union(multi_preds)
     results = R.f1_binary(binary_preds, ["fold"]).join(R.accuracy(multi_preds, ["fold"]), "fold")
     results = materialize(results.coalesce(1), "results")
@@ -285,21 +300,22 @@ def train_multi(
     path: str | None = None,
     exp_name: str = "multi",
     logs_type: str = "logs",
+    parallelism: int = 1,
     **params,
 ) -> Run:
     """Cross-validated classification of anomalous lines; ``swap`` trains on one fold only."""
     rows, classes, feature_models = _folded(corpus, healthy, k, swap, features)
-    preds, times, models = [], [], []
-    for fold, feature_model in enumerate(feature_models):
+
+    def fit(fold, feature_model):
         train = anomalous_only(S.train_part(rows, fold, swap))
         test = anomalous_only(S.test_part(rows, fold, swap))
         model, train_time = fit_timed(
             multi_models[multi_classifier](**params), feature_model.transform(train)
         )
         found, run_time = predict_timed(model, feature_model.transform(test), fold=fold)
-        preds.append(found)
-        models.append(model)
-        times.append((fold, train_time, run_time))
+        return model, found, (fold, train_time, run_time)
+
+    models, preds, times = zip(*_each_fold(fit, feature_models, parallelism), strict=True)
     preds = _union(preds)
     results = (
         R.f1_macro(preds, ["fold"])
@@ -341,6 +357,7 @@ def pu_robustness(
     path: str | None = None,
     exp_name: str = "pu_robustness",
     logs_type: str = "logs",
+    parallelism: int = 1,
     **params,
 ) -> Run:
     """F1 of positive-unlabeled learning and of a plain classifier as labels get lost.
@@ -354,20 +371,24 @@ def pu_robustness(
     weights = fit_split_weights(rows, k)
     levels = list(range(0, top_percentage, step))
     names = {"pu_f1": "pu_learning", f"{binary_classifier}_f1": binary_classifier}
-    preds = []
-    for fold in range(k):
-        feature_model = split_model(weights, fold, features)
+
+    def sweep(fold, feature_model):
         train = materialize(S.noisy_labels(S.train_part(rows, fold), levels), "noisy")
         train = feature_model.transform(train).persist()
         test = feature_model.transform(S.test_part(rows, fold)).persist()
+        found = []
         for at, level in enumerate(levels):
             noisy = train.withColumn("y", F.col("noisy")[at])
             for score, name in names.items():
                 model = binary_models[name](**params).fit(noisy)
-                found, _ = predict_timed(model, test, fold=fold, percentage=level, score=score)
-                preds.append(found)
+                columns = {"fold": fold, "percentage": level, "score": score}
+                found.append(predict_timed(model, test, **columns)[0])
         train.unpersist()
         test.unpersist()
+        return found
+
+    feature_models = [split_model(weights, fold, features) for fold in range(k)]
+    preds = [p for found in _each_fold(sweep, feature_models, parallelism) for p in found]
     scores = R.f1_binary(_union(preds), ["fold", "percentage", "score"])
     results = (
         scores.groupBy("fold", "percentage")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from logsift.operators import vocabulary as V
 from logsift.plans import jobs
 from logsift.registry import binary_models, multi_models
 from logsift.sources import files, stores
-from logsift.sources.scratch import materialize, scratch_dir
+from logsift.sources.scratch import materialize, scratch_path
 from workload import inputs as I
 from workload.inputs import duck_clean_tokens, duck_strip, duck_tokens, with_ctes
 
@@ -42,10 +41,6 @@ def query(name: str, sql: str | None = None, *ctes: str):
     return add
 
 
-def temp_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/logsift/{name}-{uuid.uuid4().hex}"
-
-
 DOCS = ("log_docs", "docs")
 WEIGHTS = (*DOCS, "words", "totals", "vocab", "weights")
 TERMS = (*WEIGHTS, "terms")
@@ -627,7 +622,7 @@ def best_fold(spark, sf_dir):
 )
 def raw_scan(spark, sf_dir):
     """Event lines written as text files and read back with line numbers."""
-    path = temp_path(spark, "raw")
+    path = scratch_path(spark, "raw")
     lines = I.log_events(spark, sf_dir)
     lines.repartitionByRange("line_no").sortWithinPartitions("line_no").select("raw").write.text(
         path
@@ -643,7 +638,7 @@ def raw_scan(spark, sf_dir):
 )
 def corpus_text(spark, sf_dir):
     """The cleaned corpus written as latin-1 text and parsed back."""
-    path = temp_path(spark, "corpus")
+    path = scratch_path(spark, "corpus")
     corpus = I.clean_lines(I.log_docs(spark, sf_dir)).select(
         "line_no", "label", F.array_join("tokens", " ").alias("message")
     )
@@ -662,7 +657,7 @@ def results_csv(spark, sf_dir):
     """Scores per fold written as CSV and read back."""
     folds = S.stratified_kfold(I.order_predictions(spark, sf_dir), 5)
     scores = R.accuracy(folds, ["fold"]).select("fold", F.round("accuracy", 6).alias("accuracy"))
-    path = temp_path(spark, "results")
+    path = scratch_path(spark, "results")
     stores.save_results(scores, path)
     return stores.load_results(spark, path, "fold BIGINT, accuracy DOUBLE")
 
@@ -719,7 +714,7 @@ def report_set(spark, sf_dir):
 )
 def feature_store(spark, sf_dir):
     """Vocabulary and weights saved by a feature model and loaded again."""
-    path = temp_path(spark, "features")
+    path = scratch_path(spark, "features")
     FeatureExtractor(["tfidf", "tfilf"]).fit(I.clean_lines(I.log_docs(spark, sf_dir))).save(path)
     weights = FeatureModel.load(spark, path).weights
     return weights.select(
@@ -768,44 +763,49 @@ def svm_classify(spark, sf_dir):
 
 @query("train_global")
 def train_global(spark, sf_dir):
-    return jobs.train_global(_event_corpus(spark, sf_dir), I.HEALTHY_EVENT).results
+    return jobs.train_global(
+        _event_corpus(spark, sf_dir), I.HEALTHY_EVENT, parallelism=3
+    ).results
 
 
 @query("score_global")
 def score_global(spark, sf_dir):
-    corpus, path = _event_corpus(spark, sf_dir), temp_path(spark, "run")
-    jobs.train_global(corpus, I.HEALTHY_EVENT, k=2, path=path)
+    corpus, path = _event_corpus(spark, sf_dir), scratch_path(spark, "run")
+    jobs.train_global(corpus, I.HEALTHY_EVENT, k=2, path=path, parallelism=2)
     return jobs.score_global(corpus, path).multi
 
 
 @query("train_binary")
 def train_binary(spark, sf_dir):
-    return jobs.train_binary(_bgl_corpus(spark, sf_dir), "unlabeled").results
+    return jobs.train_binary(_bgl_corpus(spark, sf_dir), "unlabeled", parallelism=3).results
 
 
 @query("score_binary")
 def score_binary(spark, sf_dir):
-    corpus, path = _bgl_corpus(spark, sf_dir), temp_path(spark, "run")
-    jobs.train_binary(corpus, "unlabeled", k=2, path=path)
+    corpus, path = _bgl_corpus(spark, sf_dir), scratch_path(spark, "run")
+    jobs.train_binary(corpus, "unlabeled", k=2, path=path, parallelism=2)
     return jobs.score_binary(corpus, path).binary
 
 
 @query("train_multi")
 def train_multi(spark, sf_dir):
-    return jobs.train_multi(_event_corpus(spark, sf_dir), I.HEALTHY_EVENT, swap=True).results
+    corpus = _event_corpus(spark, sf_dir)
+    return jobs.train_multi(corpus, I.HEALTHY_EVENT, swap=True, parallelism=3).results
 
 
 @query("pu_robustness")
 def pu_robustness(spark, sf_dir):
     corpus = _bgl_corpus(spark, sf_dir)
-    return jobs.pu_robustness(corpus, "unlabeled", ratio=1, step=5, k=2).results
+    return jobs.pu_robustness(
+        corpus, "unlabeled", ratio=1, step=5, k=2, parallelism=2
+    ).results
 
 
 @query("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
     """Predictions of the trained models that the saved and loaded ones disagree with, per task."""
-    corpus, path = _event_corpus(spark, sf_dir), temp_path(spark, "run")
-    run = jobs.train_global(corpus, I.HEALTHY_EVENT, k=2, path=path)
+    corpus, path = _event_corpus(spark, sf_dir), scratch_path(spark, "run")
+    run = jobs.train_global(corpus, I.HEALTHY_EVENT, k=2, path=path, parallelism=2)
     loaded = jobs.load_models(spark, path)
     rows, _ = jobs.prepare(corpus, I.HEALTHY_EVENT)
     found = []
