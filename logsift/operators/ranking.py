@@ -34,8 +34,8 @@ def _range_offsets(rows: DataFrame, within: Sequence[str], bucket: Column) -> Da
         counts.groupBy(*within, "coarse")
         .agg(F.sum("n").alias("coarse_n"))
         .select(
-            *within,
-            "coarse",
+            *[F.col(c).alias(f"coarse_{c}") for c in within],
+            F.col("coarse").alias("coarse_key"),
             F.coalesce(F.sum("coarse_n").over(lower), F.lit(0)).alias("coarse_start"),
             F.sum("coarse_n").over(group).alias("group_rows"),
         )
@@ -45,9 +45,14 @@ def _range_offsets(rows: DataFrame, within: Sequence[str], bucket: Column) -> Da
         .orderBy("bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    # Null-safe, so that no null filter is pushed into one branch only: both branches then share
+    # the shuffle of the counts and the rows are scanned once.
+    same = F.col("coarse").eqNullSafe(F.col("coarse_key"))
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"coarse_{c}"))
     return (
         counts.withColumn("fine_start", F.coalesce(F.sum("n").over(lower), F.lit(0)))
-        .join(coarse, [*within, "coarse"])
+        .join(coarse, same)
         .select(
             *within,
             "bucket",
