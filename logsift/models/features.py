@@ -87,7 +87,7 @@ class FeatureModel(Model):
         vectors = self._stages.transform(lines)
         for name in self.names:
             if not isinstance(features[name], TermFeature):
-                value = features[name].value(F.unwrap_udt("counts")["values"])
+                value = features[name].of_array(F.unwrap_udt("counts")["values"])
                 vectors = vectors.withColumn(f"block_{name}", value)
         blocks = [f"block_{name}" for name in self.names]
         assembler = VectorAssembler(inputCols=blocks, outputCol="features")

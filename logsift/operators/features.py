@@ -34,9 +34,14 @@ class TermFeature:
 
 @dataclass(frozen=True)
 class LineFeature:
-    """One column per line, from the array of its in-vocabulary term counts."""
+    """One column per line, from the counts of its in-vocabulary terms.
 
-    value: Callable[[Column], Column]
+    The same value is stated as an aggregate over term rows and as a function of the count array,
+    for the long form and for vectors.
+    """
+
+    of_rows: Callable[[Column], Column]
+    of_array: Callable[[Column], Column]
 
 
 # The feature names. "tf" is the number of lines with the token.
@@ -45,7 +50,9 @@ features.register("tfilf", TermFeature("ilf"))
 features.register("tf", TermFeature("df", binary=True))
 features.register(
     "length",
-    LineFeature(lambda counts: F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)),
+    LineFeature(
+        F.sum, lambda counts: F.aggregate(counts, F.lit(0.0), lambda total, n: total + n)
+    ),
 )
 
 
@@ -55,14 +62,14 @@ def known_terms(lines: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def line_feature(lines: DataFrame, known: DataFrame, name: str) -> DataFrame:
-    """(line_no, value) for every line, also those without a known token."""
+    """(line_no, value) for every line, also those without a known token.
+
+    The terms of a line come from one row, so they are combined before the shuffle.
+    """
     nothing = lines.select("line_no", F.lit(None).cast("double").alias("tf"))
     counts = known.select("line_no", F.col("tf").cast("double")).unionAll(nothing)
-    return (
-        counts.groupBy("line_no")
-        .agg(F.collect_list("tf").alias("counts"))
-        .select("line_no", features[name].value(F.col("counts")).alias("value"))
-    )
+    value = features[name].of_rows(F.col("tf"))
+    return counts.groupBy("line_no").agg(F.coalesce(value, F.lit(0.0)).alias("value"))
 
 
 def feature_cells(lines: DataFrame, weights: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -43,7 +43,6 @@ def _occurrences(words: Column) -> Column:
                 p["token"].alias("token"),
                 p["pos"].alias("pos"),
                 ((i == 0) | (F.get(s, i - 1)["token"] != p["token"])).alias("lead"),
-                F.size(s).alias("len"),
             ),
         ),
     )
@@ -85,7 +84,6 @@ def token_places(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .agg(
             F.count_if("lead").alias("df"),
             F.min(F.when(F.col("lead"), F.col("line_no"))).alias("first_line"),
-            F.max(F.coalesce("len", F.lit(0))).alias("max_len"),
             F.count("*").alias("n"),
         )
     )
@@ -106,7 +104,6 @@ def training_places(places: DataFrame, k: int, swap: bool = False) -> DataFrame:
         .agg(
             F.sum("df").alias("df"),
             F.min("first_line").alias("first_line"),
-            F.max("max_len").alias("max_len"),
             F.sum("n").alias("n"),
         )
     )
@@ -115,7 +112,8 @@ def training_places(places: DataFrame, k: int, swap: bool = False) -> DataFrame:
 def token_stats(places: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per token: ``df`` = lines with it, ``lf`` = different positions it takes, ``first_line`` and
     ``first_pos`` = where it is first seen, ``n_lines`` = lines that start with it (so the sum is
-    the number of lines) and ``max_len`` = longest line with it.
+    the number of lines) and ``max_len`` = its largest position plus one, so the maximum is the
+    length of the longest line.
 
     A token has one leftmost position per line, so the smallest ``first_line`` is unique and plain
     ``min_by`` finds its position; all buffers are primitive, so this stays a hash aggregation.
@@ -129,7 +127,7 @@ def token_stats(places: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             F.min_by("pos", "first_line").alias("first_pos"),
             F.min("first_line").alias("first_line"),
             F.sum(F.when(starts, F.col("n")).otherwise(0)).alias("n_lines"),
-            F.max("max_len").cast("bigint").alias("max_len"),
+            (F.max("pos") + 1).cast("bigint").alias("max_len"),
         )
     )
 
