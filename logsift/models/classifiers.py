@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from logsift.operators.labels import ANOMALOUS, UNLABELED
 from logsift.operators.pu import pu_constant, pu_decision, pu_score
 from logsift.operators.splits import holdout_split
-from logsift.registry import binary_models, multi_models
+from logsift.registry import binary_models, multi_models, saved_models
 from logsift.sources.stores import load_run, save_run
 
 
@@ -95,6 +95,8 @@ class PULearningClassifier(Estimator):
 
     def __init__(self, base, hold_out_ratio: float = 0.1, threshold: float = 0.5, seed=0):
         super().__init__()
+        if not 0 < hold_out_ratio < 1:
+            raise ValueError(f"the hold-out ratio must lie between 0 and 1, not {hold_out_ratio}")
         self.base = base
         self.hold_out_ratio = hold_out_ratio
         self.threshold = threshold
@@ -229,5 +231,6 @@ def svm(**params) -> SvmClassifier:
     return SvmClassifier(**params)
 
 
-# What loads a saved model of each name.
-LOADERS = {"pu_learning": PULearningModel, "regular": DetectorModel, "svm": SvmModel}
+saved_models.register("pu_learning", PULearningModel)
+saved_models.register("regular", DetectorModel)
+saved_models.register("svm", SvmModel)

@@ -16,7 +16,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.models.classifiers import LOADERS
+from logsift.models import classifiers  # noqa: F401  registers the models
 from logsift.models.features import DEFAULT_FEATURES, FeatureModel, split_model
 from logsift.operators import reports as R
 from logsift.operators import splits as S
@@ -27,7 +27,7 @@ from logsift.operators.labels import (
     target_names,
 )
 from logsift.operators.vocabulary import fit_split_weights, tokenize
-from logsift.registry import binary_models, multi_models
+from logsift.registry import binary_models, multi_models, saved_models
 from logsift.sources.scratch import materialize
 from logsift.sources.stores import load_run, save_results, save_run
 
@@ -223,7 +223,7 @@ def load_models(spark: SparkSession, path: str) -> dict:
     models = {"features": FeatureModel.load(spark, f"{path}/features")}
     for task in ("binary", "multi"):
         if task in config:
-            models[task] = LOADERS[config[task]].load(spark, f"{path}/{task}")
+            models[task] = saved_models[config[task]].load(spark, f"{path}/{task}")
     return models
 
 

@@ -26,3 +26,4 @@ binary_models = Registry("binary model")
 multi_models = Registry("multi-class model")
 prediction_reports = Registry("prediction report")
 model_reports = Registry("model report")
+saved_models = Registry("saved model")  # the class that loads what a named model saved

@@ -6,10 +6,20 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from logsift.models.classifiers import PULearningModel, SvmModel, pu_learning, regular, svm
+from logsift.models import features as feature_models
+from logsift.models.classifiers import (
+    PULearningClassifier,
+    PULearningModel,
+    SvmModel,
+    pu_learning,
+    regular,
+    svm,
+)
 from logsift.models.features import FeatureExtractor, FeatureModel
+from logsift.operators.features import TermFeature
 from logsift.operators.labels import binary_truth
 from logsift.plans import jobs
+from logsift.registry import features
 
 WORDS = {
     "ok": "service started normally and is ready",
@@ -87,6 +97,34 @@ def test_pu_needs_positives(spark, vectors):
         pu_learning().fit(vectors.withColumn("y", F.lit(-1.0)))
 
 
+def test_hold_out_ratio_is_checked():
+    with pytest.raises(ValueError, match="between 0 and 1"):
+        PULearningClassifier(None, hold_out_ratio=0)
+
+
+def test_registered_feature_reaches_vectors_and_cells(spark, corpus):
+    features.register("rare", TermFeature("idf * ilf", binary=True))
+    try:
+        rows, _ = jobs.prepare(corpus, "ok")
+        model = FeatureExtractor(["rare"]).fit(rows)
+        total = model.cells(rows).agg(F.sum("value")).first()[0]
+        vectors = model.transform(rows).select(F.explode(vector_to_array("features")).alias("v"))
+        assert vectors.agg(F.sum("v")).first()[0] == pytest.approx(total)
+    finally:
+        del features["rare"]
+    with pytest.raises(KeyError, match="no feature named 'rare'"):
+        FeatureModel(model.weights, ["rare"])
+
+
+def test_too_wide_vocabulary_is_refused_for_vectors(spark, corpus, monkeypatch):
+    rows, _ = jobs.prepare(corpus, "ok")
+    model = FeatureExtractor().fit(rows)
+    monkeypatch.setattr(feature_models, "MAX_VECTOR_VOCABULARY", 3)
+    with pytest.raises(ValueError, match="too many for MLlib vectors"):
+        model.transform(rows)
+    assert model.cells(rows).count() > 0
+
+
 def test_forest_is_reproducible(spark, vectors):
     rows = vectors.withColumn("y", binary_truth(F.col("y")))
     a, b = (
