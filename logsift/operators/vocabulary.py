@@ -19,6 +19,7 @@ from logsift.sources.scratch import materialize
 # A vocabulary range covers 2**12 lines: even long lines then add a bounded number of new tokens.
 VOCABULARY_SHIFT = 12
 
+
 def tokenize(corpus: DataFrame) -> DataFrame:
     """Replace ``message`` by its ``tokens`` array."""
     others = [c for c in corpus.columns if c != "message"]
@@ -145,25 +146,22 @@ def corpus_totals(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def vocabulary(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., token, idx): tokens numbered in the order they are first seen."""
-    known = stats.where(F.col("token").isNotNull())
-    ranked = global_rank(
+def _numbered(stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The known tokens with ``idx``: their place in the order they are first seen."""
+    known = stats.where(F.col("token").isNotNull()).drop("n_lines", "max_len")
+    return global_rank(
         known, "first_line", ("first_pos",), by, shift=VOCABULARY_SHIFT, name="idx"
     )
-    return ranked.select(*by, "token", "idx")
+
+
+def vocabulary(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., token, idx): tokens numbered in the order they are first seen."""
+    return _numbered(stats, by).select(*by, "token", "idx")
 
 
 def weights(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., token, idx, df, lf, idf, ilf) from stored token counts."""
-    ranked = global_rank(
-        stats.where(F.col("token").isNotNull()).drop("n_lines", "max_len"),
-        "first_line",
-        ("first_pos",),
-        by,
-        shift=VOCABULARY_SHIFT,
-        name="idx",
-    )
+    ranked = _numbered(stats, by)
     totals = corpus_totals(stats, by)
     if by:
         ranked = ranked.join(totals, list(by))
