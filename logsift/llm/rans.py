@@ -47,16 +47,24 @@ class Table:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Table:
-        symbols, counts = np.unique(ids, return_counts=True)
-        return cls(symbols, frequencies(counts))
+        """Of non-negative ids, small enough to be counted by place."""
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        return cls(symbols, frequencies(counts[symbols]))
+
+    def places(self) -> np.ndarray:
+        """The place of every symbol among the symbols, by symbol."""
+        found = np.zeros(int(self.symbols[-1]) + 1 if len(self.symbols) else 0, dtype=np.int32)
+        found[self.symbols] = np.arange(len(self.symbols), dtype=np.int32)
+        return found
 
     def slots(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.symbols), dtype=np.int32), self.freq.astype(np.int64))
 
 
-def encode(ids: np.ndarray, table: Table) -> tuple[bytes, bytes, list[tuple[int, int, bytes]]]:
+def encode(ids: np.ndarray, table: Table, places: np.ndarray) -> tuple[bytes, bytes, list[tuple[int, int, bytes]]]:
     """Stream, first lane states and checkpoints (step, words before it, lane states)."""
-    place = np.searchsorted(table.symbols, ids)
+    place = places[ids]
     freq, start = table.freq[place], table.start[place]
     lanes = min(LANES, len(ids))
     state = np.full(lanes, LOW, dtype=np.uint64)

@@ -10,11 +10,13 @@ lanes, checkpoints and a checksum. Any block, and any checkpoint inside, can be
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -26,11 +28,9 @@ END = 0
 BLOCK = 1 << 18
 SEGMENT = 1 << 21
 FILE_ROWS = 16_384
-MEMO, MEMO_CHARS = 500_000, 64  # pieces that a task remembers, and their length
-STEP = 256  # texts tokenized together
-#: A single space between other characters: what stands on either side is tokenized independently.
-CUT = re.compile(r"(?<=\S) (?=\S)")
-UNSURE = re.compile(r"^ | $|\s\s")
+MEMO, MEMO_CHARS = 300_000, 64  # pieces in one half of a task's memory, and their length
+STEP, TOGETHER = 2048, 100  # texts cut together, pieces encoded together
+CUT = re.compile(r"(?<=\S) (?=\S)")  # a single space between other characters
 
 BLOCK_TYPE = pa.struct(
     [
@@ -63,64 +63,123 @@ SEGMENTS_DDL = (
 )
 
 
+class Memory:
+    """A bounded memory of pieces' ids: two halves, the older one dropped when the newer is full."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, pieces: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """What is known of the pieces, and the places of those that are not known."""
+        if len(self.new) > MEMO:
+            self.old, self.new = self.new, {}
+        found = list(map(self.new.get, pieces))
+        missing = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            found[i] = ids = self.old.get(pieces[i])
+            if ids is None:
+                missing.append(i)
+            else:
+                self.new[pieces[i]] = ids
+        return found, missing
+
+    def put(self, pieces: list[str], found: list[bytes]) -> None:
+        self.new.update((p, f) for p, f in zip(pieces, found, strict=True) if len(p) <= MEMO_CHARS)
+
+
 class PieceTokenizer:
     """The tokenizer's ids, found piece by piece with a bounded memory of pieces seen before.
 
-    A byte-level tokenizer never joins the two sides of a single space between other characters (its
-    words carry the space in front), so texts are cut there and equal pieces are tokenized once.
+    A byte-level tokenizer never joins the two sides of a single space or line break between other
+    characters: a word carries the space in front of it, and the line break stands alone. So texts
+    are cut there, whole batches at a time, and equal pieces are tokenized once. Texts with other
+    white space next to white space are cut one by one, only where it is safe.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         vocabulary = self.tokenizer.get_vocab()
+        self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.heads: dict[str, bytes] = {}  # by first piece of a text
-        self.memo: dict[str, bytes] = {}  # by piece after a space
+        self.line = self._encode("\n")
+        self.memory = Memory()
 
     def _encode(self, text: str) -> np.ndarray:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-        return np.array(found.ids, dtype="<u4")
-
-    def _remember(self, pieces: list[str]) -> None:
-        """Ids of pieces that follow a space: encoded in one go and cut where a token has the space."""
-        plain = [p for p in pieces if " " not in p]
-        if plain:
-            ids = self._encode(" " + " ".join(plain))
-            cuts = np.flatnonzero(self.spaced[ids]).tolist()
-            if len(cuts) != len(plain):
-                raise ValueError("the tokenizer does not keep a space with the word after it")
-            data, ends = ids.tobytes(), [*cuts[1:], len(ids)]
-            for piece, start, end in zip(plain, cuts, ends, strict=True):
-                self.memo[piece] = data[4 * start : 4 * end]
-        for piece in pieces:
-            if " " in piece:
-                self.memo[piece] = self._encode(" " + piece).tobytes()
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        for known in (self.memo, self.heads):
-            if len(known) > MEMO:
-                known.clear()
-        memo, heads = self.memo, self.heads
-        cut = [CUT.split(t) if UNSURE.search(t) else t.split(" ") for t in texts]
-        for head in {pieces[0] for pieces in cut}.difference(heads):
-            heads[head] = self._encode(head).tobytes()
-        first = [heads[pieces[0]] for pieces in cut]
-        rest = [pieces[1:] for pieces in cut]
-        missing = list(set().union(*rest).difference(memo))
-        self._remember(missing)
-        out = [
-            np.frombuffer(head + b"".join(map(memo.__getitem__, pieces)), dtype="<u4")
-            for head, pieces in zip(first, rest, strict=True)
+        return np.array(found.ids, dtype=self.kind)
+
+    def _cut(self, ids: np.ndarray, starts: list[int], pieces: list[str]) -> list[bytes]:
+        """Ids of each of the pieces that were encoded together and start at these tokens."""
+        if len(starts) != len(pieces):
+            raise ValueError("the tokenizer joins pieces that should stay apart")
+        data, width = ids.tobytes(), ids.itemsize
+        ends = [*starts[1:], len(ids)]
+        return [data[width * a : width * b] for a, b in zip(starts, ends, strict=True)]
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces: as they are if they start with a line break, else after a space."""
+        found: dict[str, bytes] = {}
+        words = [p for p in pieces if p[:1] != "\n" and p and " " not in p]
+        heads = [p for p in pieces if p[:1] == "\n"]
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            ids = self._encode(" " + " ".join(part))
+            found.update(zip(part, self._cut(ids, np.flatnonzero(self.spaced[ids]).tolist(), part), strict=True))
+        for at in range(0, len(heads), TOGETHER):
+            part = heads[at : at + TOGETHER]
+            ids = self._encode("".join(part))
+            found.update(zip(part, self._cut(ids, np.flatnonzero(ids == self.line[0]).tolist(), part), strict=True))
+        return [found[p] if p in found else self._encode(" " + p).tobytes() for p in pieces]
+
+    def _table(self, pieces: list[str]) -> list[bytes]:
+        found, missing = self.memory.find(pieces)
+        names = [pieces[i] for i in missing]
+        learned = self._learn(names)
+        self.memory.put(names, learned)
+        for i, ids in zip(missing, learned, strict=True):
+            found[i] = ids
+        return found
+
+    def _one(self, text: str) -> np.ndarray:
+        first, *rest = CUT.split(text)
+        return np.frombuffer(self._encode(first).tobytes() + b"".join(self._table(rest)), dtype=self.kind)
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text of a string array; a null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        empty, line = (pa.scalar(x, pa.large_string()) for x in ("", "\n"))
+        lines = pc.binary_join_element_wise(empty, pc.replace_substring(texts, "\n", " \n"), line)
+        lists = pc.split_pattern(lines, " ")
+        named = lists.flatten().dictionary_encode()
+        bare = pc.replace_substring_regex(named.dictionary, "^\n", "")
+        trimmed = pc.binary_length(pc.utf8_trim_whitespace(bare)).to_numpy()
+        odd = (trimmed != pc.binary_length(bare).to_numpy()) | (trimmed == 0)
+        pieces = named.dictionary.to_pylist()
+        for i in np.flatnonzero(odd):
+            pieces[i] = "x"  # its texts are cut another way
+        table = self._table(pieces)
+        data = np.frombuffer(b"".join(table), dtype=self.kind)
+        width = np.dtype(self.kind).itemsize
+        size = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // width
+        start = np.cumsum(size) - size
+        code = named.indices.to_numpy()
+        sizes = size[code]
+        ends = np.cumsum(sizes)
+        out = data[np.repeat(start[code] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        ends = np.concatenate(([0], ends))[cuts].tolist()
+        strange = np.concatenate(([0], np.cumsum(odd[code])))[cuts]
+        strange = (np.diff(strange) > 0).tolist()
+        return [
+            self._one(texts[i].as_py()) if strange[i] else out[ends[i] + 1 : ends[i + 1]]
+            for i in range(len(texts))
         ]
-        for known in (memo, heads):
-            for piece in missing if known is memo else [pieces[0] for pieces in cut]:
-                if len(piece) > MEMO_CHARS:
-                    known.pop(piece, None)
-        return out
 
 
 _TOKENIZERS: dict[str, PieceTokenizer] = {}
@@ -135,10 +194,11 @@ def tokenizer(path: str) -> PieceTokenizer:
 def encode_segment(file_no: int, segment_no: int, doc_ids: list, docs: list[np.ndarray]) -> dict:
     ids = np.concatenate(docs)
     table = rans.Table.of(ids)
+    places = table.places()
     blocks = []
     for at in range(0, len(ids), BLOCK):
         part = ids[at : at + BLOCK]
-        stream, states, points = rans.encode(part, table)
+        stream, states, points = rans.encode(part, table, places)
         blocks.append(
             {
                 "n": len(part),
@@ -178,7 +238,7 @@ def write_tokens(
     def run(batches):
         file_no, segment_no = TaskContext.get().partitionId(), 0
         ids, tokens, size = [], [], 0
-        end = np.array([END], dtype="<u4")
+        end = np.array([END], dtype="<u2")
         encode = tokenizer(tokenizer_path).ids
 
         def flush():
@@ -188,8 +248,7 @@ def write_tokens(
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, own in zip(part.column(0).to_pylist(), encode(texts), strict=True):
+                for doc_id, own in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     ids.append(doc_id)
                     tokens.append(np.concatenate((own, end)))
                     size += len(own) + 1
