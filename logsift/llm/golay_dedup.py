@@ -201,7 +201,8 @@ def _classes(marked: DataFrame) -> DataFrame:
     joined = nodes.join(groups, nodes["fp"] == groups["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    joined = materialize(joined, "roots")
+    ids = materialize(joined.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     return materialize(joined.join(ids, "root").select("fp", "root", "component_id"), "classes")
 
 
@@ -234,6 +235,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = texts.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
     )
+    first = materialize(first, "first")  # a stored side lets Spark split a group that holds most rows
     judged = texts.join(first, "root").withColumn(
         "stays",
         F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")),

@@ -155,7 +155,7 @@ def train(
     texts = texts_of(docs, sample, id_col, text_col)
     texts = texts.select(F.col("__id").cast("string"), F.col("label").cast("int"), "text")
     rows = texts.mapInArrow(hashed, "id string, label int, terms binary").toArrow()
-    rows = rows.take(pa.array(_shuffled(rows)))
+    rows = rows.take(pa.array(_shuffled(rows), pa.int64()))
     y = rows.column("label").to_numpy().astype(float)
     x = [np.frombuffer(t.as_buffer(), dtype="<i4") for t in rows.column("terms")]
     if not len(y) or not 0 < y.sum() < len(y):
