@@ -29,14 +29,12 @@ ROWS_PER_TASK = 50_000
 def training_rows(rows: DataFrame, n_rows: int, *columns: str) -> DataFrame:
     """Rows in a reproducible layout: MLlib's bootstrap depends on partitions and their order.
 
-    Hashing a unique line number spreads any class evenly. Iterative fits start a job per pass, so
-    small data gets few tasks; large data gets as many as the session's shuffles.
+    Hashing a unique line number spreads any class evenly. The number of tasks follows from the data
+    alone, so a session's settings never change a model, and a task's rows are bounded.
     """
-    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(1, min(most, math.ceil(n_rows / ROWS_PER_TASK)))
     return (
         rows.select("line_no", "y", "features", *columns)
-        .repartition(tasks, "line_no")
+        .repartition(max(1, math.ceil(n_rows / ROWS_PER_TASK)), "line_no")
         .sortWithinPartitions("line_no")
         .withColumn("label", F.when(F.col("y") == ANOMALOUS, 1.0).otherwise(0.0))
     )
@@ -158,10 +156,10 @@ class SvmClassifier(Estimator):
         train = training_rows(rows, n_rows).drop("label").persist()
         try:
             # Unit loss weight per line against 1/2 |w|^2, in MLlib's scale. The loose tolerance
-            # asks for a rough optimum, which a few passes reach; each pass is a line search.
+            # ends the fit; the limit is only there for data that never converge.
             params = {
                 "tol": 0.1,
-                "maxIter": 10,
+                "maxIter": 1000,
                 "regParam": 1.0 / max(n_rows, 1),
                 "standardization": False,
                 **self.svc_params,

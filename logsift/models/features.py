@@ -5,24 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, VectorAssembler
-from pyspark.ml.linalg import Vectors
+from pyspark.ml import Estimator, Model
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from logsift.operators.features import TermFeature, feature_cells
 from logsift.operators.vocabulary import fit_weights
 from logsift.registry import features
-from logsift.sources.scratch import materialize
+from logsift.sources.scratch import materialize, scratch_path
 from logsift.sources.stores import load_run, save_run
 
 DEFAULT_FEATURES = ("tfilf",)
 
-# MLlib keeps model weights of this width on the driver, so the vocabulary is checked against it
-# before it is fetched. The long form (``FeatureModel.cells``) has no such limit.
-MAX_VECTOR_VOCABULARY = 1 << 22
-
 
 class FeatureExtractor(Estimator):
     """Builds the vocabulary and weights of ``(line_no, tokens)``."""
@@ -54,44 +50,37 @@ class FeatureModel(Model):
         return feature_cells(lines, self.weights, self.names)
 
     @cached_property
-    def _stages(self) -> PipelineModel:
-        size = self.vocabulary_size
-        if size == 0:
-            raise ValueError("the vocabulary is empty")
-        if size > MAX_VECTOR_VOCABULARY:
-            raise ValueError(
-                f"{size} tokens are too many for MLlib vectors; use the long form of the features"
-            )
-        terms = {n: features[n] for n in self.names if isinstance(features[n], TermFeature)}
-        columns = [F.expr(f.weight).cast("double").alias(n) for n, f in terms.items()]
-        rows = self.weights.select("token", "idx", *columns).toPandas().sort_values("idx")
-        tokens = rows["token"].tolist()
-        stages = [
-            CountVectorizerModel.from_vocabulary(tokens, inputCol="tokens", outputCol="counts"),
-            CountVectorizerModel.from_vocabulary(tokens, inputCol="tokens", outputCol="present"),
-        ]
-        stages[1].setBinary(True)
-        for name, feature in terms.items():
-            stages.append(
-                ElementwiseProduct(
-                    scalingVec=Vectors.dense(rows[name].to_numpy()),
-                    inputCol="present" if feature.binary else "counts",
-                    outputCol=f"block_{name}",
-                )
-            )
-        if not any(f.binary for f in terms.values()):
-            del stages[1]
-        return PipelineModel(stages)
+    def width(self) -> int:
+        """Columns of the feature matrix; MLlib indexes them by 32-bit integers."""
+        terms = [isinstance(features[n], TermFeature) for n in self.names]
+        return self.vocabulary_size * sum(terms) + len(terms) - sum(terms)
 
     def _transform(self, lines: DataFrame) -> DataFrame:
-        vectors = self._stages.transform(lines)
-        for name in self.names:
-            if not isinstance(features[name], TermFeature):
-                value = features[name].of_array(F.unwrap_udt("counts")["values"])
-                vectors = vectors.withColumn(f"block_{name}", value)
-        blocks = [f"block_{name}" for name in self.names]
-        assembler = VectorAssembler(inputCols=blocks, outputCol="features")
-        return assembler.transform(vectors).select(*lines.columns, "features")
+        """``lines`` with their sparse vectors, from the same cells as the long form.
+
+        The vocabulary stays a table: cells are joined and grouped back per line. No expression makes
+        a vector of indices and values, so its parts are stored and read as MLlib's vector type.
+        """
+        if self.vocabulary_size == 0:
+            raise ValueError("the vocabulary is empty")
+        cell = F.struct(F.col("idx").cast("int").alias("i"), "value")
+        found = (
+            self.cells(lines)
+            .where("value <> 0")
+            .groupBy("line_no")
+            .agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+        )
+        vector = F.struct(
+            F.lit(0).cast("tinyint").alias("type"),  # sparse
+            F.lit(self.width).cast("int").alias("size"),
+            F.coalesce("cells.i", F.array().cast("array<int>")).alias("indices"),
+            F.coalesce("cells.value", F.array().cast("array<double>")).alias("values"),
+        )
+        rows = lines.join(found, "line_no", "left").select(*lines.columns, vector.alias("features"))
+        path = scratch_path(lines.sparkSession, "vectors")
+        rows.write.parquet(path)
+        schema = StructType([*lines.schema.fields, StructField("features", VectorUDT())])
+        return lines.sparkSession.read.schema(schema).parquet(path)
 
     def feature_names(self) -> DataFrame:
         """(idx, name) of every column: the token, or LENGTH.

@@ -1,7 +1,8 @@
 """Detection on a stream of log files with saved models.
 
-Cleaning, features and decision look at one line at a time, so the batch functions run unchanged on
-a streaming DataFrame: no state, no watermark. The sink's checkpoint gives exactly-once output.
+Cleaning, features and decision need no state: every micro-batch runs the batch functions and becomes
+one folder of the output. A batch that is repeated after a failure replaces its folder, so every line
+is scored exactly once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logsift.functions import text as T
 from logsift.plans.jobs import load_models
 from logsift.sources.files import LATIN_1
+from logsift.sources.scratch import materialize
 
 
 def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +30,7 @@ def score_lines(lines: DataFrame, path: str) -> DataFrame:
     models = load_models(lines.sparkSession, path)
     cleaned = F.filter(F.array(T.clean_tokens(F.col("raw"))), lambda t: F.size(t) > 0)
     rows = lines.select("file", "raw", F.explode(cleaned).alias("tokens"))
+    rows = materialize(rows.withColumn("line_no", F.monotonically_increasing_id()), "stream-rows")
     scored = models["binary"].transform(models["features"].transform(rows))
     return scored.select("file", "raw", F.array_join("tokens", " ").alias("message"), "pred")
 
@@ -35,11 +38,14 @@ def score_lines(lines: DataFrame, path: str) -> DataFrame:
 def score_stream(
     spark: SparkSession, folder: str, path: str, output: str, checkpoint: str
 ) -> StreamingQuery:
-    """Score everything that has arrived in ``folder`` and append it to ``output`` as Parquet."""
+    """Score everything that has arrived in ``folder`` into Parquet folders ``output/batch=N``."""
+
+    def write(lines: DataFrame, batch: int) -> None:
+        score_lines(lines, path).write.mode("overwrite").parquet(f"{output}/batch={batch}")
+
     return (
-        score_lines(stream_lines(spark, folder), path)
-        .writeStream.format("parquet")
-        .option("path", output)
+        stream_lines(spark, folder)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -1,9 +1,10 @@
 """Feature vectors, models and jobs on separable synthetic lines."""
 
+import inspect
 import random
 
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from logsift.models import features as feature_models
@@ -116,13 +117,23 @@ def test_registered_feature_reaches_vectors_and_cells(spark, corpus):
         FeatureModel(model.weights, ["rare"])
 
 
-def test_too_wide_vocabulary_is_refused_for_vectors(spark, corpus, monkeypatch):
+def test_vectors_hold_the_cells(spark, corpus):
     rows, _ = jobs.prepare(corpus, "ok")
-    model = FeatureExtractor().fit(rows)
-    monkeypatch.setattr(feature_models, "MAX_VECTOR_VOCABULARY", 3)
-    with pytest.raises(ValueError, match="too many for MLlib vectors"):
-        model.transform(rows)
-    assert model.cells(rows).count() > 0
+    model = FeatureExtractor(["tfilf", "length", "tf"]).fit(rows)
+    extra = rows.limit(1).selectExpr("-1L AS line_no", "array('unknown') AS tokens", "y")
+    lines = rows.select("line_no", "tokens", "y").unionByName(extra)
+    parts = model.transform(lines).select("line_no", F.unwrap_udt("features").alias("v"))
+    cells = parts.select("line_no", F.inline(F.arrays_zip("v.indices", "v.values")))
+    expected = model.cells(lines).where("value <> 0").select("line_no", F.col("idx").cast("int"), "value")
+    assert cells.count() == expected.count() > 0
+    assert cells.exceptAll(expected).isEmpty()
+    assert {r.n for r in parts.select(F.col("v.size").alias("n")).collect()} == {model.width}
+    assert parts.count() == lines.count()
+
+
+def test_no_vocabulary_on_the_driver():
+    source = inspect.getsource(feature_models)
+    assert not any(word in source for word in ("toPandas", "collect()", "from_vocabulary", "MAX_"))
 
 
 def test_forest_is_reproducible(spark, vectors):
@@ -135,6 +146,24 @@ def test_forest_is_reproducible(spark, vectors):
     assert a.join(rows, "line_no").where("y <> pred").count() == 0
 
 
+def test_forest_does_not_depend_on_the_session(spark):
+    """The same scores for few and many shuffle partitions, with more rows than one task takes."""
+    rows = spark.range(60_000).selectExpr(
+        "id AS line_no", "IF(id % 5 = 0, 1D, -1D) AS y",
+        "array(CAST(id % 5 AS DOUBLE), CAST(hash(id) % 100 AS DOUBLE)) AS v",
+    )
+    rows = rows.withColumn("features", array_to_vector("v")).drop("v")
+    before, scores = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            model = pu_learning(numTrees=3, maxDepth=5).fit(rows)
+            scores.append((model.c, model.transform(rows).agg(F.sum(F.round("p1", 12))).first()[0]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert scores[0] == scores[1]
+
+
 def test_svm_keeps_class_ids_with_gaps(spark, vectors, tmp_path):
     rows = vectors.where("y <> -1").withColumn("y", F.col("y") * 10 + 5)
     ids = {r.y for r in rows.select("y").distinct().collect()}

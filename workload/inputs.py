@@ -193,17 +193,19 @@ CTES = {
         ln(max_len / (lf + 0.01::DOUBLE)) AS ilf FROM vocab, totals""",
     "terms": """SELECT line_no, token, count(*) AS tf FROM words GROUP BY line_no, token""",
     "cells": """SELECT line_no, idx, tf * ilf AS value FROM terms JOIN weights USING (token)""",
-    "train_words": """SELECT line_no, unnest(toks) AS token,
-        generate_subscripts(toks, 1) - 1 AS pos FROM folds WHERE fold <> 0""",
-    "train_totals": """SELECT count(*) AS n_lines, max(len(toks)) AS max_len
-        FROM folds WHERE fold <> 0""",
-    "train_vocab": """SELECT token, row_number() OVER (ORDER BY min((line_no, pos))) - 1 AS idx,
+    "train_words": """SELECT split, line_no, unnest(toks) AS token,
+        generate_subscripts(toks, 1) - 1 AS pos
+        FROM folds, (SELECT unnest(range(3)) AS split) WHERE fold <> split""",
+    "train_totals": """SELECT split, count(*) AS n_lines, max(len(toks)) AS max_len
+        FROM folds, (SELECT unnest(range(3)) AS split) WHERE fold <> split GROUP BY split""",
+    "train_vocab": """SELECT split, token,
+        row_number() OVER (PARTITION BY split ORDER BY min((line_no, pos))) - 1 AS idx,
         count(DISTINCT line_no) AS df, count(DISTINCT pos) AS lf
-        FROM train_words GROUP BY token""",
-    "train_weights": """SELECT token, idx, ln(max_len / (lf + 0.01::DOUBLE)) AS ilf
-        FROM train_vocab, train_totals""",
-    "test_words": """SELECT line_no, unnest(toks) AS token,
-        generate_subscripts(toks, 1) - 1 AS pos FROM folds WHERE fold = 0""",
+        FROM train_words GROUP BY split, token""",
+    "train_weights": """SELECT split, token, idx, ln(max_len / (lf + 0.01::DOUBLE)) AS ilf
+        FROM train_vocab JOIN train_totals USING (split)""",
+    "test_words": """SELECT fold AS split, line_no, unnest(toks) AS token,
+        generate_subscripts(toks, 1) - 1 AS pos FROM folds""",
     "order_preds": """SELECT o_orderkey AS line_no,
         (CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END)::DOUBLE AS y,
         (CASE WHEN o_orderkey % 10 = 0 THEN 3 ELSE o_orderkey % 3 END)::DOUBLE AS pred
