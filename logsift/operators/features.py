@@ -36,11 +36,9 @@ class TermFeature:
 class LineFeature:
     """One column per line, from the counts of its in-vocabulary terms.
 
-    The same value is stated as an aggregate over term rows and as a function of the count array,
-    for the long form and for vectors.
+    ``of_array`` is a function of the array of those counts.
     """
 
-    of_rows: Callable[[Column], Column]
     of_array: Callable[[Column], Column]
 
 
@@ -50,9 +48,7 @@ features.register("tfilf", TermFeature("ilf"))
 features.register("tf", TermFeature("df", binary=True))
 features.register(
     "length",
-    LineFeature(
-        F.sum, lambda counts: F.aggregate(counts, F.lit(0.0), lambda total, n: total + n)
-    ),
+    LineFeature(lambda counts: F.aggregate(counts, F.lit(0.0), lambda total, n: total + n)),
 )
 
 
@@ -61,15 +57,29 @@ def known_terms(lines: DataFrame, weights: DataFrame) -> DataFrame:
     return line_terms(lines, "line_no").join(weights, "token")
 
 
-def line_feature(lines: DataFrame, known: DataFrame, name: str) -> DataFrame:
-    """(line_no, value) for every line, also those without a known token.
+def _with_line_values(lines: DataFrame, known: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The terms of ``known`` with the line features of their line; ``first`` marks one row a line.
 
-    The terms of a line come from one row, so they are combined before the shuffle.
+    Lines without a known term have one row with a NULL term.
     """
-    nothing = lines.select("line_no", F.lit(None).cast("double").alias("tf"))
-    counts = known.select("line_no", F.col("tf").cast("double")).unionAll(nothing)
-    value = features[name].of_rows(F.col("tf"))
-    return counts.groupBy("line_no").agg(F.coalesce(value, F.lit(0.0)).alias("value"))
+    columns = [c for c in known.columns if c != "line_no"]
+    term = F.struct(*columns)
+    nothing = lines.select("line_no", F.lit(None).cast(known.select(term.alias("t")).schema["t"].dataType).alias("t"))
+    grouped = (
+        known.select("line_no", term.alias("t"))
+        .unionAll(nothing)
+        .groupBy("line_no")
+        .agg(F.collect_list("t").alias("terms"))
+    )
+    counts = F.transform("terms", lambda t: t["tf"].cast("double"))
+    values = [x for n in names for x in (F.lit(n), features[n].of_array(counts))]
+    found = grouped.withColumn("of_line", F.named_struct(*values)).select(
+        "line_no", "of_line", F.posexplode_outer("terms")
+    )
+    return found.select(
+        "line_no", "of_line", F.col("pos").isNotNull().alias("known"),
+        (F.coalesce("pos", F.lit(0)) == 0).alias("first"), "col.*",
+    )
 
 
 def feature_cells(lines: DataFrame, weights: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -80,33 +90,24 @@ def feature_cells(lines: DataFrame, weights: DataFrame, names: Sequence[str]) ->
     """
     size = weights.agg(F.count("*")).scalar()
     known = known_terms(lines, weights)
-    term_cells, line_parts = [], []
+    of_line = [n for n in names if not isinstance(features[n], TermFeature)]
+    if of_line:
+        known = _with_line_values(lines, known, of_line)
+    known, size = known.withColumn("width", size), F.col("width")
+    cells = []
     n_terms = n_lines = 0
     for block, name in enumerate(names):
         offset = size * n_terms + n_lines
         if isinstance(features[name], TermFeature):
-            term_cells.append(
-                F.struct(
-                    F.lit(block).alias("block"),
-                    (F.col("idx") + offset).alias("idx"),
-                    features[name].value().alias("value"),
-                )
-            )
+            cell, present = ((F.col("idx") + offset).alias("idx"), features[name].value()), "known"
             n_terms += 1
         else:
-            line_parts.append(
-                line_feature(lines, known, name).select(
-                    "line_no", F.lit(block).alias("block"), offset.alias("idx"), "value"
-                )
-            )
+            cell, present = (offset.alias("idx"), F.col(f"of_line.{name}")), "first"
             n_lines += 1
-    parts = line_parts
-    if term_cells:
-        parts = [known.select("line_no", F.inline(F.array(*term_cells)))] + line_parts
-    cells = parts[0]
-    for part in parts[1:]:
-        cells = cells.unionByName(part)
-    return cells
+        cell = F.struct(F.lit(block).alias("block"), cell[0], cell[1].alias("value"))
+        cells.append(F.when(F.col(present), cell) if of_line else cell)
+    cells = F.array(*cells)
+    return known.select("line_no", F.inline(F.filter(cells, lambda c: c.isNotNull()) if of_line else cells))
 
 
 def scale_to_unit_range(cells: DataFrame, n_cells: Column) -> DataFrame:

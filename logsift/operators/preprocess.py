@@ -39,6 +39,19 @@ def preprocess_paired(pairs: DataFrame) -> DataFrame:
     return keep_non_empty(rows, "message", message).select(*CORPUS)
 
 
+def paired_corpus(truth: DataFrame, raw: DataFrame, key: str) -> DataFrame:
+    """Corpus from labels ``(line_no, label)`` and raw lines ``(key, raw)`` in the order of ``key``.
+
+    Only keys are ranked and joined by position. A raw line is cleaned where it is read, and only its
+    message is joined to the label.
+    """
+    message = T.clean_parameters(T.drop_first_token(F.col("raw")))
+    cleaned = keep_non_empty(raw, "message", message).select(key, "message")
+    pairs = positional_join(truth, number_lines(raw.select(key), key))
+    label = T.strip(F.col("label")).alias("label")
+    return cleaned.join(pairs, key).select("line_no", label, "message")
+
+
 def preprocess_bgl(raw: DataFrame) -> DataFrame:
     """Corpus from BlueGene/L lines ``(line_no, raw)``.
 

@@ -32,7 +32,9 @@ def log_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         spread(texts, "doc_id")
         .select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
         .select(
-            (F.col("doc_id") * LINES_PER_DOC + F.col("pos")).alias("line_no"),
+            F.when(F.col("pos") < LINES_PER_DOC, F.col("doc_id") * LINES_PER_DOC + F.col("pos"))
+            .otherwise(F.raise_error(F.lit(f"a document of more than {LINES_PER_DOC} lines")))
+            .alias("line_no"),
             F.col("source").alias("label"),
             "raw",
         )

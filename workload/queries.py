@@ -128,9 +128,8 @@ def paired_join(spark, sf_dir):
     truth = P.number_lines(I.table(spark, sf_dir, "labels"), "doc_id").select(
         "line_no", F.concat(F.lit("quality"), "quality", F.lit("/toxic"), "toxic").alias("label")
     )
-    raw = P.number_lines(I.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    raw = raw.select("line_no", F.col("text").alias("raw"))
-    return P.preprocess_paired(P.positional_join(truth, raw))
+    raw = I.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))
+    return P.paired_corpus(truth, raw, "doc_id")
 
 
 @query(
