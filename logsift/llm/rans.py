@@ -11,8 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 SCALE_BITS = 18
-LANES = 1024
-CHECKPOINT_STEPS = 128
+LANES = 2048
+CHECKPOINT_STEPS = 64
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 SCALE = np.uint64(SCALE_BITS)
