@@ -75,17 +75,20 @@ class Memory:
         if len(self.new) > MEMO:
             self.old, self.new = self.new, {}
         found = list(map(self.new.get, pieces))
-        missing = []
-        for i in [i for i, ids in enumerate(found) if ids is None]:
-            found[i] = ids = self.old.get(pieces[i])
-            if ids is None:
-                missing.append(i)
-            else:
-                self.new[pieces[i]] = ids
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if self.old:
+            before = list(map(self.old.get, [pieces[i] for i in missing]))
+            for i, ids in zip(missing, before, strict=True):
+                if ids is not None:
+                    found[i] = self.new[pieces[i]] = ids
+            missing = [i for i, ids in zip(missing, before, strict=True) if ids is None]
         return found, missing
 
     def put(self, pieces: list[str], found: list[bytes]) -> None:
-        self.new.update((p, f) for p, f in zip(pieces, found, strict=True) if len(p) <= MEMO_CHARS)
+        self.new.update(zip(pieces, found, strict=True))
+        for p in pieces:
+            if len(p) > MEMO_CHARS:
+                del self.new[p]
 
 
 class PieceTokenizer:
@@ -124,18 +127,20 @@ class PieceTokenizer:
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces: as they are if they start with a line break, else after a space."""
-        found: dict[str, bytes] = {}
-        words = [p for p in pieces if p[:1] != "\n" and p and " " not in p]
-        heads = [p for p in pieces if p[:1] == "\n"]
-        for at in range(0, len(words), TOGETHER):
-            part = words[at : at + TOGETHER]
-            ids = self._encode(" " + " ".join(part))
-            found.update(zip(part, self._cut(ids, np.flatnonzero(self.spaced[ids]).tolist(), part), strict=True))
-        for at in range(0, len(heads), TOGETHER):
-            part = heads[at : at + TOGETHER]
-            ids = self._encode("".join(part))
-            found.update(zip(part, self._cut(ids, np.flatnonzero(ids == self.line[0]).tolist(), part), strict=True))
-        return [found[p] if p in found else self._encode(" " + p).tobytes() for p in pieces]
+        words, heads, rest = [], [], []
+        for i, p in enumerate(pieces):
+            (heads if p[:1] == "\n" else rest if not p or " " in p else words).append(i)
+        found: list[bytes] = [b""] * len(pieces)
+        for places, space in ((words, " "), (heads, "")):
+            for at in range(0, len(places), TOGETHER):
+                part = [pieces[i] for i in places[at : at + TOGETHER]]
+                ids = self._encode(space + space.join(part))
+                starts = np.flatnonzero(self.spaced[ids] if space else ids == self.line[0]).tolist()
+                for i, own in zip(places[at : at + TOGETHER], self._cut(ids, starts, part), strict=True):
+                    found[i] = own
+        for i in rest:
+            found[i] = self._encode(" " + pieces[i]).tobytes()
+        return found
 
     def _table(self, pieces: list[str]) -> list[bytes]:
         found, missing = self.memory.find(pieces)
