@@ -97,7 +97,8 @@ class PieceTokenizer:
     A byte-level tokenizer never joins the two sides of a single space or line break between other
     characters: a word carries the space in front of it, and the line break stands alone. So texts
     are cut there, whole batches at a time, and equal pieces are tokenized once. Texts with other
-    white space next to white space are cut one by one, only where it is safe.
+    white space next to white space are cut one by one, only where it is safe. Texts with an added
+    token of the tokenizer, such as ``<|endoftext|>``, are encoded whole, so they get that token's id.
     """
 
     def __init__(self, path: str):
@@ -105,7 +106,9 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = any(re.search(r"\s", token) for token in self.added)  # a cut could fall inside one
+        self.holds = "|".join(map(re.escape, self.added))
         vocabulary = self.tokenizer.get_vocab()
         self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -152,12 +155,16 @@ class PieceTokenizer:
         return found
 
     def _one(self, text: str) -> np.ndarray:
+        if any(token in text for token in self.added):
+            return self._encode(text)
         first, *rest = CUT.split(text)
         return np.frombuffer(self._encode(first).tobytes() + b"".join(self._table(rest)), dtype=self.kind)
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of every text of a string array; a null is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.whole:
+            return [self._encode(text) for text in texts.to_pylist()]
         empty, line = (pa.scalar(x, pa.large_string()) for x in ("", "\n"))
         lines = pc.binary_join_element_wise(empty, pc.replace_substring(texts, "\n", " \n"), line)
         lists = pc.split_pattern(lines, " ")
@@ -165,6 +172,8 @@ class PieceTokenizer:
         bare = pc.replace_substring_regex(named.dictionary, "^\n", "")
         trimmed = pc.binary_length(pc.utf8_trim_whitespace(bare)).to_numpy()
         odd = (trimmed != pc.binary_length(bare).to_numpy()) | (trimmed == 0)
+        if self.added:
+            odd |= pc.match_substring_regex(bare, self.holds).to_numpy(zero_copy_only=False)
         pieces = named.dictionary.to_pylist()
         for i in np.flatnonzero(odd):
             pieces[i] = "x"  # its texts are cut another way

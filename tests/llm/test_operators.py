@@ -463,6 +463,18 @@ def test_pieces_keep_the_tokenizers_ids():
             assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    own, plain = token_files.PieceTokenizer(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x y<|endoftext|><|endoftext|>z\n\nw", "a  <|endoftext|>\n b",
+             "<|endoftext| > a", "a b"]
+    for _ in range(2):
+        for text, ids in zip(texts, own.ids(pa.array(texts)), strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert own.ids(pa.array(texts))[0].tolist() == [64, 220, 50256, 275]
+
+
 def test_blocks_decode_from_checkpoints_and_report_damage():
     ids = np.random.default_rng(0).zipf(1.3, 300_000).clip(0, 50_000).astype("<u4")
     row = token_files.encode_segment(0, 0, [1], [ids])
