@@ -98,6 +98,25 @@ def test_nearest_recall_blocks_and_chunks(spark):
     assert all(len(v) == 5 for v in got.values())
 
 
+@pytest.mark.parametrize("cosine", [0.5, 0.63, 0.76, 0.9])
+def test_nearest_recall_in_a_loose_cluster(cosine):
+    rng = np.random.default_rng(5)
+    vectors, centre = rng.standard_normal((8192, 64)), rng.standard_normal(64)
+    third = rng.permutation(8192)[: 8192 // 3]
+    vectors[third] += centre * math.sqrt(cosine / (1 - cosine)) * 8 / np.linalg.norm(centre)
+    inside = np.isin(np.arange(8192), third)
+    for group in (inside, ~inside):
+        asked = np.zeros(8192, dtype=bool)
+        asked[np.flatnonzero(group)[:60]] = True
+        found = prefix_forest.search_block(
+            np.arange(8192), vectors, np.flatnonzero(asked), vectors[asked], 5, 48, 6, 0.04, 7
+        )
+        expected = {(q, v) for q, best in brute_nearest(np.arange(8192), vectors, asked, 5).items() for v in best}
+        recall = len(expected & {(q, v) for q, v, _ in found}) / len(expected)
+        print("recall", cosine, "in the cluster" if group is inside else "outside", round(recall, 3))
+        assert recall >= 0.95
+
+
 def test_nearest_odd_vectors_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0])]
