@@ -1,11 +1,14 @@
 """Registered queries against their SQL on the smallest tables, and the driver contract."""
 
+import inspect
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from logsift.plans import jobs
+from workload import queries
 
 SF_DIR = "/root/testdata/sf0.001"
 NAMES = (
@@ -47,3 +50,32 @@ def test_every_oracle_has_a_query():
 def test_entry(spark):
     df = driver.entry(spark)
     assert df.columns == ["line_no", "token", "tf", "ilf", "tfilf"]
+
+
+@pytest.mark.parametrize(
+    "name, job, documented",
+    [
+        ("pu_robustness", "pu_robustness", {"ratio": 8, "top_percentage": 11, "step": 1, "k": 3}),
+        ("score_global", "train_global", {"k": jobs.DEFAULT_FOLDS}),
+        ("score_binary", "train_binary", {"k": jobs.DEFAULT_FOLDS}),
+        ("model_roundtrip", "train_global", {"k": jobs.DEFAULT_FOLDS}),
+    ],
+)
+def test_jobs_run_with_documented_settings(monkeypatch, name, job, documented):
+    class Called(Exception):
+        pass
+
+    signature, seen = inspect.signature(getattr(jobs, job)), {}
+
+    def record(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        raise Called
+
+    monkeypatch.setattr(jobs, job, record)
+    for maker in ("_event_corpus", "_bgl_corpus", "scratch_path"):
+        monkeypatch.setattr(queries, maker, lambda *_: None)
+    with pytest.raises(Called):
+        getattr(queries, name)(None, None)
+    assert {k: seen[k] for k in documented} == documented

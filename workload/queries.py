@@ -797,7 +797,7 @@ def train_global(spark, sf_dir):
 @query("score_global")
 def score_global(spark, sf_dir):
     corpus, path = _event_corpus(spark, sf_dir), scratch_path(spark, "run")
-    jobs.train_global(corpus, I.HEALTHY_EVENT, k=2, path=path, parallelism=2)
+    jobs.train_global(corpus, I.HEALTHY_EVENT, path=path, parallelism=2)
     return jobs.score_global(corpus, path).multi
 
 
@@ -809,7 +809,7 @@ def train_binary(spark, sf_dir):
 @query("score_binary")
 def score_binary(spark, sf_dir):
     corpus, path = _bgl_corpus(spark, sf_dir), scratch_path(spark, "run")
-    jobs.train_binary(corpus, "unlabeled", k=2, path=path, parallelism=2)
+    jobs.train_binary(corpus, "unlabeled", path=path, parallelism=2)
     return jobs.score_binary(corpus, path).binary
 
 
@@ -828,7 +828,7 @@ def train_multi(spark, sf_dir):
 def pu_robustness(spark, sf_dir):
     corpus = _bgl_corpus(spark, sf_dir)
     return jobs.pu_robustness(
-        corpus, "unlabeled", ratio=1, step=5, k=2, parallelism=2
+        corpus, "unlabeled", ratio=8, top_percentage=11, step=1, k=3, parallelism=2
     ).results
 
 
@@ -841,7 +841,7 @@ def pu_robustness(spark, sf_dir):
 def model_roundtrip(spark, sf_dir):
     """Predictions of the trained models that the saved and loaded ones disagree with, per task."""
     corpus, path = _event_corpus(spark, sf_dir), scratch_path(spark, "run")
-    run = jobs.train_global(corpus, I.HEALTHY_EVENT, k=2, path=path, parallelism=2)
+    run = jobs.train_global(corpus, I.HEALTHY_EVENT, path=path, parallelism=2)
     loaded = jobs.load_models(spark, path)
     rows, _ = jobs.prepare(corpus, I.HEALTHY_EVENT)
     found = []
