@@ -151,39 +151,38 @@ def nearest(
     """(query_id, rank, vec_id, score): each query's ``k`` nearest other vectors by cosine.
 
     ``is_query`` is a condition on ``vec_id``; without one every vector asks. Null, zero and
-    non-finite vectors neither ask nor are found, nor do vectors of another length than that of the
-    smallest valid id. An empty table gives no rows. ``share`` trades work for recall: the trees
+    non-finite vectors neither ask nor are found; vectors of each length are searched by themselves. An
+    empty table gives no rows. ``share`` trades work for recall: the trees
     ascend until they offer that share of a block as different rows, then on until the best stay.
     """
     vectors = materialize(valid_vectors(df, id_col, vec_col), "vectors")
     asks = F.lit(True) if is_query is None else is_query
-    totals = vectors.agg(
-        F.count("*").alias("n"),
-        F.count_if(asks).alias("asks"),
-        F.min_by(F.size("vec"), "vec_id").alias("dim"),
-    ).first()
-    dim = totals.dim or 0
-    blocks = max(1, math.ceil(totals.n / block_rows))
-    chunks = max(1, math.ceil((totals.asks or 0) / chunk_queries))
-    vectors = vectors.filter(F.size("vec") == dim)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    parts = lambda n, most: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
+    sizes = vectors.groupBy(F.size("vec").alias("dim")).agg(
+        parts(F.count("*"), block_rows).alias("blocks"), parts(F.count_if(asks), chunk_queries).alias("chunks")
+    )
+    sizes = materialize(sizes, "sizes")
+    vectors = vectors.withColumn("dim", F.size("vec")).join(sizes, "dim")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     index = vectors.select(
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),
-        every(chunks).alias("chunk"),
+        F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"),
+        every("chunks").alias("chunk"),
         "vec_id",
         "vec",
+        F.col("dim").alias("length"),
     )
     queries = vectors.filter(asks).select(
-        every(blocks).alias("block"),
-        F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"),
+        every("blocks").alias("block"),
+        F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"),
         F.col("vec_id").alias("query_id"),
         F.col("vec").alias("query"),
+        F.col("dim").alias("length"),
     )
 
     def arrays(part: pa.Table):
         ids, vec = (part.column(at).combine_chunks() for at in (2, 3))
-        return ids.to_numpy(), vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        return ids.to_numpy(), vec.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -193,7 +192,7 @@ def nearest(
         columns = {n: [r[i] for r in rows] for i, n in enumerate(names)}
         return pa.Table.from_batches([arrow_batch(FOUND, **columns)])
 
-    keys = ("block", "chunk")
+    keys = ("length", "block", "chunk")
     found = (
         index.groupBy(*keys)
         .cogroup(queries.groupBy(*keys))

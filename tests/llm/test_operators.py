@@ -130,6 +130,12 @@ def test_nearest_odd_vectors_and_ties(spark):
     assert prefix_forest.nearest(df.filter("vec_id = 0")).count() == 0
 
 
+def test_nearest_searches_each_length(spark):
+    rows = [(0, [1.0]), (1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 1.0, 0.1])]
+    got = rows_of(prefix_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert [(q, r, v) for q, r, v, _ in got] == [(1, 1, 2), (2, 1, 1), (3, 1, 4), (4, 1, 3)]
+
+
 # -- 2: mixing --------------------------------------------------------------------------------------
 
 
