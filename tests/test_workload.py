@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables, and the driver contract."""
 
 import inspect
+import sys
 from pathlib import Path
 
 import duckdb
@@ -79,3 +80,16 @@ def test_jobs_run_with_documented_settings(monkeypatch, name, job, documented):
     with pytest.raises(Called):
         getattr(queries, name)(None, None)
     assert {k: seen[k] for k in documented} == documented
+
+
+@pytest.mark.parametrize("missing", ["logsift.llm", "logsift.llm.registered", "corpus_pipeline", "zstandard"])
+def test_other_queries_survive_a_missing_module(monkeypatch, missing):
+    for name in [m for m in sys.modules if m.startswith(("logsift.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)  # importing it now raises ImportError
+    if missing == "logsift.llm":
+        monkeypatch.delattr(sys.modules["logsift"], "llm", raising=False)
+    with pytest.warns(UserWarning, match="no training-data queries"):
+        assert set(driver.queries()) == set(queries.QUERIES)
+    with pytest.warns(UserWarning):
+        assert set(driver.oracle_sql()) == set(queries.ORACLES)
