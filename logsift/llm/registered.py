@@ -13,6 +13,7 @@ from logsift.llm import (
     golay_dedup,
     katz,
     mixing,
+    norm_bounds,
     pii,
     prefix_forest,
     token_files,
@@ -20,7 +21,7 @@ from logsift.llm import (
 )
 from logsift.llm.common import id_remainder, table
 from logsift.llm.sql import ORACLES as _SQL
-from logsift.sources.scratch import scratch_path
+from logsift.sources.scratch import materialize, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -129,6 +130,22 @@ def op10_pii(spark, sf_dir):
     )
 
 
+def op13_norm_bounds(spark, sf_dir):
+    """Codes of every vector, their errors, and the final codebooks."""
+    made = norm_bounds.compress(table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
+    digests = {length: norm_bounds.codebook_digest(book) for length, book in made.codebooks.items()}
+    digest = F.create_map(*[F.lit(x) for pair in digests.items() for x in pair])[F.col("length")]
+    errors = made.rows.groupBy(F.col("row.label").alias("of")).agg(F.sum("error").alias("label_error"))
+    errors = materialize(errors, "label-errors")
+    return made.rows.join(errors, F.col("row.label").eqNullSafe(F.col("of"))).select(
+        F.col("row.vec_id").alias("vec_id"),
+        norm_bounds.code_text(F.col("code")).alias("code"),
+        "error",
+        "label_error",
+        digest.alias("codebooks_sha256"),
+    )
+
+
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -147,6 +164,7 @@ QUERIES = {
         op8_toxicity_fm,
         op9_katz_backoff,
         op10_pii,
+        op13_norm_bounds,
         pipeline,
     )
 }
