@@ -16,8 +16,10 @@ from logsift.llm import (
     norm_bounds,
     pii,
     prefix_forest,
+    secret_owners,
     token_files,
     toxicity_fm,
+    whitening,
 )
 from logsift.llm.common import id_remainder, table
 from logsift.llm.sql import ORACLES as _SQL
@@ -130,6 +132,34 @@ def op10_pii(spark, sf_dir):
     )
 
 
+def op11_secret_owners(spark, sf_dir):
+    """Secrets in every document, judged by how many owners have them."""
+    found = secret_owners.secrets(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(secret_owners.KINDS)],
+        F.sha2(secret_owners.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secret_owners.spans_text(F.concat("base", "added")).alias("spans"),
+        secret_owners.spans_text(F.col("owned")).alias("owned_spans"),
+        secret_owners.spans_text(F.col("copied")).alias("copied_spans"),
+    )
+
+
+def op12_whitening(spark, sf_dir):
+    """Every vector on the first eight whitened components."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("row.vec_id").alias("vec_id"),
+        "component",
+        "n",
+        F.col("deviation").try_cast("bigint").alias("deviation"),
+        "whitened",
+        "explained",
+        "identity_error",
+    )
+
+
 def op13_norm_bounds(spark, sf_dir):
     """Codes of every vector, their errors, and the final codebooks."""
     made = norm_bounds.compress(table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
@@ -164,6 +194,8 @@ QUERIES = {
         op8_toxicity_fm,
         op9_katz_backoff,
         op10_pii,
+        op11_secret_owners,
+        op12_whitening,
         op13_norm_bounds,
         pipeline,
     )

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logsift.llm import norm_bounds, registered
+from logsift.llm import norm_bounds, registered, whitening
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -29,6 +29,78 @@ def odd_rows(length=64):
     ]
 
 
+# -- 12: whitening ------------------------------------------------------------------------------------
+
+
+def brute_whiten(vectors, components=8):
+    """Exact deviations; whitened rows and shares of the variance from numpy."""
+    x = [[math.floor(1024 * c) + 100_000 for c in v] for v in vectors]
+    n, sums = len(x), [sum(c) for c in zip(*x, strict=True)]
+    spread = [sum((n * c - s) ** 2 for c, s in zip(v, sums, strict=True)) for v in x]
+    centred = np.array([[(n * c - s) / n for c, s in zip(v, sums, strict=True)] for v in x])
+    values, axes = np.linalg.eigh(centred.T @ centred / n)
+    order = np.argsort(-values)[:components]
+    return spread, centred @ axes[:, order] / np.sqrt(values[order]), values[order] / values.sum()
+
+
+def whitened_rows(df, **options):
+    found = whitening.whiten(df, **options).select("row.*", "n", "deviation", "component", "whitened", "explained", "identity_error")
+    return found.collect()
+
+
+@pytest.mark.parametrize("least", [64, 640, 1 << 16])
+def test_whitened_rows_equal_brute_force(spark, monkeypatch, least):
+    monkeypatch.setattr(whitening, "LEAST_CELLS", least)  # one row a block, ten, all of a task
+    rng = np.random.default_rng(4)
+    mix = rng.normal(0, 0.2, (64, 64))
+    rows = [(i, [float(np.float32(c)) for c in mix @ rng.normal(0, 1, 64) + 0.3], i % 3) for i in range(150)]
+    rows += [rows[3], rows[3]]
+    df = spark.createDataFrame(rows + odd_rows(), VECTORS).repartition(4)
+    got = whitened_rows(df)
+    spread, white, share = brute_whiten([r[1] for r in rows])
+    at = {i: k for k, (i, _, _) in enumerate(rows)}
+    assert len(got) == 8 * len(rows) and {r.n for r in got} == {len(rows)}
+    assert sorted({(r.vec_id, int(r.deviation)) for r in got}) == sorted({(i, spread[k]) for i, k in at.items()})
+    for c in range(8):
+        mine = np.array([(at[r.vec_id], r.whitened) for r in got if r.component == c + 1])
+        expected = white[mine[:, 0].astype(int), c]
+        sign = np.sign(mine[:, 1] @ expected)
+        assert np.allclose(sign * mine[:, 1], expected, atol=1e-9)
+    assert {r.component: r.explained for r in got} == pytest.approx({c + 1: share[c] for c in range(8)}, rel=1e-9)
+    errors = {r.identity_error for r in got}
+    assert len(errors) == 1 and errors.pop() < 1e-9
+
+
+def test_whitening_few_rows_and_lengths(spark):
+    one = whitened_rows(spark.createDataFrame([(1, [0.5, 0.25], 0)], VECTORS))
+    assert [(r.component, r.whitened, r.explained, int(r.deviation), r.identity_error) for r in one] == [
+        (1, None, 0.0, 0, 0.0),
+        (2, None, 0.0, 0, 0.0),
+    ]
+    rows = [(i, [float(i), 0.0], 0) for i in range(4)] + [(9, [1.0], 0), (10, [2.0], 0), (None, [], 1), (11, [], 0)]
+    got = whitened_rows(spark.createDataFrame(rows, VECTORS))
+    line = {r.vec_id: abs(r.whitened) for r in got if r.component == 1}
+    assert line == pytest.approx({0: 1.5 / math.sqrt(1.25), 1: 0.5 / math.sqrt(1.25), 2: 0.5 / math.sqrt(1.25), 3: 1.5 / math.sqrt(1.25), 9: 1, 10: 1})
+    assert {r.whitened for r in got if r.component == 2} == {None}
+    assert {r.n for r in got if r.vec_id >= 9} == {2}
+
+
+def test_whitening_holds_large_numbers(spark):
+    rows = [(1, [3e38, 1.0], 0), (2, [-3e38, 2.0], 0), (3, [0.0, 3.0], 0), (4, [1e9, 1e9], 0), (5, [5e8, 7.5], 1)]
+    got = whitened_rows(spark.createDataFrame(rows[3:], VECTORS))
+    assert {r.vec_id: int(r.deviation) for r in got} == dict(zip((4, 5), brute_whiten([r[1] for r in rows[3:]])[0], strict=True))
+    assert len(whitened_rows(spark.createDataFrame(rows, VECTORS))) == 10
+
+
+def test_whitening_of_an_empty_table_and_odd_names(spark):
+    assert whitened_rows(spark.createDataFrame([], VECTORS)) == []
+    assert whitened_rows(spark.createDataFrame(odd_rows(), VECTORS)) == []
+    rows = [(i, [0.1 * i, 0.5], "x", "y") for i in range(3)]
+    df = spark.createDataFrame(rows, "`my id` long, `a.b` array<float>, row string, n string")
+    found = whitening.whiten(df, vec_col="a.b", keep=["my id", "row", "n"])
+    assert {tuple(r.row) for r in found.collect()} == {(i, "x", "y") for i in range(3)}
+
+
 # -- 13: vector code compression ----------------------------------------------------------------------
 
 
