@@ -12,14 +12,17 @@ from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsift.models.features import PLAIN_VECTOR, unfolded
 from logsift.operators.labels import ANOMALOUS, UNLABELED
 from logsift.operators.pu import pu_constant, pu_decision, pu_score
 from logsift.operators.splits import holdout_split
 from logsift.registry import binary_models, multi_models, saved_models
+from logsift.sources.scratch import scratch_path
 from logsift.sources.stores import load_run, save_run
 
 
@@ -45,10 +48,11 @@ def _load_stage(spark: SparkSession, path: str):
 
 
 def _probability_one(model, rows: DataFrame) -> DataFrame:
+    """``p1``, the probability of class 1, or the prediction of a regression on the 0/1 labels."""
     scored = model.transform(rows)
-    return scored.withColumn("p1", vector_to_array("probability")[1]).drop(
-        "rawPrediction", "probability", "prediction"
-    )
+    known = "probability" in scored.columns
+    p1 = vector_to_array("probability")[1] if known else F.col("prediction")
+    return scored.withColumn("p1", p1).drop("rawPrediction", "probability", "prediction")
 
 
 class Detector(Estimator):
@@ -189,15 +193,10 @@ class SvmModel(Model):
         return predicted.select(*rows.columns, F.col("class_name").cast("double").alias("pred"))
 
     def coefficients(self, spark: SparkSession) -> DataFrame:
-        """(class_id, idx, coef): one vector per class is sent out and unfolded by the tasks."""
-        svms, back = self.stages.stages
-        rows = [
-            (float(label), svm.coefficients)
-            for label, svm in zip(back.getLabels(), svms.models, strict=True)
-        ]
-        vectors = spark.createDataFrame(rows, ["class_id", "vector"])
-        cells = F.posexplode(vector_to_array("vector")).alias("idx", "coef")
-        return vectors.repartition("class_id").select("class_id", cells)
+        """(class_id, idx, coef): the non-zero coefficients, unfolded by the tasks from the stored model."""
+        path = scratch_path(spark, "svm", keep=True)
+        self.save(path)
+        return stored_coefficients(spark, path)
 
     def save(self, path: str) -> None:
         self.stages.write().overwrite().save(f"{path}/model")
@@ -207,6 +206,28 @@ class SvmModel(Model):
         return cls(PipelineModel.load(f"{path}/model"))
 
 
+def stored_coefficients(spark: SparkSession, path: str) -> DataFrame:
+    """(class_id, idx, coef) of an SVM saved at ``path``: its files are read as a table.
+
+    Each class has a folder of its own with one vector; the driver only sees the class names. Cells that
+    are zero are left out.
+    """
+    [names] = [r.labels for r in _stage(spark, path, 1).select("paramMap.labels").collect()]
+    labels = spark.createDataFrame([(i, float(name)) for i, name in enumerate(names)], "place int, class_id double")
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/model_([0-9]+)/data/[^/]*$", 1).cast("int")
+    vectors = (
+        spark.read.schema(f"coefficients {PLAIN_VECTOR}")
+        .parquet(f"{path}/model/stages/0_*/model_*/data")
+        .select(number.alias("place"), "coefficients")
+    )
+    cells = vectors.join(labels, "place").select("class_id", unfolded(F.col("coefficients")))
+    return cells.withColumnRenamed("value", "coef")
+
+
+def _stage(spark: SparkSession, path: str, at: int) -> DataFrame:
+    return spark.read.json(f"{path}/model/stages/{at}_*/metadata")
+
+
 def _forest(**params) -> RandomForestClassifier:
     # Ten bootstrapped trees; 30 is the deepest MLlib grows.
     return RandomForestClassifier(**{"numTrees": 10, "maxDepth": 30, "seed": 0, **params})
@@ -218,6 +239,18 @@ def pu_learning(**params) -> PULearningClassifier:
     return PULearningClassifier(_forest(**{"impurity": "entropy", **params}))
 
 
+@binary_models.register("pu_unpruned")
+def pu_unpruned(**params) -> PULearningClassifier:
+    """Positive-unlabeled learning for lines that have mostly lost their label.
+
+    MLlib cuts a classification tree back where both leaves name the same class. If most positives are
+    unlabeled, every leaf names the unlabeled class and nothing is left of the tree. A regression
+    forest on the 0/1 labels has the same shares in its leaves and is not cut back; its impurity is the
+    variance, half of Gini's.
+    """
+    return PULearningClassifier(RandomForestRegressor(**{"numTrees": 10, "maxDepth": 30, "seed": 0, **params}))
+
+
 @binary_models.register("regular")
 def regular(**params) -> Detector:
     """The same forest with Gini impurity and without the correction, for comparison."""
@@ -230,5 +263,6 @@ def svm(**params) -> SvmClassifier:
 
 
 saved_models.register("pu_learning", PULearningModel)
+saved_models.register("pu_unpruned", PULearningModel)
 saved_models.register("regular", DetectorModel)
 saved_models.register("svm", SvmModel)

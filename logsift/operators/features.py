@@ -110,6 +110,69 @@ def feature_cells(lines: DataFrame, weights: DataFrame, names: Sequence[str]) ->
     return known.select("line_no", F.inline(F.filter(cells, lambda c: c.isNotNull()) if of_line else cells))
 
 
+def line_cells(
+    lines: DataFrame,
+    weights: DataFrame,
+    names: Sequence[str],
+    width: Column,
+    columns: int | None = None,
+    by: Sequence[str] = (),
+    texts: DataFrame | None = None,
+) -> DataFrame:
+    """(line_no, by..., other columns, cells): the non-zero cells of each line, sorted, in one array.
+
+    ``cells`` holds (at, value). Terms and lines meet in one grouping by line, whose rows carry the line's
+    other columns, so there is one shuffle of thin rows and the tokens are not in it. ``width`` is the
+    number of columns of a term feature. With ``columns``, tokens stand at ``col``, and those without one
+    are summed up in the last column of the block. ``by`` are columns of ``lines`` and ``weights``: with
+    several training sets, ``texts`` has each line once and a term finds all its sets in one join.
+    """
+    terms = [n for n in names if isinstance(features[n], TermFeature)]
+    others = [c for c in lines.columns if c not in ("line_no", "tokens", *by)]
+    line = F.struct("line_no", *others)
+    known = known_terms(lines if texts is None else texts, weights)
+    place = F.col("idx") if columns is None else F.coalesce("col", F.lit(columns))
+    value = [features[n].value().alias(f"v{i}") for i, n in enumerate(terms)]
+    term = F.struct(place.cast("int").alias("at"), "tf", *value)
+    kinds = {
+        "term": known.select(term.alias("term")).schema["term"].dataType,
+        "line": lines.select(line.alias("line")).schema["line"].dataType,
+    }
+    nothing = lambda kind: F.lit(None).cast(kinds[kind]).alias(kind)
+    grouped = (
+        known.select("line_no", *by, term.alias("term"), nothing("line"))
+        .unionByName(lines.select("line_no", *by, nothing("term"), line.alias("line")))
+        .groupBy("line_no", *by)
+        .agg(F.collect_list("term").alias("terms"), F.first("line", ignorenulls=True).alias("line"))
+    )
+    counts = F.transform("terms", lambda t: t["tf"].cast("double"))
+    cell = lambda at, v: F.struct(at.cast("int").alias("at"), v.alias("value"))
+    blocks = []
+    n_terms = n_lines = 0
+    for name in names:
+        offset = width * n_terms + n_lines
+        if isinstance(features[name], TermFeature):
+            blocks.append(_term_cells(f"v{n_terms}", offset, width, columns, cell))
+            n_terms += 1
+        else:
+            blocks.append(F.array(cell(offset, features[name].of_array(counts))))
+            n_lines += 1
+    found = F.array_sort(F.filter(F.concat(*blocks), lambda c: c["value"] != 0))
+    return grouped.select("line_no", *by, *[F.col("line")[c].alias(c) for c in others], found.alias("cells"))
+
+
+def _term_cells(value: str, offset: Column, width: Column, columns: int | None, cell) -> Column:
+    own = lambda t: cell(t["at"] + offset, t[value])
+    if columns is None:
+        return F.transform("terms", own)
+    rest = F.filter("terms", lambda t: t["at"] >= columns)
+    total = F.aggregate(F.array_sort(F.transform(rest, lambda t: t[value])), F.lit(0.0), lambda a, v: a + v)
+    return F.concat(
+        F.transform(F.filter("terms", lambda t: t["at"] < columns), own),
+        F.array(cell(offset + width - 1, total)),
+    )
+
+
 def scale_to_unit_range(cells: DataFrame, n_cells: Column) -> DataFrame:
     """All cells of the matrix scaled to [-1, 1] by the global minimum and maximum.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions import text as T
 from logsift.operators.ranking import global_rank
+from logsift.sources.scratch import materialize
 
 CORPUS = ("line_no", "label", "message")
 
@@ -42,14 +43,14 @@ def preprocess_paired(pairs: DataFrame) -> DataFrame:
 def paired_corpus(truth: DataFrame, raw: DataFrame, key: str) -> DataFrame:
     """Corpus from labels ``(line_no, label)`` and raw lines ``(key, raw)`` in the order of ``key``.
 
-    Only keys are ranked and joined by position. A raw line is cleaned where it is read, and only its
-    message is joined to the label.
+    Only keys are ranked and joined by position. The pairs are stored, so the planner knows their size:
+    few labels are broadcast to the scan, and only the raw lines that have one are cleaned.
     """
-    message = T.clean_parameters(T.drop_first_token(F.col("raw")))
-    cleaned = keep_non_empty(raw, "message", message).select(key, "message")
-    pairs = positional_join(truth, number_lines(raw.select(key), key))
     label = T.strip(F.col("label")).alias("label")
-    return cleaned.join(pairs, key).select("line_no", label, "message")
+    pairs = positional_join(truth, number_lines(raw.select(key), key)).select(key, "line_no", label)
+    paired = raw.select(key, "raw").join(materialize(pairs, "pairs"), key)
+    message = T.clean_parameters(T.drop_first_token(F.col("raw")))
+    return keep_non_empty(paired, "message", message).select(*CORPUS)
 
 
 def preprocess_bgl(raw: DataFrame) -> DataFrame:

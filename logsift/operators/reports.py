@@ -104,12 +104,21 @@ def confusion_matrix(preds: DataFrame) -> DataFrame:
 
 
 @model_reports.register("top_k_svm")
-def top_k_terms(coefficients: DataFrame, names: DataFrame, k: int = 5) -> DataFrame:
+def top_k_terms(
+    coefficients: DataFrame, names: DataFrame, k: int = 5, order: DataFrame | None = None
+) -> DataFrame:
     """(label, rank, name, coef): the ``k`` largest coefficients of each class, best first.
 
     ``coefficients`` is (label, idx, coef), ``names`` is (idx, name). Ties go to the larger idx.
-    The limit is pushed below the shuffle, so each task forwards k rows per class.
+    The limit is pushed below the shuffle, so each task forwards k rows per class. With fewer than three
+    classes only the one in front is reported if ``order`` gives (label, place): the other is its opposite.
     """
+    if order is not None:
+        classes = order.agg(F.count("*").alias("n"), F.min_by("label", "place").alias("first"))
+        of = classes.select(F.struct("n", "first")).scalar()
+        coefficients = coefficients.withColumn("classes", of).where(
+            (F.col("classes.n") > 2) | (F.col("label") == F.col("classes.first"))
+        )
     best = Window.partitionBy("label").orderBy(F.desc("coef"), F.desc("idx"))
     return (
         coefficients.withColumn("rank", F.row_number().over(best))
@@ -133,7 +142,7 @@ def run_reports(
     names: Sequence[str],
     binary: DataFrame | None = None,
     multi: DataFrame | None = None,
-    model_inputs: tuple[DataFrame, DataFrame] | None = None,
+    model_inputs: tuple[DataFrame, DataFrame, DataFrame] | None = None,
     k: int = 5,
 ) -> dict[tuple[str, str], DataFrame]:
     """{(task, report): DataFrame} for the reports that apply to what is given."""
@@ -141,7 +150,8 @@ def run_reports(
     for name in names:
         if name in model_reports:
             if model_inputs is not None:
-                found["multi", name] = model_reports[name](*model_inputs, k)
+                coefficients, columns, order = model_inputs
+                found["multi", name] = model_reports[name](coefficients, columns, k, order)
             continue
         report = prediction_reports[name]
         own = name not in BINARY_REPORTS

@@ -7,9 +7,12 @@ folds, as they must. Predictions of all folds form one table and are scored in o
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Sequence
+from contextvars import copy_context
 from dataclasses import dataclass, field
+from functools import wraps
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.models import classifiers  # noqa: F401  registers the models
-from logsift.models.features import DEFAULT_FEATURES, FeatureModel, split_model
+from logsift.models.features import DEFAULT_FEATURES, FeatureModel, choose_columns, split_model, split_vectors
 from logsift.operators import reports as R
 from logsift.operators import splits as S
 from logsift.operators.labels import (
@@ -28,7 +31,7 @@ from logsift.operators.labels import (
 )
 from logsift.operators.vocabulary import fit_split_weights, tokenize
 from logsift.registry import binary_models, multi_models, saved_models
-from logsift.sources.scratch import materialize
+from logsift.sources.scratch import materialize, scratch_scope
 from logsift.sources.stores import load_run, save_results, save_run
 
 DEFAULT_FOLDS = 3
@@ -42,9 +45,26 @@ class Run:
     best_fold: int | None = None
     binary: DataFrame | None = None
     multi: DataFrame | None = None
+    lines: DataFrame | None = None
     reports: dict = field(default_factory=dict)
     models: dict = field(default_factory=dict)
 
+    def record(self, run_id: str, job: str, settings: dict) -> DataFrame:
+        """The run as a typed table, one row per fold: settings, scores and seconds."""
+        times = ("train_time", "run_time")
+        kinds = dict(self.results.dtypes)
+        scores = [c for c in self.results.columns if kinds[c] == "double" and c not in times]
+        pairs = [x for name, value in sorted(settings.items()) for x in (F.lit(name), F.lit(_as_text(value)))]
+        return self.results.select(
+            F.lit(run_id).alias("run_id"),
+            F.lit(job).alias("job"),
+            F.create_map(*pairs).cast("map<string,string>").alias("settings"),
+            F.col("fold").cast("int").alias("fold"),
+            (F.col("fold") == self.best_fold).alias("best"),
+            F.create_map(*[x for c in scores for x in (F.lit(c), F.col(c))]).alias("scores"),
+            *[F.col(c).cast("double") if c in kinds else F.lit(None).cast("double").alias(c) for c in times],
+        )
+
     def save(self, path: str, config: dict) -> None:
         """The best fold's models, the settings and the results under one folder."""
         for name, model in self.models.items():
@@ -53,9 +73,14 @@ class Run:
         save_results(self.results, f"{path}/results")
 
 
+def _as_text(value) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
 def prepare(corpus: DataFrame, healthy: str) -> tuple[DataFrame, DataFrame]:
     """(line_no, y, tokens) and the class table."""
     rows, classes = encode_labels(corpus, healthy)
+    classes = materialize(classes.coalesce(1), "classes", keep=True)
     return tokenize(rows.select("line_no", "y", "message")), classes
 
 
@@ -73,18 +98,30 @@ def predict_timed(model, rows: DataFrame, **columns):
     """Stored predictions ``(line_no, y, pred, ...)`` and the seconds it took to make them."""
     labels = [F.lit(value).alias(name) for name, value in columns.items()]
     preds = model.transform(rows).select("line_no", "y", "pred", *labels)
-    return timed(materialize, preds, "predictions")
+    return timed(materialize, preds, "predictions", True)
 
 
-def _each_fold(fit, feature_models: Sequence[FeatureModel], parallelism: int) -> list:
-    """``fit(fold, feature_model)`` for every fold, up to ``parallelism`` at a time.
+def _each_fold(spark: SparkSession, fit, k: int, parallelism: int) -> list:
+    """``fit(fold)`` for every fold, up to ``parallelism`` at a time.
 
     The fits are independent Spark jobs; overlapping them fills the gaps between short stages, at
     the price of holding that many training sets.
     """
-    spark = feature_models[0].weights.sparkSession
-    with ThreadPool(max(1, min(parallelism, len(feature_models)))) as pool:
-        return pool.starmap(inheritable_thread_target(spark)(fit), enumerate(feature_models))
+    own = [(copy_context(), fold) for fold in range(k)]  # a thread writes to the scratch scope of its job
+    target = inheritable_thread_target(spark)(lambda context, fold: context.run(fit, fold))
+    with ThreadPool(max(1, min(parallelism, k))) as pool:
+        return pool.starmap(target, own)
+
+
+def _scoped(job):
+    """The job inside a scratch scope: only what it returns or saves stays."""
+
+    @wraps(job)
+    def run(corpus: DataFrame, *args, **kwargs) -> Run:
+        with scratch_scope(corpus.sparkSession):
+            return job(corpus, *args, **kwargs)
+
+    return run
 
 
 def _union(tables: Sequence[DataFrame]) -> DataFrame:
@@ -98,11 +135,39 @@ def _as_binary(rows: DataFrame) -> DataFrame:
     return rows.withColumn("y", binary_truth(F.col("y")))
 
 
-def _folded(corpus: DataFrame, healthy: str, k: int, swap: bool, names: Sequence[str]):
-    rows, classes = prepare(corpus, healthy)
+@dataclass
+class Folds:
+    """The training sets of a cross-validation and the vectors of their lines, all from one pass."""
+
+    k: int
+    swap: bool
+    names: Sequence[str]
+    columns: int | None
+    weights: DataFrame
+    vectors: DataFrame
+
+    def train(self, fold: int) -> DataFrame:
+        return S.train_part(self._of(fold), fold, self.swap)
+
+    def test(self, fold: int) -> DataFrame:
+        return S.test_part(self._of(fold), fold, self.swap)
+
+    def _of(self, fold: int) -> DataFrame:
+        return self.vectors.where(F.col("split") == fold).drop("split")
+
+    def model(self, fold: int) -> FeatureModel:
+        return split_model(self.weights, fold, self.names, self.columns)
+
+
+def _fold(
+    rows: DataFrame, k: int, swap: bool, names: Sequence[str], columns: int | None, only=lambda rows: rows
+) -> Folds:
+    """Folds of ``(line_no, y, tokens)``; vectors are only made of the lines that ``only`` keeps."""
     rows = materialize(S.stratified_kfold(rows, k), "folds")
     weights = fit_split_weights(rows, k, swap)
-    return rows, classes, [split_model(weights, i, names) for i in range(k)]
+    if columns is not None:
+        weights = materialize(choose_columns(weights, columns, ["split"]), "weights")
+    return Folds(k, swap, names, columns, weights, split_vectors(only(rows), weights, k, names, columns))
 
 
 def _times_table(spark: SparkSession, times: list[tuple]) -> DataFrame:
@@ -110,18 +175,20 @@ def _times_table(spark: SparkSession, times: list[tuple]) -> DataFrame:
 
 
 def _svm_inputs(model, features: FeatureModel, classes: DataFrame):
-    """Coefficients by label and the column names, for the top-terms report."""
-    spark = classes.sparkSession
+    """Coefficients by label, the column names, and the classes in the order they are first seen."""
     labels = target_names(classes)
-    coefficients = model.coefficients(spark).join(labels, "class_id")
-    return coefficients.select("label", "idx", "coef"), features.feature_names()
+    coefficients = model.coefficients(classes.sparkSession).join(labels, "class_id")
+    order = labels.select("label", F.col("class_id").alias("place"))
+    return coefficients.select("label", "idx", "coef"), features.feature_names(), order
 
 
+@_scoped
 def train_binary(
     corpus: DataFrame,
     healthy: str,
     k: int = DEFAULT_FOLDS,
     features: Sequence[str] = DEFAULT_FEATURES,
+    columns: int | None = None,
     binary_classifier: str = "pu_learning",
     reports: Sequence[str] = ("confusion_matrix",),
     path: str | None = None,
@@ -129,38 +196,39 @@ def train_binary(
     **params,
 ) -> Run:
     """Cross-validated anomaly detection; the fold with the best F1 is kept."""
-    rows, _, feature_models = _folded(corpus, healthy, k, False, features)
-    rows = _as_binary(rows)
-
-    def fit(fold, feature_model):
-        train = feature_model.transform(S.train_part(rows, fold))
-        model, train_time = fit_timed(binary_models[binary_classifier](**params), train)
-        test = feature_model.transform(S.test_part(rows, fold))
-        found, run_time = predict_timed(model, test, fold=fold)
+    rows, _ = prepare(corpus, healthy)
+    folds = _fold(rows, k, False, features, columns, _as_binary)
+    spark = corpus.sparkSession
+
+    def fit(fold):
+        model, train_time = fit_timed(binary_models[binary_classifier](**params), folds.train(fold))
+        found, run_time = predict_timed(model, folds.test(fold), fold=fold)
         return model, found, (fold, train_time, run_time)
 
-    models, preds, times = zip(*_each_fold(fit, feature_models, parallelism), strict=True)
+    models, preds, times = zip(*_each_fold(spark, fit, k, parallelism), strict=True)
     preds = _union(preds)
-    results = R.f1_binary(preds, ["fold"]).join(_times_table(rows.sparkSession, times), "fold")
-    results = materialize(results.coalesce(1), "results")
+    results = R.f1_binary(preds, ["fold"]).join(_times_table(spark, times), "fold")
+    results = materialize(results.coalesce(1), "results", keep=True)
     best = R.best_fold(results, "f1").first().fold
     run = Run(
         results,
         best,
         binary=preds,
         reports=R.run_reports(reports, preds.where(F.col("fold") == best)),
-        models={"features": feature_models[best], "binary": models[best]},
+        models={"features": folds.model(best), "binary": models[best]},
     )
     if path:
         run.save(path, {"healthy": healthy, "binary": binary_classifier, "best_fold": best})
     return run
 
 
+@_scoped
 def train_global(
     corpus: DataFrame,
     healthy: str,
     k: int = DEFAULT_FOLDS,
     features: Sequence[str] = DEFAULT_FEATURES,
+    columns: int | None = None,
     binary_classifier: str = "pu_learning",
     multi_classifier: str = "svm",
     reports: Sequence[str] = ("confusion_matrix",),
@@ -170,26 +238,33 @@ def train_global(
     parallelism: int = 1,
 ) -> Run:
     """Cross-validated detection and classification; best F1 wins, then best accuracy."""
-    rows, classes, feature_models = _folded(corpus, healthy, k, False, features)
+    rows, classes = prepare(corpus, healthy)
+    folds = _fold(rows, k, False, features, columns)
+    spark = corpus.sparkSession
 
-    def fit(fold, feature_model):
-        train = feature_model.transform(S.train_part(rows, fold))
-        test = feature_model.transform(S.test_part(rows, fold))
+    def fit(fold):
+        train, test = folds.train(fold), folds.test(fold)
         detector = binary_models[binary_classifier](**(binary_params or {}))
-        detector, _ = fit_timed(detector, _as_binary(train))
+        detector, detect_time = fit_timed(detector, _as_binary(train))
         classifier = multi_models[multi_classifier](**(multi_params or {}))
-        classifier, _ = fit_timed(classifier, anomalous_only(train))
-        detected, _ = predict_timed(detector, _as_binary(test), fold=fold)
-        classified, _ = predict_timed(classifier, anomalous_only(test), fold=fold)
-        return (detector, classifier), detected, classified
-
-    fitted = _each_fold(fit, feature_models, parallelism)
-    models, binary_preds, multi_preds = zip(*fitted, strict=True)
+        classifier, classify_time = fit_timed(classifier, anomalous_only(train))
+        detected, detect_run = predict_timed(detector, _as_binary(test), fold=fold)
+        classified, classify_run = predict_timed(classifier, anomalous_only(test), fold=fold)
+        seconds = (fold, detect_time + classify_time, detect_run + classify_run)
+        return (detector, classifier), detected, classified, seconds
+
+    fitted = _each_fold(spark, fit, k, parallelism)
+    models, binary_preds, multi_preds, times = zip(*fitted, strict=True)
     binary_preds, multi_preds = _union(binary_preds), _union(multi_preds)
-    results = R.f1_binary(binary_preds, ["fold"]).join(R.accuracy(multi_preds, ["fold"]), "fold")
-    results = materialize(results.coalesce(1), "results")
+    results = (
+        R.f1_binary(binary_preds, ["fold"])
+        .join(R.accuracy(multi_preds, ["fold"]), "fold")
+        .join(_times_table(spark, times), "fold")
+    )
+    results = materialize(results.coalesce(1), "results", keep=True)
     best = R.best_fold(results, "f1", "accuracy").first().fold
     detector, classifier = models[best]
+    feature_model = folds.model(best)
     run = Run(
         results,
         best,
@@ -199,9 +274,9 @@ def train_global(
             reports,
             binary_preds.where(F.col("fold") == best),
             multi_preds.where(F.col("fold") == best),
-            _svm_inputs(classifier, feature_models[best], classes),
+            _svm_inputs(classifier, feature_model, classes),
         ),
-        models={"features": feature_models[best], "binary": detector, "multi": classifier},
+        models={"features": feature_model, "binary": detector, "multi": classifier},
     )
     if path:
         run.save(
@@ -227,6 +302,7 @@ def load_models(spark: SparkSession, path: str) -> dict:
     return models
 
 
+@_scoped
 def score_binary(
     corpus: DataFrame,
     path: str,
@@ -247,6 +323,7 @@ def score_binary(
     )
 
 
+@_scoped
 def score_global(
     corpus: DataFrame,
     path: str,
@@ -256,7 +333,9 @@ def score_global(
     """Detection, then classification, with saved models.
 
     Classification runs on the truly anomalous lines, or with ``cascade`` on the lines the detector
-    found. Class ids are those of the training corpus; lines of a class it did not have keep a NULL
+    found: those may be healthy in truth, and anomalies it missed are left out. ``lines`` of the result
+    has every line: (line_no, label, class_id, anomaly, pred), ``pred`` is null where no class was asked for.
+    Class ids are those of the training corpus; lines of a class it did not have keep a NULL
     class id and count as wrong.
     """
     spark = corpus.sparkSession
@@ -266,23 +345,27 @@ def score_global(
     ids = classes.select("label", F.col("class_id").alias("class_id"))
     y = F.when(F.col("label") == healthy, -1.0).otherwise(1.0)
     rows = tokenize(
-        corpus.join(ids, "label", "left").select("line_no", y.alias("y"), "class_id", "message")
+        corpus.join(ids, "label", "left").select("line_no", "label", y.alias("y"), "class_id", "message")
     )
     vectors = models["features"].transform(rows)
     detected = models["binary"].transform(vectors).withColumnRenamed("pred", "anomaly")
     detected = materialize(
-        detected.select("line_no", "y", "class_id", "features", "anomaly"), "detected"
+        detected.select("line_no", "label", "y", "class_id", "features", "anomaly"), "detected"
     )
-    binary = detected.select("line_no", "y", F.col("anomaly").alias("pred"))
-    chosen = F.col("anomaly") == 1.0 if cascade else F.col("y") == 1.0
-    anomalous = detected.where(chosen).select(
-        "line_no", F.coalesce("class_id", F.lit(-2.0)).alias("y"), "features"
+    chosen = F.col("anomaly" if cascade else "y") == 1.0
+    columns = ("line_no", "label", "y", "class_id", "anomaly", "pred")
+    classified = models["multi"].transform(detected.where(chosen)).select(*columns)
+    others = detected.where(~chosen).withColumn("pred", F.lit(None).cast("double")).select(*columns)
+    lines = materialize(classified.unionByName(others), "scored-lines", keep=True)
+    binary = lines.select("line_no", "y", F.col("anomaly").alias("pred"))
+    multi = lines.where(F.col("pred").isNotNull()).select(
+        "line_no", F.coalesce("class_id", F.lit(-2.0)).alias("y"), "pred"
     )
-    multi, _ = predict_timed(models["multi"], anomalous)
     return Run(
         R.f1_binary(binary).withColumn("accuracy", R.accuracy(multi).scalar()),
         binary=binary,
         multi=multi,
+        lines=lines.drop("y"),
         reports=R.run_reports(
             reports, binary, multi, _svm_inputs(models["multi"], models["features"], classes)
         ),
@@ -290,12 +373,14 @@ def score_global(
     )
 
 
+@_scoped
 def train_multi(
     corpus: DataFrame,
     healthy: str,
     k: int = DEFAULT_FOLDS,
     swap: bool = False,
     features: Sequence[str] = DEFAULT_FEATURES,
+    columns: int | None = None,
     multi_classifier: str = "svm",
     path: str | None = None,
     exp_name: str = "multi",
@@ -304,23 +389,21 @@ def train_multi(
     **params,
 ) -> Run:
     """Cross-validated classification of anomalous lines; ``swap`` trains on one fold only."""
-    rows, classes, feature_models = _folded(corpus, healthy, k, swap, features)
+    rows, classes = prepare(corpus, healthy)
+    folds = _fold(rows, k, swap, features, columns, anomalous_only)
+    spark = corpus.sparkSession
 
-    def fit(fold, feature_model):
-        train = anomalous_only(S.train_part(rows, fold, swap))
-        test = anomalous_only(S.test_part(rows, fold, swap))
-        model, train_time = fit_timed(
-            multi_models[multi_classifier](**params), feature_model.transform(train)
-        )
-        found, run_time = predict_timed(model, feature_model.transform(test), fold=fold)
+    def fit(fold):
+        model, train_time = fit_timed(multi_models[multi_classifier](**params), folds.train(fold))
+        found, run_time = predict_timed(model, folds.test(fold), fold=fold)
         return model, found, (fold, train_time, run_time)
 
-    models, preds, times = zip(*_each_fold(fit, feature_models, parallelism), strict=True)
+    models, preds, times = zip(*_each_fold(spark, fit, k, parallelism), strict=True)
     preds = _union(preds)
     results = (
         R.f1_macro(preds, ["fold"])
         .join(R.f1_micro(preds, ["fold"]), "fold")
-        .join(_times_table(rows.sparkSession, times), "fold")
+        .join(_times_table(spark, times), "fold")
         .select(
             F.lit(exp_name).alias("exp_name"),
             F.lit(logs_type).alias("logs_type"),
@@ -331,13 +414,13 @@ def train_multi(
             "run_time",
         )
     )
-    results = materialize(results.coalesce(1), "results")
+    results = materialize(results.coalesce(1), "results", keep=True)
     best = R.best_fold(results, "macro").first().fold
     run = Run(
         results,
         best,
         multi=preds,
-        models={"features": feature_models[best], "multi": models[best]},
+        models={"features": folds.model(best), "multi": models[best]},
     )
     if path:
         run.save(path, {"healthy": healthy, "multi": multi_classifier, "best_fold": best})
@@ -345,6 +428,7 @@ def train_multi(
     return run
 
 
+@_scoped
 def pu_robustness(
     corpus: DataFrame,
     healthy: str,
@@ -353,7 +437,9 @@ def pu_robustness(
     step: int = 1,
     k: int = DEFAULT_FOLDS,
     features: Sequence[str] = DEFAULT_FEATURES,
+    columns: int | None = None,
     binary_classifier: str = "regular",
+    pu_classifier: str = "pu_learning",
     path: str | None = None,
     exp_name: str = "pu_robustness",
     logs_type: str = "logs",
@@ -363,19 +449,18 @@ def pu_robustness(
     """F1 of positive-unlabeled learning and of a plain classifier as labels get lost.
 
     For each fold and each noise percentage, some training positives are relabeled as unlabeled;
-    the test labels stay clean.
+    the test labels stay clean. Where few positives keep their label, ``pu_unpruned`` is the learner whose
+    trees stay whole.
     """
     rows, _ = prepare(corpus, healthy)
     rows = materialize(_as_binary(rows), "binary")
-    rows = materialize(S.stratified_kfold(S.force_ratio(rows, ratio), k), "folds")
-    weights = fit_split_weights(rows, k)
+    folds = _fold(S.force_ratio(rows, ratio), k, False, features, columns)
     levels = list(range(0, top_percentage, step))
-    names = {"pu_f1": "pu_learning", f"{binary_classifier}_f1": binary_classifier}
+    names = {"pu_f1": pu_classifier, f"{binary_classifier}_f1": binary_classifier}
 
-    def sweep(fold, feature_model):
-        train = materialize(S.noisy_labels(S.train_part(rows, fold), levels), "noisy")
-        train = feature_model.transform(train).persist()
-        test = feature_model.transform(S.test_part(rows, fold)).persist()
+    def sweep(fold):
+        train = S.noisy_labels(folds.train(fold), levels).persist()
+        test = folds.test(fold).persist()
         found = []
         for at, level in enumerate(levels):
             noisy = train.withColumn("y", F.col("noisy")[at])
@@ -387,8 +472,8 @@ def pu_robustness(
         test.unpersist()
         return found
 
-    feature_models = [split_model(weights, fold, features) for fold in range(k)]
-    preds = [p for found in _each_fold(sweep, feature_models, parallelism) for p in found]
+    swept = _each_fold(corpus.sparkSession, sweep, k, parallelism)
+    preds = [p for found in swept for p in found]
     scores = R.f1_binary(_union(preds), ["fold", "percentage", "score"])
     results = (
         scores.groupBy("fold", "percentage")
@@ -402,7 +487,7 @@ def pu_robustness(
             *names,
         )
     )
-    results = materialize(results.coalesce(1), "results")
+    results = materialize(results.coalesce(1), "results", keep=True)
     if path:
         save_results(results, path)
     return Run(results, binary=_union(preds))

@@ -73,18 +73,30 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_corpus_text(corpus: DataFrame, path: str) -> None:
-    """The corpus as latin-1 lines ``label message``, in line order across the part files."""
-    line = F.concat_ws(" ", "label", "message")
+def write_log_lines(lines: DataFrame, path: str, column: str = "raw") -> None:
+    """``(line_no, raw)`` as latin-1 lines, in line order across the part files."""
     (
-        corpus.repartitionByRange("line_no")
+        lines.repartitionByRange("line_no")
         .sortWithinPartitions("line_no")
-        .select(F.encode(line, LATIN_1).cast("string").alias("value"))
+        .select(F.encode(column, LATIN_1).cast("string").alias("value"))
         .write.mode("overwrite")
         .text(path)
     )
 
 
+def write_paired_lines(truth: DataFrame, raw: DataFrame, folder: str) -> None:
+    """Labels ``(line_no, label)`` and raw lines ``(line_no, raw)`` as the two files of a log folder."""
+    folder = folder.rstrip("/")
+    write_log_lines(truth, f"{folder}/{TRUTH_FILE}", "label")
+    write_log_lines(raw, f"{folder}/{LOG_FILE}")
+
+
+def write_corpus_text(corpus: DataFrame, path: str) -> None:
+    """The corpus as latin-1 lines ``label message``, in line order across the part files."""
+    line = F.concat_ws(" ", "label", "message")
+    write_log_lines(corpus.select("line_no", line.alias("raw")), path)
+
+
 def read_corpus_text(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, label, message) from a text corpus; blank lines are dropped."""
     return parse_corpus(read_log_lines(spark, path).withColumnRenamed("raw", "value"))

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,15 +30,37 @@ def scratch_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one table under the shared folder."""
-    return f"{scratch_dir(spark)}/logsift/{name}-{uuid.uuid4().hex}"
+#: Folders of the scopes that are open, the innermost last.
+_SCOPES: ContextVar[tuple[str, ...]] = ContextVar("scratch_scopes", default=())
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Scratch tables made inside the block are deleted at its end, but for those that are kept.
+
+    A kept table belongs to the scope around this one, or to nobody. Whatever leaves the block must read
+    kept tables only.
+    """
+    folder = f"{scratch_dir(spark)}/logsift/scope-{uuid.uuid4().hex}"
+    token = _SCOPES.set((*_SCOPES.get(), folder))
+    try:
+        yield folder
+    finally:
+        _SCOPES.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path for one table under the shared folder, in the open scope unless it is to be kept."""
+    scopes = _SCOPES.get()[: -1 if keep else None]
+    return f"{scopes[-1] if scopes else scratch_dir(spark) + '/logsift'}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

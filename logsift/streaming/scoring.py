@@ -2,7 +2,7 @@
 
 Cleaning, features and decision need no state: every micro-batch runs the batch functions and becomes
 one folder of the output. A batch that is repeated after a failure replaces its folder, so every line
-is scored exactly once.
+is scored exactly once. Its scratch tables are deleted with the batch.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logsift.functions import text as T
 from logsift.plans.jobs import load_models
 from logsift.sources.files import LATIN_1
-from logsift.sources.scratch import materialize
+from logsift.sources.scratch import materialize, scratch_scope
 
 
 def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,9 +30,10 @@ def score_lines(lines: DataFrame, path: str) -> DataFrame:
     models = load_models(lines.sparkSession, path)
     cleaned = F.filter(F.array(T.clean_tokens(F.col("raw"))), lambda t: F.size(t) > 0)
     rows = lines.select("file", "raw", F.explode(cleaned).alias("tokens"))
-    rows = materialize(rows.withColumn("line_no", F.monotonically_increasing_id()), "stream-rows")
+    rows = rows.select("*", F.array_join("tokens", " ").alias("message"), F.monotonically_increasing_id().alias("line_no"))
+    rows = materialize(rows, "stream-rows")
     scored = models["binary"].transform(models["features"].transform(rows))
-    return scored.select("file", "raw", F.array_join("tokens", " ").alias("message"), "pred")
+    return scored.select("file", "raw", "message", "pred")
 
 
 def score_stream(
@@ -41,7 +42,8 @@ def score_stream(
     """Score everything that has arrived in ``folder`` into Parquet folders ``output/batch=N``."""
 
     def write(lines: DataFrame, batch: int) -> None:
-        score_lines(lines, path).write.mode("overwrite").parquet(f"{output}/batch={batch}")
+        with scratch_scope(spark):
+            score_lines(lines, path).write.mode("overwrite").parquet(f"{output}/batch={batch}")
 
     return (
         stream_lines(spark, folder)

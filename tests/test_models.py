@@ -13,6 +13,7 @@ from logsift.models.classifiers import (
     PULearningModel,
     SvmModel,
     pu_learning,
+    pu_unpruned,
     regular,
     svm,
 )
@@ -20,7 +21,8 @@ from logsift.models.features import FeatureExtractor, FeatureModel
 from logsift.operators.features import TermFeature
 from logsift.operators.labels import binary_truth
 from logsift.plans import jobs
-from logsift.registry import features
+from logsift.registry import Registry, features
+from logsift.sources import stores
 
 WORDS = {
     "ok": "service started normally and is ready",
@@ -93,6 +95,18 @@ def test_pu_learning(spark, vectors, tmp_path):
     assert again.select(columns).exceptAll(preds.select(columns)).count() == 0
 
 
+def test_pu_finds_lines_that_mostly_lost_their_label(spark, vectors, tmp_path):
+    """One of seven anomalous lines keeps its label, so no leaf has a majority of them."""
+    rows = vectors.withColumn("truth", binary_truth(F.col("y")))
+    rows = rows.withColumn("y", F.when((F.col("truth") == 1) & (F.col("line_no") % 7 == 0), 1.0).otherwise(-1.0))
+    right = lambda model: model.transform(rows).where("truth = pred").count() / rows.count()
+    shallow = {"maxDepth": 4, "minInstancesPerNode": 10}  # deeper trees learn the lines by heart
+    model = pu_unpruned(**shallow).fit(rows)
+    assert right(model) > 0.95 > right(pu_learning(**shallow).fit(rows))
+    model.save(str(tmp_path / "pu"))
+    assert right(PULearningModel.load(spark, str(tmp_path / "pu"))) == right(model)
+
+
 def test_pu_needs_positives(spark, vectors):
     with pytest.raises(ValueError, match="positive rows"):
         pu_learning().fit(vectors.withColumn("y", F.lit(-1.0)))
@@ -131,6 +145,69 @@ def test_vectors_hold_the_cells(spark, corpus):
     assert parts.count() == lines.count()
 
 
+@pytest.mark.parametrize("columns", [1, 3, 5, 100])
+def test_bounded_columns(spark, corpus, tmp_path, columns):
+    """The most frequent tokens keep their columns, all others share the last one of each block."""
+    rows, _ = jobs.prepare(corpus, "ok")
+    names = ["tfilf", "length", "tf"]
+    model = FeatureExtractor(names, columns=columns).fit(rows)
+    weights = {r.token: r for r in model.weights.collect()}
+    place = {t: i for i, t in enumerate(sorted(weights, key=lambda t: (-weights[t].df, weights[t].idx)))}
+    width = min(columns, len(weights)) + 1
+    expected = {}
+    for line in rows.collect():
+        for token in set(line.tokens):
+            at, tf = min(place[token], width - 1), line.tokens.count(token)
+            for key, value in ((at, tf * weights[token].ilf), (width + 1 + at, weights[token].df)):
+                expected[line.line_no, key] = expected.get((line.line_no, key), 0) + value
+        expected[line.line_no, width] = len(line.tokens)
+    vectors = model.transform(rows)
+    got = {(r.line_no, r.idx): r.value for r in feature_models.vector_cells(vectors, "line_no").collect()}
+    assert got == pytest.approx({k: v for k, v in expected.items() if v})
+    assert model.width == 2 * width + 1 and vectors.first().features.size == model.width
+    labels = {r.idx: r.name for r in model.feature_names().collect()}
+    assert labels[width - 1] == "tfilf:REST" and labels[width] == "LENGTH" and labels[2 * width] == "tf:REST"
+    assert all(labels[i] == f"tfilf:{t}" for t, i in place.items() if i < width - 1)
+    model.save(str(tmp_path / "m"))
+    again = FeatureModel.load(spark, str(tmp_path / "m")).transform(rows)
+    assert again.select("line_no", "features").exceptAll(vectors.select("line_no", "features")).isEmpty()
+
+
+def test_bounded_columns_need_one(spark, corpus):
+    rows, _ = jobs.prepare(corpus, "ok")
+    with pytest.raises(ValueError, match="at least one column"):
+        FeatureExtractor(columns=0).fit(rows)
+
+
+@pytest.mark.parametrize("columns, swap", [(None, False), (4, False), (None, True)])
+def test_vectors_of_all_folds_equal_those_of_each(spark, corpus, columns, swap):
+    rows, _ = jobs.prepare(corpus, "ok")
+    folds = jobs._fold(rows, 3, swap, ["tfilf", "length"], columns)
+    assert folds.vectors.count() == 3 * 360
+    for fold in range(3):
+        train, test = folds.train(fold), folds.test(fold)
+        assert train.count() + test.count() == 360 and (train.count() < 130) == swap
+        model = FeatureExtractor(["tfilf", "length"], columns).fit(rows.join(train.select("line_no"), "line_no"))
+        assert folds.model(fold).width == model.width
+        both = train.unionByName(test).select("line_no", "y", "features")
+        assert both.exceptAll(model.transform(rows).select("line_no", "y", "features")).isEmpty()
+
+
+def test_record_of_a_run(spark, corpus, tmp_path):
+    settings = {"healthy": "ok", "k": 2, "features": ["tfilf"], "path": None}
+    run = jobs.train_binary(corpus, "ok", k=2, binary_classifier="regular", numTrees=2)
+    for name in ("a", "b"):
+        stores.append_record(run.record(name, "train_binary", settings), str(tmp_path / "records"))
+    rows = stores.load_records(spark, str(tmp_path / "records")).orderBy("run_id", "fold").collect()
+    assert [(r.run_id, r.fold, r.best) for r in rows] == [("a", 0, True), ("a", 1, False), ("b", 0, True), ("b", 1, False)]
+    assert rows[0].settings == {"healthy": "ok", "k": "2", "features": '["tfilf"]', "path": None}
+    assert rows[0].scores == {"f1": 1.0} and rows[0].train_time > 0 and rows[0].run_time > 0
+    typed = stores.load_records(spark, str(tmp_path / "records")).select(
+        stores.setting("k", "int").alias("k"), stores.setting("features", "array<string>").alias("f")
+    )
+    assert typed.first() == (2, ["tfilf"])
+
+
 def test_no_vocabulary_on_the_driver():
     source = inspect.getsource(feature_models)
     assert not any(word in source for word in ("toPandas", "collect()", "from_vocabulary", "MAX_"))
@@ -186,12 +263,34 @@ def test_global_job(spark, corpus, tmp_path):
     assert run.results.agg(F.min("f1"), F.min("accuracy")).first() == (1.0, 1.0)
     assert run.binary.count() == 360
     top = run.reports["multi", "top_k_svm"].where("rank = 1").collect()
-    assert {r.label for r in top} == {"disk", "net"}
+    first = corpus.where("label <> 'ok'").orderBy("line_no").first().label
+    assert [r.label for r in top] == [first]  # of two classes only the first
     assert all(r.name in WORDS[r.label].split() for r in top)
+    assert run.results.where("train_time > 0 AND run_time > 0").count() == 3
     scored = jobs.score_global(corpus, path, reports=["micro"])
     assert scored.results.first() == (1.0, 1.0)
-    cascade = jobs.score_global(corpus, path, cascade=True)
-    assert cascade.multi.count() == corpus.where("label <> 'ok'").count()
+    new = corpus.unionByName(
+        spark.createDataFrame(
+            [
+                (900, "ok", WORDS["disk"]),  # healthy in truth, found by the detector
+                (901, "net", WORDS["ok"]),  # an anomaly that the detector misses
+                (902, "fan", WORDS["net"]),  # a class that training did not have
+                (903, "fan", ""),
+            ],
+            corpus.schema,
+        )
+    )
+    cascade = jobs.score_global(new, path, cascade=True)
+    ids = {r.label: r.class_id for r in spark.read.parquet(f"{path}/classes").collect()}
+    odd = {r.line_no: tuple(r)[1:] for r in cascade.lines.where("line_no >= 900").collect()}
+    assert odd[900] == ("ok", -1.0, 1.0, ids["disk"])
+    assert odd[901] == ("net", ids["net"], -1.0, None)
+    assert odd[902] == ("fan", None, 1.0, ids["net"])
+    assert odd[903][:2] == ("fan", None)
+    found = corpus.where("label <> 'ok'").count() + sum(r[3] is not None for r in odd.values())
+    assert cascade.multi.count() == found and cascade.lines.count() == new.count()
+    plain = jobs.score_global(new, path).lines
+    assert plain.where("(pred IS NULL) <> (label = 'ok')").isEmpty()
 
 
 def test_binary_job(spark, corpus, tmp_path):
@@ -223,3 +322,16 @@ def test_robustness_sweep(spark, corpus):
     assert [(r.fold, r.percentage) for r in rows] == [(0, 0), (0, 20), (1, 0), (1, 20)]
     assert all(r.pu_f1 > 0.9 for r in rows)
     assert all(r.regular_f1 == 1.0 for r in rows if r.percentage == 0)
+
+
+def test_registered_for_a_block_only():
+    names = Registry("thing")
+    names.register("a", 1)
+    with names.registered("a", 2), names.registered("b", 3):
+        assert names == {"a": 2, "b": 3}
+    assert names == {"a": 1}
+    with pytest.raises(RuntimeError), names.registered("b", 3):
+        raise RuntimeError
+    assert names == {"a": 1}
+    with pytest.raises(KeyError, match="no thing named 'b'"):
+        names.unregister("b")

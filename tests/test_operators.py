@@ -339,6 +339,10 @@ def test_top_k_and_best_fold(spark):
     names = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "idx int, name string")
     got = rows_of(RP.top_k_terms(coefficients, names, 2), "label", "rank")
     assert got == [("A", 1, "y", 0.9), ("A", 2, "z", 0.5), ("B", 1, "x", -1.0)]
+    order = spark.createDataFrame([("A", 2.0), ("B", 1.0)], "label string, place double")
+    assert rows_of(RP.top_k_terms(coefficients, names, 2, order), "label") == [("B", 1, "x", -1.0)]
+    three = order.union(spark.createDataFrame([("C", 0.0)], order.schema))
+    assert rows_of(RP.top_k_terms(coefficients, names, 2, three), "label", "rank") == got
     folds = spark.createDataFrame(
         [(0, 0.9, 0.1), (1, 0.9, 0.3), (2, 0.9, 0.3), (3, 0.8, 1.0)],
         "fold int, f1 double, score double",

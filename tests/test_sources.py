@@ -1,5 +1,9 @@
 """Files in and out, dataset names, stores, scratch tables and streaming."""
 
+from collections import Counter
+from contextvars import copy_context
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +121,53 @@ def test_materialized_tables_lie_in_the_scratch_folder(spark):
     assert rows_of(table, "id") == [(0,), (1,), (2,)]
 
 
+def tables_under(spark):
+    folder = Path(scratch.scratch_dir(spark).removeprefix("file:")) / "logsift"
+    return sorted(p.name.rsplit("-", 1)[0] for p in folder.glob("*")) if folder.exists() else []
+
+
+def test_scopes_delete_what_is_not_kept(spark):
+    before = tables_under(spark)
+    with scratch.scratch_scope(spark) as outer:
+        first = scratch.materialize(spark.range(2), "first")
+        with scratch.scratch_scope(spark):
+            scratch.materialize(spark.range(3), "second")
+            third = scratch.materialize(spark.range(4), "third", keep=True)
+            fourth = copy_context().run(scratch.materialize, spark.range(5), "fourth")
+            assert fourth.count() == 5 and outer not in fourth.inputFiles()[0]
+        assert third.count() == 4 and first.count() == 2
+        assert sorted(p.name.split("-")[0] for p in Path(outer.removeprefix("file:")).glob("*")) == ["first", "third"]
+        kept = scratch.materialize(spark.range(6), "kept", keep=True)
+    assert kept.count() == 6 and not Path(outer.removeprefix("file:")).exists()
+    assert Counter(tables_under(spark)) - Counter(before) == Counter(["kept"])
+    with pytest.raises(RuntimeError), scratch.scratch_scope(spark) as folder:
+        scratch.materialize(spark.range(1), "x")
+        raise RuntimeError
+    assert not Path(folder.removeprefix("file:")).exists()
+
+
+def test_a_job_leaves_its_results_only(spark, tmp_path):
+    rows = [(i, *(("ok", "service ready") if i % 3 else ("bad", f"disk failure {'a' if i % 2 else 'b'}"))) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "line_no bigint, label string, message string")
+    before = Counter(tables_under(spark))
+    path = str(tmp_path / "model")
+    run = jobs.train_binary(corpus, "ok", k=2, binary_classifier="regular", path=path, numTrees=3, parallelism=2)
+    left = Counter(tables_under(spark)) - before
+    assert left == Counter({"classes": 1, "predictions": 2, "results": 1, "weights": 1})
+    assert run.binary.count() == 60 and run.reports["binary", "confusion_matrix"].count() == 4
+    assert run.models["binary"].transform(run.models["features"].transform(jobs.prepare(corpus, "ok")[0])).count() == 60
+
+
+def test_paired_files_round_trip(spark, tmp_path):
+    truth = spark.createDataFrame([(1, "NA"), (0, "7"), (2, "\xdf")], "line_no bigint, label string")
+    raw = [(i, f"id{i} caf\xe9 up\xa0down\x85now {i}") for i in range(5)]
+    raw = spark.createDataFrame(raw, "line_no bigint, raw string").repartition(3)
+    files.write_paired_lines(truth, raw, str(tmp_path / "log"))
+    assert b"caf\xe9 up\xa0down\x85now" in b"".join(p.read_bytes() for p in (tmp_path / "log" / "rawlog.log").glob("part-*"))
+    corpus = preprocessors["open_bgl"].corpus(spark, str(tmp_path / "log"))
+    assert rows_of(corpus, "line_no") == [(0, "7", "up down now"), (1, "NA", "up down now"), (2, "\xdf", "up down now")]
+
+
 def test_small_stored_tables_are_broadcast_and_large_ones_are_not(spark):
     dim = scratch.materialize(spark.range(1000).withColumn("v", F.col("id") * 2), "dim")
     big = scratch.materialize(spark.range(100_000).withColumn("w", F.rand(0)), "big")
@@ -155,12 +206,16 @@ def test_stream_scores_like_batch(spark, tmp_path):
     inbox.mkdir()
     (inbox / "a.log").write_text("disk failure: 12\nservice ready\n99\n")
     output = str(tmp_path / "out")
-    for _ in range(2):
+    before = set(tables_under(spark))
+    for name in ("b", "c", "d"):
         query = score_stream(spark, str(inbox), model, output, str(tmp_path / "checkpoint"))
         query.awaitTermination(120)
-        (inbox / "b.log").write_text("disk failure\n")
+        (inbox / f"{name}.log").write_text("disk failure\n")
+    assert set(tables_under(spark)) == before  # three micro-batches have left nothing
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 3
     got = spark.read.parquet(output).select("message", "pred").orderBy("message").collect()
     assert [tuple(r) for r in got] == [
+        ("disk failure", 1.0),
         ("disk failure", 1.0),
         ("disk failure", 1.0),
         ("service ready", -1.0),

@@ -15,7 +15,7 @@ SF_DIR = "/root/testdata/sf0.001"
 NAMES = (
     "weighted_terms clean_parameters bgl_parse paired_join ngrams_3 label_encode vectorize_oov "
     "feature_test_fold minmax_scale stratified_kfold force_ratio label_noise pu_decide f1_macro "
-    "confusion top_k_terms best_fold corpus_text"
+    "confusion top_k_terms best_fold corpus_text paired_files feature_vectors train_binary extensions"
 ).split()
 
 needs_data = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables")
@@ -57,7 +57,9 @@ def test_entry(spark):
     "name, job, documented",
     [
         ("pu_robustness", "pu_robustness", {"ratio": 8, "top_percentage": 11, "step": 1, "k": 3}),
+        ("train_multi", "train_multi", {"k": 10, "swap": True}),
         ("score_global", "train_global", {"k": jobs.DEFAULT_FOLDS}),
+        ("score_cascade", "train_global", {"k": jobs.DEFAULT_FOLDS}),
         ("score_binary", "train_binary", {"k": jobs.DEFAULT_FOLDS}),
         ("model_roundtrip", "train_global", {"k": jobs.DEFAULT_FOLDS}),
     ],
@@ -75,7 +77,7 @@ def test_jobs_run_with_documented_settings(monkeypatch, name, job, documented):
         raise Called
 
     monkeypatch.setattr(jobs, job, record)
-    for maker in ("_event_corpus", "_bgl_corpus", "scratch_path"):
+    for maker in ("_event_corpus", "_masked_corpus", "_masked_bgl_corpus", "scratch_path"):
         monkeypatch.setattr(queries, maker, lambda *_: None)
     with pytest.raises(Called):
         getattr(queries, name)(None, None)

@@ -43,19 +43,37 @@ def log_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENT_LINE = """concat('RAS:', event_id, ' {{ ', {ts}, ' 10.0.', user_id, '.7 KERNEL ',
-    CASE event_type WHEN 'error' THEN 'FATAL' ELSE 'INFO' END,
-    ' : node:card-', user_id, ' ', event_type, ' handler() failed [', user_id,
+    CASE {kind} WHEN 'error' THEN 'FATAL' ELSE 'INFO' END,
+    ' : node:card-', user_id, ' ', {kind}, ' handler() failed [', user_id,
     '] Mayor/path <id=', event_id, '>: retry  ', props)"""
 
 BGL_LINE = """concat(CASE WHEN event_id % 11 = 0 THEN 'x' ELSE '' END, event_id, ' ', 'R', user_id,
     '-', 'M0-N1-C', ' KERN', user_id % 3, ' ',
     CASE event_type WHEN 'error' THEN 'FATAL' WHEN 'click' THEN 'WARN'
                     WHEN 'view' THEN 'ERROR' ELSE 'INFO' END,
-    ' ', {ts}, '   ', 'ddr ', event_type,
-    CASE WHEN event_id % 7 = 0 THEN {hex} ELSE '' END,
+    ' ', {ts}, '   ', 'ddr ', {kind},
+    CASE WHEN {hexed} THEN {hex} ELSE '' END,
     CASE WHEN event_id % 5 = 0 THEN ' x' ELSE ' error(s) detected on node:card rank:' END,
     user_id, ' symbol ')"""
 
+PLAIN_KIND, PLAIN_HEXED = "event_type", "event_id % 7 = 0"
+# Lines for the jobs: what a line says does not always tell what it is, and classes have names of their
+# own. Most "lost" lines are errors and most "quiet" ones harmless, so the best guess is often wrong.
+MASKED_EVENT_KIND = """CASE
+    WHEN event_type = 'error' AND event_id % 3 = 0 OR event_type = 'signup' AND event_id % 31 = 0
+        OR event_type = 'view' AND event_id % 41 = 0 THEN 'lost'
+    WHEN event_type = 'view' AND event_id % 4 = 1 OR event_type = 'click' AND event_id % 61 = 1 THEN 'quiet'
+    ELSE event_type END"""
+MASKED_BGL_KIND = """CASE
+    WHEN event_type = 'error' AND event_id % 3 = 0 OR event_type = 'purchase' AND event_id % 41 = 0 THEN 'lost'
+    WHEN event_type = 'signup' AND event_id % 4 = 1 OR event_type = 'view' AND event_id % 61 = 1 THEN 'quiet'
+    ELSE event_type END"""
+MASKED_HEXED = """event_id % 7 = 0 AND event_type IN ('signup', 'purchase')
+    OR event_id % 14 = 0 AND event_type = 'error'"""
+MASKED_LABEL = """CASE event_type WHEN 'error' THEN 'storage' WHEN 'click' THEN 'network'
+    WHEN 'signup' THEN 'account' WHEN 'purchase' THEN 'billing' ELSE 'healthy' END"""
+MASKED_HEALTHY = "healthy"
+
 SPARK_TS = "date_format(ts, 'MMM dd HH:mm:ss')"
 DUCK_TS = "strftime(ts, '%b %d %H:%M:%S')"
 SPARK_HEX = "\" x'00ff' after hex dump of the card register\""
@@ -64,13 +82,26 @@ DUCK_HEX = "' x''00ff'' after hex dump of the card register'"
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "events"), "event_id").selectExpr(
-        "event_id AS line_no", "event_type AS label", EVENT_LINE.format(ts=SPARK_TS) + " AS raw"
+        "event_id AS line_no",
+        "event_type AS label",
+        EVENT_LINE.format(ts=SPARK_TS, kind=PLAIN_KIND) + " AS raw",
+    )
+
+
+def log_bgl(
+    spark: SparkSession, sf_dir: str, kind: str = PLAIN_KIND, hexed: str = PLAIN_HEXED
+) -> DataFrame:
+    return spread(table(spark, sf_dir, "events"), "event_id").selectExpr(
+        "event_id AS line_no",
+        BGL_LINE.format(ts=SPARK_TS, hex=SPARK_HEX, kind=kind, hexed=hexed) + " AS raw",
     )
 
 
-def log_bgl(spark: SparkSession, sf_dir: str) -> DataFrame:
+def masked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "events"), "event_id").selectExpr(
-        "event_id AS line_no", BGL_LINE.format(ts=SPARK_TS, hex=SPARK_HEX) + " AS raw"
+        "event_id AS line_no",
+        f"{MASKED_LABEL} AS label",
+        EVENT_LINE.format(ts=SPARK_TS, kind=MASKED_EVENT_KIND) + " AS raw",
     )
 
 
@@ -173,9 +204,15 @@ CTES = {
         FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l,
                      generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""",
     "log_events": f"""SELECT event_id AS line_no, event_type AS label,
-        {EVENT_LINE.format(ts=DUCK_TS)} AS raw FROM events""",
+        {EVENT_LINE.format(ts=DUCK_TS, kind=PLAIN_KIND)} AS raw FROM events""",
     "log_bgl": f"""SELECT event_id AS line_no,
-        {BGL_LINE.format(ts=DUCK_TS, hex=DUCK_HEX)} AS raw FROM events""",
+        {BGL_LINE.format(ts=DUCK_TS, hex=DUCK_HEX, kind=PLAIN_KIND, hexed=PLAIN_HEXED)} AS raw FROM events""",
+    "masked_bgl": f"""SELECT event_id AS line_no,
+        {BGL_LINE.format(ts=DUCK_TS, hex=DUCK_HEX, kind=MASKED_BGL_KIND, hexed=MASKED_HEXED)} AS raw FROM events""",
+    "cleaned_masked": f"""SELECT line_no, label, array_to_string(toks, ' ') AS message FROM (
+        SELECT event_id AS line_no, {MASKED_LABEL} AS label, {duck_clean_tokens(
+            EVENT_LINE.format(ts=DUCK_TS, kind=MASKED_EVENT_KIND))} AS toks FROM events)
+        WHERE len(toks) > 0""",
     "docs": f"""SELECT * FROM (SELECT line_no, label, {duck_clean_tokens("raw")} AS toks
         FROM log_docs) WHERE len(toks) > 0""",
     "cleaned_events": f"""SELECT * FROM (SELECT line_no, label, {duck_clean_tokens("raw")} AS toks

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.functions import text as T
-from logsift.models.features import FeatureExtractor, FeatureModel
+from logsift.models.classifiers import stored_coefficients
+from logsift.models.features import FeatureExtractor, FeatureModel, vector_cells
 from logsift.operators import features as FE
 from logsift.operators import labels as L
 from logsift.operators import preprocess as P
@@ -17,8 +20,9 @@ from logsift.operators import reports as R
 from logsift.operators import splits as S
 from logsift.operators import vocabulary as V
 from logsift.plans import jobs
-from logsift.registry import binary_models, multi_models
-from logsift.sources import files, stores
+from logsift import registry
+from logsift.registry import binary_models, multi_models, preprocessors
+from logsift.sources import datasets, files, stores  # noqa: F401  datasets registers the preprocessors
 from logsift.sources.scratch import materialize, scratch_path
 from workload import inputs as I
 from workload.inputs import duck_clean_tokens, duck_strip, duck_tokens, with_ctes
@@ -84,9 +88,7 @@ def clean_drop_first(spark, sf_dir):
     )
 
 
-@query(
-    "bgl_parse",
-    f"""SELECT line_no, label, array_to_string(toks, ' ') AS message FROM (
+BGL_PARSED = f"""SELECT line_no, label, array_to_string(toks, ' ') AS message FROM (
         SELECT line_no,
             CASE WHEN regexp_extract(line, '{I.DUCK_WORD}+{I.DUCK_WS}+(INFO|WARN|ERROR|FATAL)', 1)
                 = 'INFO' THEN 'unlabeled'
@@ -105,9 +107,10 @@ def clean_drop_first(spark, sf_dir):
               AND regexp_extract(line, '{I.DUCK_WORD}+{I.DUCK_WS}+(INFO|WARN|ERROR|FATAL)', 1)
                   IN ('INFO', 'ERROR', 'FATAL')
         ) WHERE length(body) > 20
-    ) WHERE len(toks) > 0""",
-    "log_bgl",
-)
+    ) WHERE len(toks) > 0"""
+
+
+@query("bgl_parse", BGL_PARSED, "log_bgl")
 def bgl_parse(spark, sf_dir):
     return P.preprocess_bgl(I.log_bgl(spark, sf_dir))
 
@@ -327,6 +330,23 @@ query(
 )(_features("tfilf", "length", "tfidf"))
 
 
+@query(
+    "feature_vectors",
+    """SELECT line_no, idx, round(tf * ilf, 6) AS value
+    FROM terms JOIN weights USING (token) WHERE tf * ilf <> 0
+    UNION ALL SELECT line_no, (SELECT count(*) FROM vocab), len(toks)::DOUBLE FROM docs
+    UNION ALL SELECT line_no, (SELECT count(*) FROM vocab) + 1 + idx, round(tf * idf, 6)
+    FROM terms JOIN weights USING (token) WHERE tf * idf <> 0""",
+    *TERMS,
+)
+def feature_vectors(spark, sf_dir):
+    """The same cells as ``feature_concat``, unfolded from the stored MLlib vectors."""
+    lines = I.docs(spark, sf_dir).select("line_no", "tokens")
+    model = FeatureExtractor(["tfilf", "length", "tfidf"]).fit(lines)
+    cells = vector_cells(model.transform(lines), "line_no")
+    return cells.select("line_no", F.col("idx").cast("bigint").alias("idx"), F.round("value", 6).alias("value"))
+
+
 @query(
     "feature_test_fold",
     """SELECT split, line_no, 0 AS block, idx, round(count(*) * min(ilf), 6) AS value
@@ -657,6 +677,31 @@ def corpus_text(spark, sf_dir):
     return files.read_corpus_text(spark, path)
 
 
+# Bytes above 127 in a word, as a separator (the no-break space and the next-line character) and alone.
+ODD_WORDS = "' caf', chr(233), ' re', chr(233), 'ntry sp', chr(233), 'cial', chr(160), 'joined', chr(133), 'ends ', chr(215)"
+ODD_LINE = f"concat(raw, {ODD_WORDS})"
+
+
+@query(
+    "paired_files",
+    f"""SELECT line_no, label, array_to_string(toks, ' ') AS message FROM (
+        SELECT line_no, label, {duck_clean_tokens(
+            "array_to_string(" + duck_tokens(ODD_LINE) + "[2:], ' ')")} AS toks
+        FROM (SELECT row_number() OVER (ORDER BY line_no) - 1 AS line_no, concat(label, chr(223)) AS label, raw,
+                     count(*) OVER () AS n FROM log_events)
+        WHERE line_no < n - n // 10) WHERE len(toks) > 0""",
+    "log_events",
+)
+def paired_files(spark, sf_dir):
+    """A label file and a log file of latin-1 bytes, the labels a tenth shorter, read as a known dataset."""
+    folder = scratch_path(spark, "open-log")
+    events = P.number_lines(I.log_events(spark, sf_dir).withColumnRenamed("line_no", "id"), "id")
+    events = materialize(events.selectExpr("line_no", "concat(label, chr(223)) AS label", f"{ODD_LINE} AS raw"), "events")
+    n = events.count()
+    files.write_paired_lines(events.where(F.col("line_no") < n - n // 10), events, folder)
+    return preprocessors["open_hdfs"].corpus(spark, folder)
+
+
 @query(
     "results_csv",
     """SELECT fold, round(avg((y = pred)::INT::DOUBLE), 6) AS accuracy
@@ -762,6 +807,18 @@ def _bgl_corpus(spark, sf_dir) -> DataFrame:
     return materialize(P.preprocess_bgl(I.log_bgl(spark, sf_dir)), "bgl-corpus")
 
 
+def _masked_corpus(spark, sf_dir) -> DataFrame:
+    """Event lines whose words do not always tell the class, with class names of their own."""
+    lines = I.clean_lines(I.masked_events(spark, sf_dir))
+    corpus = lines.select("line_no", "label", F.array_join("tokens", " ").alias("message"))
+    return materialize(corpus, "masked-corpus")
+
+
+def _masked_bgl_corpus(spark, sf_dir) -> DataFrame:
+    lines = I.log_bgl(spark, sf_dir, I.MASKED_BGL_KIND, I.MASKED_HEXED)
+    return materialize(P.preprocess_bgl(lines), "masked-bgl-corpus")
+
+
 def _vectors(corpus: DataFrame, healthy: str) -> DataFrame:
     rows, _ = jobs.prepare(corpus, healthy)
     rows = materialize(rows, "rows")
@@ -781,55 +838,355 @@ query("pu_detect", DETECTED)(_detect("pu_learning"))
 query("rf_baseline", DETECTED)(_detect("regular"))
 
 
+WIDE_COLUMNS = 256  # own columns of the wide detector: the most frequent words
+SIGNS = (20, 45)  # its anomalies are lines with one of two words, given by their places among all words
+
+
+@query(
+    "pu_detect_wide",
+    f"""SELECT line_no, y, CASE WHEN has_sign THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS pred FROM (
+        SELECT line_no, has_sign, CASE WHEN has_sign AND (line_no // {I.LINES_PER_DOC} + line_no) % 4 <> 0
+            THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y
+        FROM (SELECT line_no, list_has_any(toks, (SELECT list(token) FROM (
+                  SELECT token, row_number() OVER (ORDER BY df DESC, idx) AS place FROM vocab)
+                  WHERE place IN {SIGNS})) AS has_sign FROM docs))""",
+    *DOCS,
+    "words",
+    "vocab",
+)
+def pu_detect_wide(spark, sf_dir):
+    """Positive-unlabeled learning on document lines, whose vocabulary is wider than trees can hold.
+
+    A quarter of the anomalous lines have no label; all of them must be found. Every node may look at all
+    columns, so the two words that make a line anomalous are found whatever the seed; the trees are
+    shallow, as deeper ones learn the lines by heart.
+    """
+    lines = I.docs(spark, sf_dir).select("line_no", "tokens")
+    model = FeatureExtractor(["tfilf", "length"], columns=WIDE_COLUMNS).fit(lines)
+    frequent = [r.token for r in model.weights.where(F.col("col").isin([p - 1 for p in SIGNS])).collect()]
+    labeled = F.arrays_overlap("tokens", F.array(*[F.lit(t) for t in frequent])) & (
+        (F.floor(F.col("line_no") / I.LINES_PER_DOC) + F.col("line_no")) % 4 != 0
+    )
+    rows = model.transform(lines.withColumn("y", F.when(labeled, 1.0).otherwise(-1.0)))
+    detector = binary_models["pu_learning"](
+        featureSubsetStrategy="all", maxDepth=2, minInstancesPerNode=50
+    ).fit(rows)
+    return detector.transform(rows).select("line_no", "y", "pred")
+
+
 @query("svm_classify", CLASSIFIED, *EVENTS)
 def svm_classify(spark, sf_dir):
     rows = L.anomalous_only(_vectors(_event_corpus(spark, sf_dir), I.HEALTHY_EVENT))
     return multi_models["svm"]().fit(rows).transform(rows).select("line_no", "y", "pred")
 
 
-@query("train_global")
+@query(
+    "svm_top_terms",
+    """SELECT n_classes, label, 1 AS rank, label AS name, 'LENGTH' AS last_column
+    FROM (SELECT label, row_number() OVER (ORDER BY min(line_no)) AS place, count(*) OVER () AS n_classes
+          FROM cleaned_events WHERE label <> 'view' GROUP BY label)
+    UNION ALL SELECT 2, arg_min(label, line_no), 1, arg_min(label, line_no), 'LENGTH'
+    FROM cleaned_events WHERE label IN ('click', 'error')""",
+    *EVENTS,
+)
+def svm_top_terms(spark, sf_dir):
+    """The strongest column of each class in a stored SVM: the word that names the class.
+
+    Of two classes only the one seen first is reported.
+    """
+    corpus, found = _event_corpus(spark, sf_dir), []
+    for kept in (F.lit(True), F.col("label").isin("click", "error")):
+        rows, classes = jobs.prepare(corpus.where(kept), I.HEALTHY_EVENT)
+        rows = materialize(rows, "rows")
+        features = FeatureExtractor(["tfilf", "length"]).fit(rows)
+        path = scratch_path(spark, "svm")
+        multi_models["svm"]().fit(features.transform(L.anomalous_only(rows))).save(path)
+        names, labels = features.feature_names(), L.target_names(classes)
+        coefficients = stored_coefficients(spark, path).join(labels, "class_id")
+        order = labels.select("label", F.col("class_id").alias("place"))
+        top = R.top_k_terms(coefficients.select("label", "idx", "coef"), names, 1, order)
+        last = names.agg(F.max_by("name", "idx")).scalar()
+        n_classes = labels.agg(F.count("*")).scalar()
+        found.append(top.select(n_classes.alias("n_classes"), "label", "rank", "name", last.alias("last_column")))
+    return found[0].unionByName(found[1])
+
+
+# The jobs' SQL learns from the training folds: a line is what most equal lines of the other folds are.
+
+
+def _job_ctes(source: str, healthy: str, k: int, learns: str = "fold <> split") -> str:
+    """Folded lines, and per training set the decision and the class of every message."""
+    return f"""lines AS (
+        SELECT line_no, label, message, CASE WHEN label = '{healthy}' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS b,
+            ntile({k}) OVER (PARTITION BY label ORDER BY line_no) - 1 AS fold
+        FROM ({source})),
+    class_ids AS (
+        SELECT label, CASE WHEN label = '{healthy}' THEN -1.0::DOUBLE
+            ELSE (row_number() OVER (ORDER BY min(line_no)) - 1)::DOUBLE END AS y
+        FROM lines GROUP BY label),
+    splits AS (SELECT unnest(range({k})) AS split),
+    detect AS (
+        SELECT split, message, CASE WHEN avg(b) > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS pred
+        FROM lines, splits WHERE {learns} GROUP BY split, message),
+    guess AS (
+        SELECT split, message, arg_max(y, n) AS pred, arg_max(label, n) AS class
+        FROM (SELECT split, message, label, y, count(*) AS n FROM lines JOIN class_ids USING (label), splits
+              WHERE b = 1 AND {learns} GROUP BY split, message, label, y)
+        GROUP BY split, message)"""
+
+
+MASKED = with_ctes("SELECT * FROM cleaned_masked", "cleaned_masked")
+MASKED_BGL = with_ctes(BGL_PARSED.replace("FROM log_bgl", "FROM masked_bgl"), "masked_bgl")
+K = jobs.DEFAULT_FOLDS
+F1_SQL = """round(2 * count(*) FILTER (b = 1 AND pred = 1)
+        / (count(*) FILTER (b = 1) + count(*) FILTER (pred = 1))::DOUBLE, 6)"""
+
+
+@query(
+    "train_global",
+    f"""WITH {_job_ctes(MASKED, I.MASKED_HEALTHY, K)}
+    SELECT fold::INT AS fold, f1, accuracy FROM (
+        SELECT fold, {F1_SQL} AS f1
+        FROM lines JOIN detect ON split = fold AND lines.message = detect.message GROUP BY fold)
+    JOIN (SELECT fold, round(avg((y = pred)::INT::DOUBLE), 6) AS accuracy
+        FROM lines JOIN class_ids USING (label) JOIN guess ON split = fold AND lines.message = guess.message
+        WHERE b = 1 GROUP BY fold) USING (fold)""",
+)
 def train_global(spark, sf_dir):
-    return jobs.train_global(
-        _event_corpus(spark, sf_dir), I.HEALTHY_EVENT, parallelism=3
-    ).results
+    run = jobs.train_global(_masked_corpus(spark, sf_dir), I.MASKED_HEALTHY, parallelism=3)
+    return run.results.select("fold", F.round("f1", 6).alias("f1"), F.round("accuracy", 6).alias("accuracy"))
 
 
-@query("score_global")
+@query(
+    "score_global",
+    f"""WITH {_job_ctes(MASKED, I.MASKED_HEALTHY, 1, "true")}
+    SELECT line_no, y, pred FROM lines JOIN class_ids USING (label) JOIN guess USING (message) WHERE b = 1""",
+)
 def score_global(spark, sf_dir):
-    corpus, path = _event_corpus(spark, sf_dir), scratch_path(spark, "run")
-    jobs.train_global(corpus, I.HEALTHY_EVENT, path=path, parallelism=2)
+    """Classes of the truly anomalous lines by the models of the best fold."""
+    corpus, path = _masked_corpus(spark, sf_dir), scratch_path(spark, "run")
+    jobs.train_global(corpus, I.MASKED_HEALTHY, path=path, parallelism=2)
     return jobs.score_global(corpus, path).multi
 
 
-@query("train_binary")
+@query(
+    "score_cascade",
+    f"""WITH {_job_ctes(MASKED, I.MASKED_HEALTHY, 1, "true")}
+    SELECT cascade, label, detect.pred AS anomaly,
+        CASE WHEN if(cascade, detect.pred, b) = 1 THEN class END AS class, count(*) AS n
+    FROM lines JOIN detect USING (message) LEFT JOIN guess USING (message),
+        (SELECT unnest([true, false]) AS cascade)
+    GROUP BY ALL""",
+)
+def score_cascade(spark, sf_dir):
+    """Lines by label, decision and class: classified if anomalous in truth, or if the detector says so."""
+    corpus, path = _masked_corpus(spark, sf_dir), scratch_path(spark, "run")
+    jobs.train_global(corpus, I.MASKED_HEALTHY, path=path, parallelism=2)
+    classes = L.target_names(spark.read.parquet(f"{path}/classes"))
+    names = classes.select(F.col("label").alias("class"), F.col("class_id").alias("pred"))
+    lines = [
+        jobs.score_global(corpus, path, cascade=c).lines.withColumn("cascade", F.lit(c)) for c in (True, False)
+    ]
+    named = lines[0].unionByName(lines[1]).join(names, "pred", "left")
+    return named.groupBy("cascade", "label", "anomaly", "class").agg(F.count("*").alias("n"))
+
+
+@query(
+    "train_binary",
+    f"""WITH {_job_ctes(MASKED_BGL, "unlabeled", K)}
+    SELECT fold::INT AS fold, {F1_SQL} AS f1
+    FROM lines JOIN detect ON split = fold AND lines.message = detect.message GROUP BY fold""",
+)
 def train_binary(spark, sf_dir):
-    return jobs.train_binary(_bgl_corpus(spark, sf_dir), "unlabeled", parallelism=3).results
+    run = jobs.train_binary(_masked_bgl_corpus(spark, sf_dir), "unlabeled", parallelism=3)
+    return run.results.select("fold", F.round("f1", 6).alias("f1"))
 
 
-@query("score_binary")
+@query(
+    "score_binary",
+    f"""WITH {_job_ctes(MASKED_BGL, "unlabeled", 1, "true")}
+    SELECT line_no, b AS y, pred FROM lines JOIN detect USING (message)""",
+)
 def score_binary(spark, sf_dir):
-    corpus, path = _bgl_corpus(spark, sf_dir), scratch_path(spark, "run")
+    """Decisions on all lines by the model of the best fold."""
+    corpus, path = _masked_bgl_corpus(spark, sf_dir), scratch_path(spark, "run")
     jobs.train_binary(corpus, "unlabeled", path=path, parallelism=2)
     return jobs.score_binary(corpus, path).binary
 
 
+SWAPPED_FOLDS = 10  # the documented number for training on one fold
+
+
 @query(
     "train_multi",
-    """SELECT fold::INT AS fold, 1.0::DOUBLE AS macro, 1.0::DOUBLE AS micro
-    FROM (SELECT unnest(range(3)) AS fold)""",
+    f"""WITH {_job_ctes(MASKED, I.MASKED_HEALTHY, SWAPPED_FOLDS, "fold = split")},
+    tested AS (
+        SELECT split, y, pred FROM lines JOIN class_ids USING (label) JOIN guess USING (message)
+        WHERE b = 1 AND fold <> split),
+    labels AS (SELECT split, y AS label FROM tested UNION SELECT split, pred FROM tested),
+    counted AS (
+        SELECT split, label, count(*) FILTER (y = label AND pred = label) AS tp,
+            count(*) FILTER (y <> label AND pred = label) AS fp,
+            count(*) FILTER (y = label AND pred <> label) AS fn
+        FROM tested JOIN labels USING (split) GROUP BY split, label)
+    SELECT split::INT AS fold, round(avg(2 * tp / (2 * tp + fp + fn)::DOUBLE), 6) AS macro,
+        round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))::DOUBLE, 6) AS micro
+    FROM counted GROUP BY split""",
 )
 def train_multi(spark, sf_dir):
-    corpus = _event_corpus(spark, sf_dir)
-    run = jobs.train_multi(corpus, I.HEALTHY_EVENT, swap=True, parallelism=3)
-    return run.results.select("fold", "macro", "micro")
+    """Ten swapped folds: each is learned from by itself and tested on the nine others."""
+    run = jobs.train_multi(
+        _masked_corpus(spark, sf_dir), I.MASKED_HEALTHY, k=SWAPPED_FOLDS, swap=True, parallelism=5
+    )
+    return run.results.select("fold", F.round("macro", 6).alias("macro"), F.round("micro", 6).alias("micro"))
+
+
+# Of each training set and noise level: a message's share of rows that kept the label, over all rows for
+# the plain forest and without the hold-out for positive-unlabeled learning, which divides by the mean
+# share of the held-out rows.
+ROBUST = f"""WITH parsed AS ({MASKED_BGL}),
+    base AS (SELECT line_no, message, CASE WHEN label = 'unlabeled' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS y
+        FROM parsed),
+    chosen AS ({_force_ratio_sql("base", 8)}),
+    folded AS (SELECT line_no, y, message, ntile({K}) OVER (PARTITION BY y ORDER BY line_no) - 1 AS fold
+        FROM chosen JOIN base USING (line_no, y)),
+    train AS (
+        SELECT split, line_no, message, y,
+            row_number() OVER (PARTITION BY split, y ORDER BY {_hash_sql(5)}) AS place,
+            count(*) FILTER (y = -1) OVER (PARTITION BY split) AS n_unl
+        FROM folded, (SELECT unnest(range({K})) AS split) WHERE fold <> split),
+    noisy AS (
+        SELECT split, i, line_no, message,
+            CASE WHEN y = 1 AND place > i * n_unl // (100 - i) THEN 1 ELSE 0 END AS kept
+        FROM train, (SELECT unnest(range(11)) AS i)),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY split, i, kept ORDER BY {_hash_sql(0)}) AS place,
+            sum(kept) OVER (PARTITION BY split, i) AS n_pos
+        FROM noisy),
+    held AS (SELECT *, kept = 1 AND place <= ceil(n_pos * 0.1::DOUBLE) AS out FROM ranked),
+    shares AS (
+        SELECT split, i, message, avg(kept) AS share, avg(kept) FILTER (NOT out) AS p1
+        FROM held GROUP BY split, i, message),
+    constants AS (SELECT split, i, avg(p1) AS c FROM held JOIN shares USING (split, i, message)
+        WHERE out GROUP BY split, i),
+    tested AS (
+        SELECT fold, i, y, share > 0.5 AS plain, p1 / c > 0.5 AS pu
+        FROM folded JOIN shares ON split = fold AND shares.message = folded.message JOIN constants USING (split, i))
+    SELECT fold::INT AS fold, i::INT AS percentage,
+        round(2 * count(*) FILTER (y = 1 AND pu) / (count(*) FILTER (y = 1) + count(*) FILTER (pu))::DOUBLE, 6) AS pu_f1,
+        round(2 * count(*) FILTER (y = 1 AND plain)
+            / (count(*) FILTER (y = 1) + count(*) FILTER (plain))::DOUBLE, 6) AS regular_f1
+    FROM tested GROUP BY fold, i"""
+
+
+@query("pu_robustness", ROBUST)
+def pu_robustness(spark, sf_dir):
+    """The sweep with its documented settings.
 
+    Forests that see all rows and columns have one right answer; at the higher levels a tenth of the
+    positives keep their label, so the learner is the one whose trees are not cut back.
+    """
+    corpus = _masked_bgl_corpus(spark, sf_dir)
+    results = jobs.pu_robustness(
+        corpus, "unlabeled", ratio=8, top_percentage=11, step=1, k=3, parallelism=3,
+        pu_classifier="pu_unpruned", bootstrap=False, featureSubsetStrategy="all",
+    ).results
+    scores = [F.round(name, 6).alias(name) for name in ("pu_f1", "regular_f1")]
+    return results.select("fold", "percentage", *scores)
 
-@query("pu_robustness")
-def pu_robustness(spark, sf_dir):
-    corpus = _bgl_corpus(spark, sf_dir)
-    return jobs.pu_robustness(
-        corpus, "unlabeled", ratio=8, top_percentage=11, step=1, k=3, parallelism=2
-    ).results
+
+@query(
+    "run_record",
+    f"""WITH {_job_ctes(MASKED_BGL, "unlabeled", K)},
+    scored AS (SELECT fold, {F1_SQL} AS f1
+        FROM lines JOIN detect ON split = fold AND lines.message = detect.message GROUP BY fold)
+    SELECT 'run-1' AS run_id, 'train_binary' AS job, 'unlabeled' AS healthy, {K} AS k, 'length' AS last_feature,
+        fold::INT AS fold, f1, row_number() OVER (ORDER BY f1 DESC, fold) = 1 AS best, true AS timed, 2 AS n_runs
+    FROM scored""",
+)
+def run_record(spark, sf_dir):
+    """Settings, scores and seconds of a job stored with those of another run, read back and typed."""
+    corpus, path = _masked_bgl_corpus(spark, sf_dir), scratch_path(spark, "records")
+    settings = {"healthy": "unlabeled", "k": K, "features": ["tfilf", "length"]}
+    run = jobs.train_binary(corpus, parallelism=3, **settings)
+    for run_id in ("run-1", "run-2"):
+        stores.append_record(run.record(run_id, "train_binary", settings), path)
+    records = stores.load_records(spark, path)
+    n_runs = records.agg(F.count_distinct("run_id").cast("int")).scalar()
+    mine = records.where("run_id = 'run-1'").join(run.results.select("fold", "f1"), "fold")
+    return mine.select(
+        "run_id",
+        "job",
+        stores.setting("healthy").alias("healthy"),
+        stores.setting("k", "int").alias("k"),
+        F.element_at(stores.setting("features", "array<string>"), -1).alias("last_feature"),
+        "fold",
+        F.round(F.col("scores")["f1"], 6).alias("f1"),
+        "best",
+        ((F.col("train_time") > 0) & (F.col("run_time") > 0) & (F.col("f1") == F.col("scores")["f1"])).alias("timed"),
+        n_runs.alias("n_runs"),
+    )
+
+
+class NearerMean(Estimator):
+    """A detector of one column: anomalous where the value is nearer to the mean of the anomalous lines."""
+
+    def _fit(self, rows):
+        value = vector_to_array("features")[0]
+        return NearerMeanModel(*rows.agg(*[F.avg(F.when(F.col("y") == y, value)) for y in (1, -1)]).first())
+
+
+class NearerMeanModel(Model):
+    def __init__(self, anomalous, healthy):
+        super().__init__()
+        self.means = anomalous, healthy
+
+    def _transform(self, rows):
+        anomalous, healthy = [F.abs(vector_to_array("features")[0] - mean) for mean in self.means]
+        return rows.withColumn("pred", F.when(anomalous < healthy, 1.0).otherwise(-1.0))
+
+
+def _alarm_rate(preds: DataFrame) -> DataFrame:
+    return preds.agg(F.avg((F.col("pred") == 1).cast("double")).alias("alarm_rate"))
+
+
+@query(
+    "extensions",
+    f"""WITH {_job_ctes(MASKED_BGL, "unlabeled", K)},
+    valued AS (SELECT *, len(list_distinct(string_split(message, ' ')))::DOUBLE AS v FROM lines),
+    means AS (SELECT split, avg(v) FILTER (b = 1) AS up, avg(v) FILTER (b = -1) AS low
+        FROM valued, splits WHERE fold <> split GROUP BY split),
+    tested AS (SELECT fold, b, if(abs(v - up) < abs(v - low), 1, -1) AS pred FROM valued JOIN means ON split = fold),
+    scored AS (SELECT fold, {F1_SQL} AS f1, round(avg((pred = 1)::INT::DOUBLE), 6) AS alarm_rate
+        FROM tested GROUP BY fold)
+    SELECT fold::INT AS best_fold, f1, alarm_rate, 0 AS left_over FROM scored ORDER BY f1 DESC, fold LIMIT 1""",
+)
+def extensions(spark, sf_dir):
+    """A feature, a detector and a report of one's own in a training job, and gone afterwards."""
+    known = (registry.features, registry.binary_models, registry.prediction_reports)
+    before = [dict(names) for names in known]
+    distinct_terms = FE.LineFeature(lambda counts: F.size(counts).cast("double"))
+    with (
+        registry.features.registered("distinct_terms", distinct_terms),
+        registry.binary_models.registered("nearer_mean", NearerMean),
+        registry.prediction_reports.registered("alarm_rate", _alarm_rate),
+    ):
+        run = jobs.train_binary(
+            _masked_bgl_corpus(spark, sf_dir),
+            "unlabeled",
+            features=["distinct_terms"],
+            binary_classifier="nearer_mean",
+            reports=["alarm_rate"],
+        )
+    left = sum(dict(names) != was for names, was in zip(known, before, strict=True))
+    best = run.results.where(F.col("fold") == run.best_fold)
+    rate = run.reports["binary", "alarm_rate"].select(F.round("alarm_rate", 6)).scalar()
+    return best.select(
+        F.col("fold").alias("best_fold"),
+        F.round("f1", 6).alias("f1"),
+        rate.alias("alarm_rate"),
+        F.lit(left).alias("left_over"),
+    )
 
 
 @query(
