@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import compression_quality, decontaminate, golay_dedup, mixing, near_copies, token_files
+from logsift.llm import compression_quality, decontaminate, golay_dedup, mixing, token_files
 from logsift.llm.common import table
 from logsift.sources.scratch import materialize, scratch_path
 
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by near copies: five-word shingles, similarity of 0.8."""
-    return golay_dedup.keep_first(docs, members=near_copies.members(docs))
+    """One document of each group of linked fingerprints, with the operator's own shingles and distance."""
+    return golay_dedup.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
