@@ -220,18 +220,14 @@ def near_duplicates(
     return marked.join(_classes(marked), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members: DataFrame | None = None
-) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest id.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked fingerprints: the one with the smallest id.
 
-    ``members`` has the group ``root`` of every (doc_id, text_key); without it groups are linked
-    fingerprints. Null ids come after all others; of several texts under the smallest id the one with
+    Null ids come after all others; of several texts under the smallest id the one with
     the smallest hash stays, and rows that agree in id and text stay once.
     """
-    if members is None:
-        marked = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-        members = marked.join(_classes(marked).select("fp", "root"), "fp")
+    marked = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    members = marked.join(_classes(marked).select("fp", "root"), "fp")
     texts = materialize(
         members.groupBy("doc_id", "text_key").agg(F.first("root").alias("root"), F.count("*").alias("n")),
         "members",

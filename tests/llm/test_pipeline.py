@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logsift.llm import registered
+from logsift.llm import golay_dedup, registered
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables")
@@ -37,6 +37,13 @@ def test_filters_only_remove(stages):
         assert 0 < after.count() <= before.count()
 
 
+def test_near_dedup_keeps_one_of_each_group(stages):
+    """The groups are those of the operator's own fingerprints and distance."""
+    before, after = stages[1]
+    groups = golay_dedup.near_duplicates(before).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
+    assert sorted(r.doc_id for r in groups.collect()) == sorted(r.doc_id for r in after.collect())
+
+
 def test_mix_takes_near_the_targets(stages):
     before, after = stages[3]
     assert after.distinct().exceptAll(before.distinct()).count() == 0
@@ -70,4 +77,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_queries_are_registered():
-    assert [n.split("_")[0] for n in registered.QUERIES] == [f"op{n}" for n in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in registered.QUERIES] == [f"op{n}" for n in range(1, 14)] + ["pipeline"]

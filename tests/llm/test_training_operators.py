@@ -20,7 +20,6 @@ from logsift.llm import (
     golay_dedup,
     katz,
     mixing,
-    near_copies,
     pii,
     prefix_forest,
     rans,
@@ -275,48 +274,6 @@ def test_keep_first(docs, none):
     assert golay_dedup.keep_first(none).count() == golay_dedup.near_duplicates(none).count() == 0
 
 
-def brute_near(texts):
-    sets = []
-    for t in texts:
-        words = (t or "").encode().lower().split()
-        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
-    group = list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if 5 * len(a & b) >= 4 * len(a | b) and group[i] != group[j]:
-                old, new = group[i], group[j]
-                group = [new if g == old else g for g in group]
-    return group
-
-
-@pytest.mark.parametrize("tile", [2, 256])
-def test_near_copies_equal_brute_force(spark, docs, none, tile, monkeypatch):
-    monkeypatch.setattr(near_copies, "GROUP", tile)
-    rng = np.random.default_rng(8)
-    texts = []
-    for _ in range(4):
-        base = [f"v{x}" for x in rng.integers(0, 5000, 150)]
-        texts.append(" ".join(base))
-        for _ in range(12):  # copies of copies, on both sides of the limit
-            own = list(base)
-            for at in rng.integers(0, len(own), rng.integers(1, 6)):
-                own[at] = f"u{rng.integers(0, 5000)}"
-            texts.append(" ".join(own))
-            base = own if rng.random() < 0.3 else base
-    more = spark.createDataFrame([(1000 + i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
-    every = docs.unionByName(more)
-    rows = every.collect()
-    groups = brute_near([r.text for r in rows])
-    kept = golay_dedup.keep_first(every, members=near_copies.members(every))
-    first = {}
-    for g, r in zip(groups, rows, strict=True):
-        first.setdefault(g, []).append(r.doc_id)
-    expected = [min((i for i in ids if i is not None), default=None) for ids in first.values()]
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(expected, key=repr)
-    assert len(first) < golay_dedup.keep_first(every).count()
-    assert near_copies.members(none).count() == 0
-
-
 # -- 4: decontamination -------------------------------------------------------------------------------
 
 ITEMS = [(1, " ".join(WORDS[:14])), (2, "w3 W4, w5"), (3, None), (4, "?! "), (None, "w1 w2"), (10, "w40 w41"),
