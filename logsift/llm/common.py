@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +16,23 @@ from pyspark.sql import functions as F
 #: ASCII white space, the separators of ``bytes.split``; written for Java and RE2 patterns.
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`").alias(name)
+
+
+def held(names: list[str]) -> Column:
+    """The named columns as one struct; a struct of nothing has a placeholder."""
+    return F.struct(*[quoted(name) for name in names]) if names else F.struct(F.lit(0).alias("_"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -34,6 +48,41 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def released(run):
+    """The batch function, which hands unused memory back to the system when its task is done.
+
+    A Python worker serves one task after the other, and what a task has freed would count on for all
+    later ones: Arrow's pool and the C library keep freed blocks for themselves.
+    """
+
+    @wraps(run)
+    def run_and_release(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return run_and_release
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+@contextmanager
+def batch_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of at most ``most`` bytes in the jobs that run inside the block."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 def blobs(column: pa.Array) -> Iterator[bytes]:
     """The values of a binary column one after another; null is empty."""
     for value in column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from logsift.llm import rans
-from logsift.llm.common import arrow_batch, text_key
+from logsift.llm.common import arrow_batch, batch_bytes, quoted, released, text_key
 
 END = 0
 BLOCK = 1 << 18
@@ -30,6 +30,7 @@ SEGMENT = 1 << 21
 FILE_ROWS = 16_384
 MEMO, MEMO_CHARS = 300_000, 64  # pieces in one half of a task's memory, and their length
 STEP, TOGETHER = 2048, 100  # texts cut together, pieces encoded together
+BATCH = 4 << 20  # bytes of texts that a task gets at once
 CUT = re.compile(r"(?<=\S) (?=\S)")  # a single space between other characters
 
 BLOCK_TYPE = pa.struct(
@@ -253,7 +254,9 @@ def write_tokens(
         file_no, segment_no = TaskContext.get().partitionId(), 0
         ids, tokens, size = [], [], 0
         end = np.array([END], dtype="<u2")
-        encode = tokenizer(tokenizer_path).ids
+        own_tokenizer = tokenizer(tokenizer_path)
+        own_tokenizer.memory = Memory()  # of this task only
+        encode = own_tokenizer.ids
 
         def flush():
             row = encode_segment(file_no, segment_no, ids, tokens)
@@ -270,18 +273,20 @@ def write_tokens(
                         yield flush()
                         segment_no += 1
                         ids, tokens, size = [], [], 0
+        own_tokenizer.memory = Memory()
         if ids:
             yield flush()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
     ordered = (
         slim.withColumn("key", text_key(F.col("text")))
         .repartitionByRange(files, "id", "key")
         .sortWithinPartitions("id", "key")
         .select("id", "text")
     )
-    out = ordered.mapInArrow(run, SEGMENTS_DDL).write.option("parquet.block.size", 16 << 20)
-    out.option("compression", "zstd").parquet(path)
+    out = ordered.mapInArrow(released(run), SEGMENTS_DDL).write.option("parquet.block.size", 16 << 20)
+    with batch_bytes(docs.sparkSession, BATCH):
+        out.option("compression", "zstd").parquet(path)
 
 
 def decode_segment(row: dict) -> np.ndarray:
@@ -340,7 +345,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     docs = segments.mapInArrow(
-        run, "file_no int, segment_no int, doc_id long, before long, n_tokens long, ids_crc32 long"
+        released(run), "file_no int, segment_no int, doc_id long, before long, n_tokens long, ids_crc32 long"
     )
     sizes = segments.select("file_no", "segment_no", F.col("n_tokens").alias("size"))
     files = sizes.groupBy("file_no").agg(F.sum("size").alias("size"))
