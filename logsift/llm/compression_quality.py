@@ -16,8 +16,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from logsift.llm.common import arrow_batch, blobs, fit_logistic, id_remainder, sigmoid
+from logsift.llm.common import arrow_batch, blobs, fit_logistic, held, id_remainder, quoted, released, sigmoid
 
 PIECE = 1024
 LEVEL = 3
@@ -104,9 +105,15 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, part: Column
 
 
 def texts_of(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(label, text) of a bounded sample; it is small by its bound, so it is broadcast."""
-    slim = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return slim.join(F.broadcast(sample), "__id").select("__id", "label", "text")
+    """(id, label, text) of a bounded sample; it is small by its bound, so it is broadcast.
+
+    Of several texts under one id the first by hash counts, so the rows are bounded too.
+    """
+    text = F.coalesce(quoted(text_col), F.lit(""))
+    slim = docs.select(quoted(id_col).alias("__id"), text.cast("binary").alias("text"))
+    first = F.min(F.struct(_order(F.col("text"), 4).alias("order"), "text")).alias("first")
+    once = slim.join(F.broadcast(sample), "__id").groupBy("__id", "label").agg(first)
+    return once.select("__id", "label", F.col("first.text").alias("text"))
 
 
 def train(
@@ -139,7 +146,7 @@ def train(
             yield arrow_batch(schema, label=label, piece=out)
 
     texts = texts_of(docs, sample, id_col, text_col).select("label", "text")
-    cuts = texts.mapInArrow(cut, "label int, piece binary")
+    cuts = texts.mapInArrow(released(cut), "label int, piece binary")
     trained = []
     for kind in (1, 0):
         chosen = cuts.filter(F.col("label") == kind).orderBy(_order(F.col("piece"), 3), "piece").limit(DICT_PIECES)
@@ -174,16 +181,16 @@ def model_score(model, text):
 
 def _applied(docs: DataFrame, model, function):
     """A batch function: the first column as it is, and a number from the text in the second."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = held.value
+        model = sent.value
         for batch in batches:
             values = [function(model, text) for text in blobs(batch.column(1))]
             names = [batch.schema.field(0).name, "value"]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], names)
 
-    return run
+    return released(run)
 
 
 def score(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -192,14 +199,13 @@ def score(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> Da
     A null text counts as empty and scores like a text that tells nothing. One row per row; columns
     may have any names. An empty table gives no rows.
     """
-    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row")
-    slim = docs.select(row, F.col(text_col).cast("binary").alias("text"))
-    kind = slim.schema["row"].dataType.simpleString()
-    return slim.mapInArrow(_applied(docs, model, model_score), f"row {kind}, value double")
+    slim = docs.select(held(keep).alias("row"), quoted(text_col).cast("binary").alias("text"))
+    schema = StructType([slim.schema["row"], StructField("value", DoubleType())])
+    return slim.mapInArrow(_applied(docs, model, model_score), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score below ``threshold``."""
     model = train(docs, labels)
     scored = score(docs, model, docs.columns)
-    return scored.filter(F.col("value") >= threshold).select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    return scored.filter(F.col("value") >= threshold).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from logsift.llm.common import arrow_batch, blobs
+from logsift.llm.common import arrow_batch, blobs, held, quoted, released
 from logsift.sources.scratch import materialize
 
 WINDOW = 10
@@ -59,7 +60,7 @@ def benchmark_grams(benchmark: DataFrame, id_col="item_id", text_col="text", win
                     yield arrow_batch(schema, gram=grams, n=[n] * len(grams), item_id=ids)
 
     slim = benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
-    return slim.mapInArrow(run, "gram binary, n int, item_id long").distinct()
+    return slim.mapInArrow(released(run), "gram binary, n int, item_id long").distinct()
 
 
 class GramSet:
@@ -130,8 +131,8 @@ def _scan_part(rows: DataFrame, grams, first: bool) -> DataFrame:
                 ["row", "text", "hits"],
             )
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, text binary, hits {HITS}")
+    schema = StructType([rows.schema["row"], *StructType.fromDDL(f"text binary, hits {HITS}")])
+    return rows.mapInArrow(released(run), schema)
 
 
 def mark_contaminated(
@@ -156,8 +157,7 @@ def mark_contaminated(
     parts = max(1, math.ceil(size / part_bytes))
     spark = docs.sparkSession
     others = [c for c in docs.columns if c != text_col] if keep is None else keep
-    held = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others])
-    rows = docs.select(held.alias("row"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(held(others).alias("row"), quoted(text_col).cast("binary").alias("text"))
     for part in range(parts):
         own = F.pmod(F.xxhash64("gram"), F.lit(parts)) == part
         known = spark.sparkContext.broadcast(GramSet(grams.filter(own).collect()))
@@ -180,7 +180,7 @@ def items_digest(items: Column) -> Column:
 
 def _columns(docs: DataFrame, text_col: str):
     text = F.decode("text", "UTF-8").alias(text_col)
-    return [text if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+    return [text if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
@@ -192,7 +192,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the hit words taken out of the texts, each with what follows up to the next word.
 
-    Texts without a hit stay as they are; so do all other columns.
+    Texts without a hit stay as they are, null and empty ones too; so do all other columns. Spans that
+    overlap or touch are one, and repeated rows stay one to one.
     """
 
     def run(batches):
@@ -205,8 +206,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary())], ["row", "text"])
 
     marked = mark_contaminated(docs, benchmark, text_col).select("row", "text", F.col("hits.spans").alias("spans"))
-    kind = marked.schema["row"].dataType.simpleString()
-    return marked.mapInArrow(run, f"row {kind}, text binary").select(*_columns(docs, text_col))
+    schema = StructType([marked.schema["row"], *StructType.fromDDL("text binary")])
+    return marked.mapInArrow(released(run), schema).select(*_columns(docs, text_col))
 
 
 def cut(text: bytes, spans) -> bytes:

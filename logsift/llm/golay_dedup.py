@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import arrow_batch, blobs, text_key
+from logsift.llm.common import arrow_batch, blobs, quoted, released, text_key
 from logsift.llm.components import components
 from logsift.sources.scratch import materialize
 
@@ -69,9 +69,9 @@ def fingerprints(docs, id_col="doc_id", text_col="text", n=SHINGLE, seed=SEED):
             signed = np.array(values, dtype=np.uint64).view(np.int64)
             yield arrow_batch(schema, doc_id=batch.column(0), text_key=batch.column(1), fp=signed)
 
-    text = F.col(text_col)
-    slim = docs.select(F.col(id_col).cast("long"), text_key(text), text.cast("binary"))
-    return slim.mapInArrow(run, "doc_id long, text_key long, fp long")
+    text = quoted(text_col)
+    slim = docs.select(quoted(id_col).cast("long"), text_key(text), text.cast("binary"))
+    return slim.mapInArrow(released(run), "doc_id long, text_key long, fp long")
 
 
 def _remainders(words: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ def _keyed(fps: DataFrame) -> DataFrame:
             rows, keys = segment_keys(own.view(np.uint64))
             yield arrow_batch(schema, key=keys, fp=own[rows])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long")
+    return fps.select("fp").mapInArrow(released(run), "key long, fp long")
 
 
 def close_links(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -159,7 +159,7 @@ def _links_in_groups(groups: DataFrame, bits: int) -> DataFrame:
             pairs = sorted(links)
             yield arrow_batch(schema, u=[p[0] for p in pairs], v=[p[1] for p in pairs])
 
-    return groups.select("fps").mapInArrow(run, "u long, v long")
+    return groups.select("fps").mapInArrow(released(run), "u long, v long")
 
 
 def _links_by_midpoint(fps: DataFrame) -> DataFrame:
@@ -244,8 +244,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rows = docs.select(
         F.struct("*").alias("row"),
-        F.col(id_col).cast("long").alias("doc_id"),
-        text_key(F.col(text_col)).alias("text_key"),
+        quoted(id_col).cast("long").alias("doc_id"),
+        text_key(quoted(text_col)).alias("text_key"),
     )
     pick = lambda kind: materialize(judged.filter(kind).select("doc_id", "text_key"), "picked")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])

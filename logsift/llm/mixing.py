@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsift.llm.common import SPACE
+from logsift.llm.common import SPACE, held, quoted
 from logsift.sources.scratch import materialize
 
 U_BITS = 52
@@ -84,13 +84,13 @@ def mix(
     each. An empty table gives no rows. ``weights`` defaults to 1, 2, 3, repeating by name.
     """
     weights = (F.col("place") % 3 + 1) if weights is None else weights
-    found = words(F.col(text_col))
+    found = words(quoted(text_col))
     size = F.size("__words").cast("long")
     quality = F.greatest(F.size(F.array_distinct("__words")) / F.greatest(size, F.lit(1)), F.lit(1e-6))
-    kept = F.struct(*[F.col(c) for c in (keep or [id_col])]).alias("kept")
+    kept = held(keep or [id_col]).alias("kept")
     sized = materialize(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), kept, found.alias("__words")
+            quoted(id_col).alias("doc_id"), quoted(source_col).alias("source"), kept, found.alias("__words")
         ).select(
             "doc_id",
             "source",
