@@ -1,7 +1,7 @@
 """Chat formatting with typed content parts, in DataFrame functions only.
 
 A message is an array of typed parts. A visitor, one ``CASE`` over the part's type inside
-``transform``, turns every part into text: text parts are escaped, image, audio and document parts
+``aggregate``, turns them into text: runs of text parts are escaped, image, audio and document parts
 become placeholders in their place. Attachments are listed in order with their reference and the number of
 tokens that their placeholder stands for.
 
@@ -53,10 +53,21 @@ def _is_attachment(part: Column) -> Column:
     return F.coalesce(part["type"].isin(*PART_TOKENS), F.lit(False))
 
 
-def _visit(part: Column) -> Column:
-    """The text of one part; a part of unknown or null type counts as text, a null text is empty."""
-    text = escape(F.coalesce(part["text"], F.lit("")))
-    return F.when(_is_attachment(part), F.concat(F.lit(MARK), part["type"], F.lit("|>"))).otherwise(text)
+def _content(parts: Column) -> Column:
+    """The text of a message; a part of unknown or null type counts as text, a null text is empty.
+
+    Neighbouring texts are joined before they are escaped, so no control string can be put together from
+    pieces that are harmless one by one.
+    """
+    empty = F.struct(F.lit("").alias("out"), F.lit("").alias("run"))
+
+    def visit(state: Column, part: Column) -> Column:
+        mark = F.concat(F.lit(MARK), part["type"], F.lit("|>"))
+        attached = F.struct(F.concat(state["out"], escape(state["run"]), mark).alias("out"), F.lit("").alias("run"))
+        text = F.concat(state["run"], F.coalesce(part["text"], F.lit("")))
+        return F.when(_is_attachment(part), attached).otherwise(F.struct(state["out"].alias("out"), text.alias("run")))
+
+    return F.aggregate(parts, empty, visit, lambda state: F.concat(state["out"], escape(state["run"])))
 
 
 def _attachment(part: Column) -> Column:
@@ -80,7 +91,7 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     turn = F.struct(
         F.col("turn").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
-        F.array_join(F.transform(parts, _visit), "").alias("content"),
+        _content(parts).alias("content"),
         F.transform(F.filter(parts, _is_attachment), _attachment).alias("attachments"),
     )
     grouped = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
