@@ -2,15 +2,19 @@
 
 All in DataFrame functions. Base entities (e-mail, IP and phone numbers, payment cards) are matched by
 regular expressions and checked. They are the seeds of a bootstrap: the words before and after a seed
-are its lexical patterns; every token that looks like an identifier is an instance of the patterns
-around it. Patterns and instances form a graph whose scores are computed in turns:
-
-    score(pattern, kind)  = sum of its instances' scores / (its different instances + 1)
-    score(instance, kind) = 1 - product of (1 - score) over its patterns
-
-Seeds keep score 1 for their kind. Instances that were not seeds and end with a high score through
-trusted patterns, and whose shape allows the kind, become new spans everywhere they stand in such a
-pattern. The corpus is read once; the graph holds only tokens with digits or an at sign.
+are its lexical patterns; every token or group of digits that looks like an identifier is an instance of
+the patterns around it. Patterns and instances form a graph that is scored in rounds, for each kind:
+
+    trust(pattern) = P / (P + N + 1)
+        P: the scores of its different instances of the kind, seeds and found ones
+        N: its different instances that cannot be of the kind, and the scores of those of another kind
+    score(instance) = 1 - product of (1 - trust) over its trusted patterns; 1 for seeds
+
+Instances that nothing is known about count neither way: they are what the pattern is to find. A pattern
+is trusted from enough different scored instances on, so what one round finds can make patterns
+trusted in the next. New instances with a high score become spans wherever they stand in a trusted
+pattern. The corpus is read once; the graph holds only tokens with digits or an at sign, and of those
+only patterns with enough instances that could be of a kind.
 """
 
 from __future__ import annotations
@@ -18,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsift.functions.text import bind
 from logsift.llm.common import SPACE, text_key
 from logsift.sources.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-#: A pattern counts from this many different seeds on and with this score; an instance with this one.
+ROUNDS = 4
+#: A pattern counts from this many scored instances on and with this trust; an instance with this score.
 SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 5, 0.8, 0.9
 CONTEXT = 80  # code points on either side in which the neighbouring words are looked for
 OPEN, CLOSE, STOP, DOT = "\ue000", "\ue001", "\ue002", "\ue003"
@@ -46,6 +51,11 @@ TOKEN = rf"(?<![^{SPACE}])[^{SPACE}]*[0-9@][^{SPACE}]*"
 TRIM = r"""^[\p{Punct}&&[^+]]+|[\p{Punct}]+$"""
 
 
+#: Digits in groups, parted by single signs or spaces; what stands apart by more is not one number.
+GROUPS = r"(?<![A-Za-z0-9@])[+(]?[0-9][0-9().\x20-]*[0-9](?![A-Za-z0-9@])"
+MAYBE_GROUPS = r"[0-9)]\x20[0-9(]"
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -120,16 +130,29 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Tokens with a digit or an at sign as (start, end, token), punctuation around them left out."""
+    """Digit groups, and tokens with a digit or an at sign outside of them, as (start, end, token).
+
+    Punctuation around a token is left out.
+    """
 
     def made(at, m):
         head = F.length(F.regexp_extract(m, r"^[\p{Punct}&&[^+]]*", 0))
         token = F.regexp_replace(m, TRIM, "")
         return F.struct((at + head).alias("start"), (at + head + F.length(token)).alias("end"), token.alias("token"))
 
-    return F.when(text.rlike("[0-9@]"), _spans(_marked(text, TOKEN), lambda m: F.lit(True), made, CANDIDATE)).otherwise(
-        F.array().cast(f"array<{CANDIDATE}>")
+    def group(at, m):
+        return F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("token"))
+
+    none = F.array().cast(f"array<{CANDIDATE}>")
+    is_group = lambda m: (
+        m.contains(" ") & ~m.contains("  ") & F.length(_digits(m)).between(7, 19)
+    )
+    groups = F.when(text.rlike(MAYBE_GROUPS), _spans(_marked(text, GROUPS), is_group, group, CANDIDATE)).otherwise(none)
+    tokens = _spans(_marked(text, TOKEN), lambda m: F.lit(True), made, CANDIDATE)
+    apart = lambda g: F.filter(
+        tokens, lambda t: ~F.exists(g, lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"]))
     )
+    return F.when(text.rlike("[0-9@]"), bind(groups, lambda g: F.concat(g, apart(g)))).otherwise(none)
 
 
 def patterns_around(text: Column, start: Column, end: Column) -> Column:
@@ -160,36 +183,73 @@ def shape_allows(kind: Column, token: Column) -> Column:
     )
 
 
+def _graph(edges: DataFrame) -> DataFrame:
+    """(pattern, token, kind, seed, misfits) of the patterns that could ever be trusted.
+
+    A row says that the token could be of the kind, or is a seed of it. ``misfits`` counts the pattern's
+    different tokens that could not.
+    """
+    kinds = range(len(KINDS))
+    seeds = [F.max((F.col("kind") == k).cast("int")).alias(f"seed{k}") for k in kinds]
+    tokens = edges.groupBy("pattern", "token").agg(*seeds)
+    for k in kinds:
+        seed = F.coalesce(F.col(f"seed{k}"), F.lit(0)) == 1
+        tokens = tokens.withColumn(f"seed{k}", seed).withColumn(f"fits{k}", seed | shape_allows(F.lit(k), F.col("token")))
+    tokens = materialize(tokens, "pattern-tokens")
+    sizes = tokens.groupBy("pattern").agg(F.count("*").alias("size"), *[F.count_if(f"fits{k}").alias(f"n{k}") for k in kinds])
+    enough = [F.col(f"n{k}") >= SUPPORT for k in kinds]
+    sizes = materialize(sizes.filter(enough[0] | enough[1] | enough[2] | enough[3]), "patterns")
+    rows = F.array(
+        *[
+            F.when(
+                F.col(f"fits{k}") & enough[k],
+                F.struct(
+                    F.lit(k).alias("kind"),
+                    F.col(f"seed{k}").alias("seed"),
+                    (F.col("size") - F.col(f"n{k}")).alias("misfits"),
+                ),
+            )
+            for k in kinds
+        ]
+    )
+    rows = F.inline(F.filter(rows, lambda r: r.isNotNull()))
+    return materialize(tokens.join(sizes, "pattern").select("pattern", "token", rows), "pattern-graph")
+
+
 def _bootstrap(edges: DataFrame) -> DataFrame:
     """(pattern, token, kind) of trusted new identifiers, from edges (pattern, token, kind or null)."""
-    graph = materialize(
-        edges.groupBy("pattern", "token").agg(F.max("kind").alias("kind")), "pattern_graph"
-    )
-    sizes = graph.groupBy("pattern").agg(F.count("*").alias("size"), F.count("kind").alias("seeds"))
-    sizes = materialize(sizes.filter(F.col("seeds") >= SUPPORT).select("pattern", "size"), "patterns")
-    # only patterns with enough seeds can ever be trusted
-    graph = materialize(graph.join(sizes, "pattern"), "pattern_graph")
-    seeds = graph.filter(F.col("kind").isNotNull()).select("pattern", "size", "token", "kind", F.lit(1.0).alias("score"))
-    scored = seeds
+    graph = _graph(edges)
+    seeds = edges.filter(F.col("kind").isNotNull()).select("token", "kind").distinct()
+    seeds = materialize(seeds.select("token", F.col("kind").alias("known"), F.lit(1.0).alias("score")), "seeds")
+    scores = seeds
     for _ in range(ROUNDS):
+        same = F.col("known") == F.col("kind")
+        # a seed of the kind does not speak against it if it is also one of another
+        against = F.when(~same & ~F.col("seed"), F.col("score")).otherwise(0.0)
         trusted = (
-            scored.groupBy("pattern", "kind")
-            .agg((F.sum("score") / (F.max("size") + 1)).alias("trust"))
-            .filter(F.col("trust") >= PATTERN_SCORE)
+            graph.join(scores, "token")
+            .groupBy("pattern", "kind")
+            .agg(
+                F.sum(F.when(same, F.col("score")).otherwise(0.0)).alias("p"),
+                F.count_if(same).alias("support"),
+                (F.sum(against) + F.max("misfits")).alias("n"),
+            )
+            .withColumn("trust", F.col("p") / (F.col("p") + F.col("n") + 1))
+            .filter((F.col("support") >= SUPPORT) & (F.col("trust") >= PATTERN_SCORE))
+            .select("pattern", "kind", "trust")
         )
         trusted = materialize(trusted, "trusted")
-        new = (
-            graph.filter(F.col("kind").isNull())
-            .drop("kind")
-            .join(trusted, "pattern")
-            .filter(shape_allows(F.col("kind"), F.col("token")))
-        )
-        instances = new.groupBy("token", "kind").agg(
-            (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("score")
+        reached = graph.filter(~F.col("seed")).join(trusted, ["pattern", "kind"])
+        scored = reached.groupBy("token", "kind").agg(
+            F.round(1 - F.exp(F.sum(F.log(1 - F.col("trust")))), 9).alias("score")
         )
-        new = materialize(new.join(instances, ["token", "kind"]).select("pattern", "size", "token", "kind", "score"), "found")
-        scored = seeds.unionByName(new)
-    return new.filter(F.col("score") >= INSTANCE_SCORE).select("pattern", "token", "kind").distinct()
+        best = F.max(F.struct("score", (-F.col("kind")).alias("last"))).alias("best")
+        best = scored.filter(F.col("score") >= INSTANCE_SCORE).groupBy("token").agg(best)
+        new = best.select("token", (-F.col("best.last")).alias("known"), F.col("best.score").alias("score"))
+        new = materialize(new.join(seeds.select("token"), "token", "left_anti"), "found")
+        scores = seeds.unionByName(new)
+    named = new.select("token", F.col("known").alias("kind"))
+    return reached.select("pattern", "token", "kind").join(named, ["token", "kind"], "left_semi").distinct()
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
