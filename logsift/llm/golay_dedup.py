@@ -70,7 +70,9 @@ def fingerprints(docs, id_col="doc_id", text_col="text", n=SHINGLE, seed=SEED):
             yield arrow_batch(schema, doc_id=batch.column(0), text_key=batch.column(1), fp=signed)
 
     text = quoted(text_col)
-    slim = docs.select(quoted(id_col).cast("long"), text_key(text), text.cast("binary"))
+    slim = docs.select(
+        quoted(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.cast("binary").alias("text")
+    )
     return slim.mapInArrow(released(run), "doc_id long, text_key long, fp long")
 
 

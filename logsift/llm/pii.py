@@ -190,11 +190,10 @@ def _graph(edges: DataFrame) -> DataFrame:
     different tokens that could not.
     """
     kinds = range(len(KINDS))
-    seeds = [F.max((F.col("kind") == k).cast("int")).alias(f"seed{k}") for k in kinds]
+    seeds = [F.max(F.coalesce(F.col("kind") == k, F.lit(False))).alias(f"seed{k}") for k in kinds]
     tokens = edges.groupBy("pattern", "token").agg(*seeds)
     for k in kinds:
-        seed = F.coalesce(F.col(f"seed{k}"), F.lit(0)) == 1
-        tokens = tokens.withColumn(f"seed{k}", seed).withColumn(f"fits{k}", seed | shape_allows(F.lit(k), F.col("token")))
+        tokens = tokens.withColumn(f"fits{k}", F.col(f"seed{k}") | shape_allows(F.lit(k), F.col("token")))
     tokens = materialize(tokens, "pattern-tokens")
     sizes = tokens.groupBy("pattern").agg(F.count("*").alias("size"), *[F.count_if(f"fits{k}").alias(f"n{k}") for k in kinds])
     enough = [F.col(f"n{k}") >= SUPPORT for k in kinds]
@@ -249,7 +248,8 @@ def _bootstrap(edges: DataFrame) -> DataFrame:
         new = materialize(new.join(seeds.select("token"), "token", "left_anti"), "found")
         scores = seeds.unionByName(new)
     named = new.select("token", F.col("known").alias("kind"))
-    return reached.select("pattern", "token", "kind").join(named, ["token", "kind"], "left_semi").distinct()
+    found = reached.select("pattern", "token", "kind").join(named, ["token", "kind"], "left_semi")
+    return found.select("pattern", "token", "kind").distinct()
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
