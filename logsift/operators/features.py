@@ -57,119 +57,102 @@ def known_terms(lines: DataFrame, weights: DataFrame) -> DataFrame:
     return line_terms(lines, "line_no").join(weights, "token")
 
 
-def _with_line_values(lines: DataFrame, known: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The terms of ``known`` with the line features of their line; ``first`` marks one row a line.
-
-    Lines without a known term have one row with a NULL term.
-    """
-    columns = [c for c in known.columns if c != "line_no"]
-    term = F.struct(*columns)
-    nothing = lines.select("line_no", F.lit(None).cast(known.select(term.alias("t")).schema["t"].dataType).alias("t"))
-    grouped = (
-        known.select("line_no", term.alias("t"))
-        .unionAll(nothing)
-        .groupBy("line_no")
-        .agg(F.collect_list("t").alias("terms"))
-    )
-    counts = F.transform("terms", lambda t: t["tf"].cast("double"))
-    values = [x for n in names for x in (F.lit(n), features[n].of_array(counts))]
-    found = grouped.withColumn("of_line", F.named_struct(*values)).select(
-        "line_no", "of_line", F.posexplode_outer("terms")
-    )
-    return found.select(
-        "line_no", "of_line", F.col("pos").isNotNull().alias("known"),
-        (F.coalesce("pos", F.lit(0)) == 0).alias("first"), "col.*",
-    )
-
-
-def feature_cells(lines: DataFrame, weights: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(line_no, block, idx, value): the chosen features side by side, in list order.
-
-    ``idx`` counts through all blocks: a term feature is as wide as the vocabulary, a line feature
-    is one column. ``weights`` is a stored table, so reading its size for the offsets is cheap.
-    """
-    size = weights.agg(F.count("*")).scalar()
-    known = known_terms(lines, weights)
-    of_line = [n for n in names if not isinstance(features[n], TermFeature)]
-    if of_line:
-        known = _with_line_values(lines, known, of_line)
-    known, size = known.withColumn("width", size), F.col("width")
-    cells = []
-    n_terms = n_lines = 0
-    for block, name in enumerate(names):
-        offset = size * n_terms + n_lines
-        if isinstance(features[name], TermFeature):
-            cell, present = ((F.col("idx") + offset).alias("idx"), features[name].value()), "known"
-            n_terms += 1
-        else:
-            cell, present = (offset.alias("idx"), F.col(f"of_line.{name}")), "first"
-            n_lines += 1
-        cell = F.struct(F.lit(block).alias("block"), cell[0], cell[1].alias("value"))
-        cells.append(F.when(F.col(present), cell) if of_line else cell)
-    cells = F.array(*cells)
-    return known.select("line_no", F.inline(F.filter(cells, lambda c: c.isNotNull()) if of_line else cells))
-
-
-def line_cells(
-    lines: DataFrame,
-    weights: DataFrame,
-    names: Sequence[str],
-    width: Column,
-    columns: int | None = None,
-    by: Sequence[str] = (),
-    texts: DataFrame | None = None,
+def _grouped_terms(
+    lines: DataFrame, weights: DataFrame, names: Sequence[str], place: Column, by: Sequence[str], texts: DataFrame
 ) -> DataFrame:
-    """(line_no, by..., other columns, cells): the non-zero cells of each line, sorted, in one array.
+    """(line_no, by..., terms, line): the known terms of each line in one array, and its other columns.
 
-    ``cells`` holds (at, value). Terms and lines meet in one grouping by line, whose rows carry the line's
-    other columns, so there is one shuffle of thin rows and the tokens are not in it. ``width`` is the
-    number of columns of a term feature. With ``columns``, tokens stand at ``col``, and those without one
-    are summed up in the last column of the block. ``by`` are columns of ``lines`` and ``weights``: with
-    several training sets, ``texts`` has each line once and a term finds all its sets in one join.
+    Terms and lines meet in one grouping by line, so there is one shuffle of thin rows and the tokens are not in
+    it. A term holds ``at``, ``tf`` and a value for each term feature, ``v0``, ``v1``, ...
     """
-    terms = [n for n in names if isinstance(features[n], TermFeature)]
     others = [c for c in lines.columns if c not in ("line_no", "tokens", *by)]
     line = F.struct("line_no", *others)
-    known = known_terms(lines if texts is None else texts, weights)
-    place = F.col("idx") if columns is None else F.coalesce("col", F.lit(columns))
-    value = [features[n].value().alias(f"v{i}") for i, n in enumerate(terms)]
-    term = F.struct(place.cast("int").alias("at"), "tf", *value)
+    known = known_terms(texts, weights)
+    terms = [n for n in names if isinstance(features[n], TermFeature)]
+    values = [features[n].value().alias(f"v{i}") for i, n in enumerate(terms)]
+    term = F.struct(place.alias("at"), "tf", *values)
     kinds = {
         "term": known.select(term.alias("term")).schema["term"].dataType,
         "line": lines.select(line.alias("line")).schema["line"].dataType,
     }
     nothing = lambda kind: F.lit(None).cast(kinds[kind]).alias(kind)
-    grouped = (
+    return (
         known.select("line_no", *by, term.alias("term"), nothing("line"))
         .unionByName(lines.select("line_no", *by, nothing("term"), line.alias("line")))
         .groupBy("line_no", *by)
         .agg(F.collect_list("term").alias("terms"), F.first("line", ignorenulls=True).alias("line"))
     )
+
+
+def _blocks(names: Sequence[str], width: Column, columns: int | None, cell) -> Column:
+    """The cells of all features of a grouped line in one array, made by ``cell(block, at, value)``."""
     counts = F.transform("terms", lambda t: t["tf"].cast("double"))
-    cell = lambda at, v: F.struct(at.cast("int").alias("at"), v.alias("value"))
-    blocks = []
+    found = []
     n_terms = n_lines = 0
-    for name in names:
+    for block, name in enumerate(names):
         offset = width * n_terms + n_lines
         if isinstance(features[name], TermFeature):
-            blocks.append(_term_cells(f"v{n_terms}", offset, width, columns, cell))
+            found.append(_term_cells(block, f"v{n_terms}", offset, width, columns, cell))
             n_terms += 1
         else:
-            blocks.append(F.array(cell(offset, features[name].of_array(counts))))
+            found.append(F.array(cell(block, offset, features[name].of_array(counts))))
             n_lines += 1
-    found = F.array_sort(F.filter(F.concat(*blocks), lambda c: c["value"] != 0))
-    return grouped.select("line_no", *by, *[F.col("line")[c].alias(c) for c in others], found.alias("cells"))
+    return F.concat(*found)
 
 
-def _term_cells(value: str, offset: Column, width: Column, columns: int | None, cell) -> Column:
-    own = lambda t: cell(t["at"] + offset, t[value])
+def _term_cells(block: int, value: str, offset: Column, width: Column, columns: int | None, cell) -> Column:
+    own = lambda t: cell(block, t["at"] + offset, t[value])
     if columns is None:
         return F.transform("terms", own)
     rest = F.filter("terms", lambda t: t["at"] >= columns)
     total = F.aggregate(F.array_sort(F.transform(rest, lambda t: t[value])), F.lit(0.0), lambda a, v: a + v)
     return F.concat(
         F.transform(F.filter("terms", lambda t: t["at"] < columns), own),
-        F.array(cell(offset + width - 1, total)),
+        F.array(cell(block, offset + width - 1, total)),
+    )
+
+
+def feature_cells(lines: DataFrame, weights: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(line_no, block, idx, value): the chosen features side by side, in list order.
+
+    ``idx`` counts through all blocks: a term feature is as wide as the vocabulary, a line feature
+    is one column. ``weights`` is a stored table, so reading its size for the offsets is cheap. Terms are
+    only brought together by line if a line feature needs it.
+    """
+    size = weights.agg(F.count("*")).scalar()
+    cell = lambda block, at, value: F.struct(F.lit(block).alias("block"), at.alias("idx"), value.alias("value"))
+    if all(isinstance(features[n], TermFeature) for n in names):
+        known = known_terms(lines, weights).withColumn("width", size)
+        cells = [cell(i, F.col("idx") + F.col("width") * i, features[n].value()) for i, n in enumerate(names)]
+        return known.select("line_no", F.inline(F.array(*cells)))
+    slim = lines.select("line_no", "tokens")
+    grouped = _grouped_terms(slim, weights, names, F.col("idx"), (), slim).withColumn("width", size)
+    return grouped.select("line_no", F.inline(_blocks(names, F.col("width"), None, cell)))
+
+
+def line_cells(
+    lines: DataFrame,
+    weights: DataFrame,
+    names: Sequence[str],
+    width: Column,
+    columns: int | None = None,
+    by: Sequence[str] = (),
+    texts: DataFrame | None = None,
+) -> DataFrame:
+    """(line_no, by..., other columns, cells): the non-zero cells of each line, sorted, in one array.
+
+    ``cells`` holds (at, value). ``width`` is the number of columns of a term feature. With ``columns``,
+    tokens stand at ``col``, and those without one are summed up in the last column of the block. ``by``
+    are columns of ``lines`` and ``weights``: with several training sets, ``texts`` has each line once and a
+    term finds all its sets in one join.
+    """
+    others = [c for c in lines.columns if c not in ("line_no", "tokens", *by)]
+    place = F.col("idx") if columns is None else F.coalesce("col", F.lit(columns))
+    grouped = _grouped_terms(lines, weights, names, place, by, lines if texts is None else texts)
+    cell = lambda _, at, value: F.struct(at.cast("int").alias("at"), value.alias("value"))
+    found = F.filter(_blocks(names, width, columns, cell), lambda c: c["value"] != 0)
+    return grouped.select(
+        "line_no", *by, *[F.col("line")[c].alias(c) for c in others], F.array_sort(found).alias("cells")
     )
 
 
