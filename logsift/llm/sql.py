@@ -82,4 +82,62 @@ SELECT conv_id, n_turns, sha256(all_turns) AS turns_sha256, length(loss)::BIGINT
 FROM rows
 """
 
-ORACLES = {"op2_mixing": _OP2, "op4_decontamination": _OP4, "op5_chat_formatting": _OP5}
+_HEAD11 = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
+_PATTERNS11 = (
+    (0, _HEAD11 + "[A-Za-z0-9+/_.=-]+"),
+    (1, "AKIA[A-Z0-9]+"),
+    (2, "[0-9a-f]{32,}"),
+    (3, "[A-Za-z0-9+/_.=-]{8,}"),
+)
+_CUT11 = " UNION ALL ".join(
+    f"""SELECT r, {kind} AS kind, string_split_regex(
+        regexp_replace(t, '({pattern})', chr(57344) || '\\1' || chr(57345), 'g'), '[\\x{{E000}}\\x{{E001}}]') AS s
+    FROM docs WHERE regexp_matches(t, '{pattern}')"""
+    for kind, pattern in _PATTERNS11
+)
+_SPANS11 = "coalesce(string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind)"
+
+_OP11 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source,
+    translate(coalesce(text, ''), chr(57344) || chr(57345), chr(57346) || chr(57346)) AS t
+  FROM documents),
+cuts AS (SELECT r, kind, unnest(s) AS m, generate_subscripts(s, 1) AS i FROM ({_CUT11})),
+placed AS (SELECT r, kind, m, i, sum(length(m)) OVER (PARTITION BY r, kind ORDER BY i) - length(m) AS s FROM cuts),
+found AS (
+  SELECT r, kind, s, s + length(m) AS e, m, CASE WHEN kind = 0 THEN regexp_replace(m, '^{_HEAD11}', '')
+    WHEN kind = 3 THEN regexp_replace(m, '\.+$', '') ELSE m END AS v
+  FROM placed WHERE i % 2 = 0),
+base AS (SELECT * FROM found WHERE length(v) >= [8, 16, 32, NULL][kind + 1]),
+free AS (
+  SELECT r, kind, s, s + length(v) AS e, v FROM found f
+  WHERE kind = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = f.r AND b.s < f.e AND f.s < b.e)),
+keyed AS (
+  SELECT r, kind, s, e, v, regexp_replace(v, '\.+$', '') AS k, string_split(v, '') AS chars
+  FROM (SELECT r, kind, s, e, v FROM base UNION ALL SELECT r, kind, s, e, v FROM free)),
+spots AS (
+  SELECT *, regexp_matches(v, '[0-9]') AND len(list_distinct(chars)) >= 6
+    AND NOT regexp_matches(v, '(?i)example|sample|dummy|change_?me|placeholder|your|test|fake|1234567|abcdef')
+    AND len(list_filter(chars, lambda c: contains(lower(v), repeat(lower(c), 4)))) = 0 AS live
+  FROM keyed
+  WHERE kind < 3 OR k IN (SELECT k FROM keyed WHERE kind < 3)
+    OR length(v) >= 20 AND len(list_distinct(chars)) >= 12 AND regexp_full_match(v, '[A-Za-z0-9_-]+')
+      AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')),
+owners AS (
+  SELECT k, count(DISTINCT source) + max((source IS NULL)::INT) AS n FROM spots JOIN docs USING (r) GROUP BY k),
+judged AS (SELECT r, kind, s, e, n >= 3 AS copied, n < 3 AND live AS owned FROM spots JOIN owners USING (k)),
+said AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    {_SPANS11} FILTER (kind < 3), '') AS base,
+    {_SPANS11} FILTER (kind < 3 OR owned), '') AS spans,
+    {_SPANS11} FILTER (owned), '') AS owned_spans,
+    {_SPANS11} FILTER (copied), '') AS copied_spans
+  FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(owned_spans, '') AS owned_spans, coalesce(copied_spans, '') AS copied_spans
+FROM docs LEFT JOIN said USING (r)
+"""
+
+ORACLES = {"op2_mixing": _OP2, "op4_decontamination": _OP4, "op5_chat_formatting": _OP5, "op11_secret_owners": _OP11}

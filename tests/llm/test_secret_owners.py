@@ -5,6 +5,7 @@ import hashlib
 import re
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,13 @@ def test_op11_query_on_given_documents(spark):
         assert (got[i].owned_spans, got[i].copied_spans) == (joined(owned), joined(copied))
         counts = [sum(k == n for _, k, _ in base) for n in range(3)]
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == counts
+
+
+def test_op11_query_equals_its_sql(spark, rows, tmp_path):
+    table_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registered.op11_secret_owners(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    result = con.execute(registered.ORACLES["op11_secret_owners"])
+    assert [d[0] for d in result.description] == got.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(result.fetchall(), key=repr)
