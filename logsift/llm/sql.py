@@ -140,4 +140,44 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN said USING (r)
 """
 
-ORACLES = {"op2_mixing": _OP2, "op4_decontamination": _OP4, "op5_chat_formatting": _OP5, "op11_secret_owners": _OP11}
+def _assigned13(name: str, book: str) -> str:
+    """Every part with its nearest entry; distances are whole numbers, so 64 * d + e orders ties too."""
+    return f"""{name} AS (
+  SELECT r, p, any_value(v) AS v, arg_min(e, 64 * d + e) AS e, min(d) AS d
+  FROM (SELECT r, p, v, e, list_sum(list_transform(list_zip(v, c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d
+        FROM parts JOIN {book} USING (p))
+  GROUP BY r, p)"""
+
+
+def _moved13(name: str, assigned: str, book: str) -> str:
+    return f"""{name} AS (
+  SELECT p, e, coalesce(m, c) AS c FROM {book} LEFT JOIN (
+    SELECT p, e, list(floor(total / n)::BIGINT ORDER BY j) AS m
+    FROM (SELECT p, e, j, sum(v[j])::DOUBLE AS total, count(*) AS n
+          FROM {assigned}, (SELECT unnest(range(1, (SELECT max(w) FROM kept) + 1)) AS j) GROUP BY p, e, j)
+    GROUP BY p, e) USING (p, e))"""
+
+
+_OP13 = f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label, x, len(x) // 16 AS w
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+        WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0)),
+parts AS (SELECT r, p, x[p * w + 1 : (p + 1) * w] AS v FROM kept, (SELECT unnest(range(16)) AS p)),
+first AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM kept),
+book0 AS (SELECT p, e, v AS c FROM parts JOIN first USING (r) WHERE e < 64),
+{_assigned13("near0", "book0")},
+{_moved13("book1", "near0", "book0")},
+{_assigned13("near1", "book1")},
+{_moved13("book2", "near1", "book1")},
+{_assigned13("near2", "book2")},
+coded AS (
+  SELECT r, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+  FROM near2 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (r)
+"""
+
+ORACLES = {"op2_mixing": _OP2, "op4_decontamination": _OP4, "op5_chat_formatting": _OP5, "op11_secret_owners": _OP11, "op13_norm_bounds": _OP13}
