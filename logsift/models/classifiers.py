@@ -43,6 +43,17 @@ def training_rows(rows: DataFrame, n_rows: int, *columns: str) -> DataFrame:
     )
 
 
+def counted_rows(rows: DataFrame, *columns: str) -> DataFrame:
+    """Equal rows once: ``weight`` says how often they come, ``line_no`` is their first line.
+
+    Cleaned log lines repeat themselves, so a learner whose loss is a sum over rows has far fewer of them to
+    pass over, at the cost of one grouping that is combined on the map side.
+    """
+    return rows.groupBy("y", "features", *columns).agg(
+        F.min("line_no").alias("line_no"), F.count("*").cast("double").alias("weight")
+    )
+
+
 def _load_stage(spark: SparkSession, path: str):
     return DefaultParamsReader.loadParamsInstance(path, spark)
 
@@ -156,15 +167,17 @@ class SvmClassifier(Estimator):
         self.svc_params = params
 
     def _fit(self, rows: DataFrame) -> SvmModel:
-        n_rows = rows.count()
-        train = training_rows(rows, n_rows).drop("label").persist()
+        counted = counted_rows(rows).persist()
+        train = None
         try:
+            n_rows, n_counted = counted.agg(F.sum("weight"), F.count("*")).first()
+            train = training_rows(counted, n_counted, "weight").drop("label").persist()
             # Unit loss weight per line against 1/2 |w|^2, in MLlib's scale. The loose tolerance
             # ends the fit; the limit is only there for data that never converge.
             params = {
                 "tol": 0.1,
                 "maxIter": 1000,
-                "regParam": 1.0 / max(n_rows, 1),
+                "regParam": 1.0 / max(n_rows or 0, 1),
                 "standardization": False,
                 **self.svc_params,
             }
@@ -174,11 +187,14 @@ class SvmClassifier(Estimator):
             one_vs_rest = OneVsRest(
                 classifier=LinearSVC(**params),
                 labelCol="class",
+                weightCol="weight",
                 parallelism=self.parallelism,
             )
             model = one_vs_rest.fit(index.transform(train))
         finally:
-            train.unpersist()
+            counted.unpersist()
+            if train is not None:
+                train.unpersist()
         back = IndexToString(inputCol="prediction", outputCol="class_name", labels=index.labels)
         return SvmModel(PipelineModel([model, back]))
 

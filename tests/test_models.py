@@ -3,10 +3,14 @@
 import inspect
 import random
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from logsift.models import classifiers
 from logsift.models import features as feature_models
 from logsift.models.classifiers import (
     PULearningClassifier,
@@ -256,6 +260,25 @@ def test_svm_keeps_class_ids_with_gaps(spark, vectors, tmp_path):
     assert {r.class_id for r in again.coefficients(spark).collect()} == ids
 
 
+def test_svm_passes_over_equal_rows_once(spark, monkeypatch):
+    """Repeated lines weigh as much as they come and are one training row; the fit is that of all rows."""
+    rng = np.random.default_rng(0)
+    x, copies = rng.normal(size=(60, 5)), rng.integers(1, 9, 60)
+    y = (x[:, 0] + x[:, 1] / 2 + rng.normal(size=60) / 2 > 0).astype(float)
+    rows = [(float(y[i]), Vectors.dense(x[i])) for i in np.repeat(np.arange(60), copies)]
+    rows = [(line_no, *row) for line_no, row in enumerate(rows)]
+    every = spark.createDataFrame(rows, ["line_no", "y", "features"]).coalesce(1).cache()
+    seen = []
+    layout = classifiers.training_rows
+    monkeypatch.setattr(classifiers, "training_rows", lambda rows, *rest: seen.append(rows) or layout(rows, *rest))
+    params = {"tol": 1e-6, "maxIter": 30, "regParam": 0.05, "standardization": False}
+    model = svm(**params).fit(every)
+    assert seen[0].agg(F.count("*"), F.sum("weight")).first() == (60, len(rows))
+    plain = LinearSVC(labelCol="y", **params).fit(every)
+    of_class = model.stages.stages[0].models[1]
+    assert of_class.coefficients.toArray() == pytest.approx(plain.coefficients.toArray(), abs=0.02)
+
+
 def test_global_job(spark, corpus, tmp_path):
     path = str(tmp_path / "run")
     run = jobs.train_global(corpus, "ok", reports=["macro", "top_k_svm"], path=path)
