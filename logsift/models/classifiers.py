@@ -66,6 +66,28 @@ def _probability_one(model, rows: DataFrame) -> DataFrame:
     return scored.withColumn("p1", p1).drop("rawPrediction", "probability", "prediction")
 
 
+def _sees_all_rows(base) -> bool:
+    """Whether every tree is grown from all rows, so that equal ones may be one weighted row.
+
+    A bootstrap draws each row by itself, and a least number of rows per node counts them without weights.
+    """
+    asked = {p.name: base.getOrDefault(p) for p in base.params if base.hasDefault(p) or base.isSet(p)}
+    everything = asked.get("bootstrap") is False and asked.get("subsamplingRate") == 1.0
+    return everything and asked.get("minInstancesPerNode") == 1 and "weightCol" not in asked
+
+
+def _fit_forest(base, rows: DataFrame):
+    """``base`` fitted on rows with their ``label``; equal rows only once where that is the same forest."""
+    if not _sees_all_rows(base):
+        return base.fit(rows)
+    counted = counted_rows(rows).persist()
+    try:
+        few = training_rows(counted, counted.count(), "weight")
+        return base.copy({base.weightCol: "weight"}).fit(few)
+    finally:
+        counted.unpersist()
+
+
 class Detector(Estimator):
     """A plain probabilistic classifier as anomaly detector: unlabeled lines count as healthy."""
 
@@ -76,7 +98,7 @@ class Detector(Estimator):
     def _fit(self, rows: DataFrame) -> DetectorModel:
         train = training_rows(rows, rows.count()).persist()
         try:
-            return DetectorModel(self.base.fit(train))
+            return DetectorModel(_fit_forest(self.base, train))
         finally:
             train.unpersist()
 
@@ -123,7 +145,7 @@ class PULearningClassifier(Estimator):
         split = holdout_split(rows.select("line_no", "y", "features"), self.hold_out_ratio, self.seed)
         split = training_rows(split, n_rows, "is_holdout").persist()
         try:
-            model = self.base.fit(split.where("NOT is_holdout"))
+            model = _fit_forest(self.base, split.where("NOT is_holdout"))
             c = pu_constant(_probability_one(model, split.where("is_holdout"))).first().c
         finally:
             split.unpersist()

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import LinearSVC
+from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -245,6 +245,25 @@ def test_forest_does_not_depend_on_the_session(spark):
     assert scores[0] == scores[1]
 
 
+def test_whole_forests_pass_over_equal_rows_once(spark, vectors, monkeypatch):
+    """Trees of all rows are the same from counted rows; those of a bootstrap still get every row."""
+    rows = vectors.withColumn("y", binary_truth(F.col("y"))).select("line_no", "y", "features")
+    rows = rows.withColumn("y", F.when(F.col("line_no") % 5 == 0, -F.col("y")).otherwise(F.col("y"))).cache()
+    fitted = []
+    fit = RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, r: fitted.append(r.count()) or fit(self, r))
+    whole = {"bootstrap": False, "featureSubsetStrategy": "all", "numTrees": 2, "maxDepth": 6}
+    ours = regular(**whole).fit(rows).transform(rows)
+    assert fitted == [rows.select("y", "features").distinct().count()]
+    assert fitted[0] < rows.count()
+    plain = RandomForestClassifier(impurity="gini", seed=0, **whole)
+    plain = fit(plain, rows.withColumn("label", (F.col("y") == 1).cast("double"))).transform(rows)
+    same = ours.join(plain.select("line_no", "prediction"), "line_no")
+    assert same.where((F.col("pred") == 1) != (F.col("prediction") == 1)).count() == 0
+    regular(numTrees=2, maxDepth=2).fit(rows)
+    assert fitted[-1] == rows.count()
+
+
 def test_svm_keeps_class_ids_with_gaps(spark, vectors, tmp_path):
     rows = vectors.where("y <> -1").withColumn("y", F.col("y") * 10 + 5)
     ids = {r.y for r in rows.select("y").distinct().collect()}
