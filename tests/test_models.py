@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from logsift.models import classifiers
@@ -245,19 +246,29 @@ def test_forest_does_not_depend_on_the_session(spark):
     assert scores[0] == scores[1]
 
 
+def test_plain_forest_keeps_the_shares_of_mixed_lines(spark):
+    """Leaves that name the same class stay apart: 60 % of one line are anomalous, all of another are."""
+    kinds = [([1.0, 0.0], 10, 6), ([1.0, 1.0], 10, 10), ([0.0, 0.0], 10, 0)]
+    rows = [(Vectors.dense(x), 1.0 if i < up else -1.0) for x, n, up in kinds for i in range(n)]
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ["line_no", "features", "y"]).coalesce(1)
+    model = regular(numTrees=1, bootstrap=False, featureSubsetStrategy="all").fit(rows)
+    scored = classifiers._probability_one(model.model, rows).select("p1").distinct().collect()
+    assert sorted(r.p1 for r in scored) == pytest.approx([0.0, 0.6, 1.0])
+
+
 def test_whole_forests_pass_over_equal_rows_once(spark, vectors, monkeypatch):
     """Trees of all rows are the same from counted rows; those of a bootstrap still get every row."""
     rows = vectors.withColumn("y", binary_truth(F.col("y"))).select("line_no", "y", "features")
     rows = rows.withColumn("y", F.when(F.col("line_no") % 5 == 0, -F.col("y")).otherwise(F.col("y"))).cache()
     fitted = []
-    fit = RandomForestClassifier.fit
-    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, r: fitted.append(r.count()) or fit(self, r))
+    fit = RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, r: fitted.append(r.count()) or fit(self, r))
     whole = {"bootstrap": False, "featureSubsetStrategy": "all", "numTrees": 2, "maxDepth": 6}
     ours = regular(**whole).fit(rows).transform(rows)
     assert fitted == [rows.select("y", "features").distinct().count()]
     assert fitted[0] < rows.count()
     plain = RandomForestClassifier(impurity="gini", seed=0, **whole)
-    plain = fit(plain, rows.withColumn("label", (F.col("y") == 1).cast("double"))).transform(rows)
+    plain = plain.fit(rows.withColumn("label", (F.col("y") == 1).cast("double"))).transform(rows)
     same = ours.join(plain.select("line_no", "prediction"), "line_no")
     assert same.where((F.col("pred") == 1) != (F.col("prediction") == 1)).count() == 0
     regular(numTrees=2, maxDepth=2).fit(rows)
