@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from logsift.operators.features import TermFeature, feature_cells, line_cells
-from logsift.operators.vocabulary import fit_weights
+from logsift.operators.vocabulary import fit_weights, repeats
 from logsift.registry import features
 from logsift.sources.scratch import materialize, scratch_path
 from logsift.sources.stores import load_run, save_run
@@ -94,8 +94,12 @@ class FeatureModel(Model):
         """``lines``, without their tokens, and their sparse vectors."""
         if self.vocabulary_size == 0:
             raise ValueError("the vocabulary is empty")
-        cells = line_cells(lines, self.weights, self.names, F.lit(self.block_width), self.columns)
-        return _stored_vectors(cells, F.lit(self.width))
+
+        def vectors(rows: DataFrame) -> DataFrame:
+            cells = line_cells(rows, self.weights, self.names, F.lit(self.block_width), self.columns)
+            return _stored_vectors(cells, F.lit(self.width))
+
+        return _by_text(lines, vectors)
 
     def feature_names(self) -> DataFrame:
         """(idx, name) of every column: the token, LENGTH for a line feature, or REST.
@@ -163,6 +167,22 @@ def _stored_vectors(cells: DataFrame, width: Column, by: Sequence[str] = ()) ->
     return cells.sparkSession.read.schema(schema).parquet(path)
 
 
+def _by_text(lines: DataFrame, vectors) -> DataFrame:
+    """``vectors(lines)``, made of each different text once if texts repeat themselves.
+
+    Equal texts have equal vectors. The lines are then stored with the first line of their text and meet its
+    vector when they are read: a few texts are broadcast by Spark's own threshold, many take a shuffle join.
+    """
+    if not repeats(lines):
+        return vectors(lines)
+    others = [c for c in lines.columns if c != "tokens"]
+    texts = materialize(lines.groupBy("tokens").agg(F.min("line_no").alias("text_line")), "texts")
+    of_texts = vectors(texts.withColumnRenamed("text_line", "line_no")).withColumnRenamed("line_no", "text_line")
+    same = lines["tokens"].eqNullSafe(texts["tokens"])
+    known = lines.join(texts, same).select(*[lines[c] for c in others], texts["text_line"])
+    return materialize(known, "lines").join(of_texts, "text_line").drop("text_line")
+
+
 def vector_cells(vectors: DataFrame, *keep: str, column: str = "features") -> DataFrame:
     """(keep..., idx, value): the non-zero cells of vectors, unfolded by the tasks; none becomes dense."""
     return vectors.select(*keep, unfolded(F.unwrap_udt(column)))
@@ -187,7 +207,7 @@ def split_vectors(
 ) -> DataFrame:
     """(split, line..., features): every line by the weights of each of the ``k`` training sets.
 
-    One join and one grouping make the vectors of all folds; the files are divided by ``split``.
+    One join and one grouping make the vectors of all folds; their files are divided by ``split``.
     """
     for name in names:
         features[name]
@@ -198,7 +218,10 @@ def split_vectors(
     widths = F.array(*[F.lit(block_width(sizes[split], columns)) for split in range(k)])
     width = F.get(widths, F.col("split"))
     every = F.array(*[F.lit(split) for split in range(k)])
-    cells = line_cells(
-        lines.withColumn("split", F.explode(every)), split_weights, names, width, columns, ["split"], lines
-    )
-    return _stored_vectors(cells, matrix_width(names, width), ["split"])
+
+    def vectors(rows: DataFrame) -> DataFrame:
+        each = rows.withColumn("split", F.explode(every))
+        cells = line_cells(each, split_weights, names, width, columns, ["split"], rows)
+        return _stored_vectors(cells, matrix_width(names, width), ["split"])
+
+    return _by_text(lines, vectors)

@@ -73,19 +73,32 @@ def term_counts(words: Column) -> Column:
     return T.bind(F.sort_array(words), runs)
 
 
-def token_places(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def repeats(lines: DataFrame) -> bool:
+    """Whether a text comes twice or more on average, as cleaned log lines do."""
+    different = F.approx_count_distinct(F.xxhash64("tokens"))
+    n_lines, n_texts = lines.agg(F.count("*"), different).first()
+    return 2 * n_texts <= n_lines
+
+
+def counted_texts(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., line_no, tokens, n): equal texts once, with their first line and their number."""
+    return lines.groupBy(*by, "tokens").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n"))
+
+
+def token_places(lines: DataFrame, by: Sequence[str] = (), n: Column | None = None) -> DataFrame:
     """Occurrences combined per (by..., token, pos), from ``(by..., line_no, tokens)``.
 
     ``first_line`` is the first line in which the position is the token's leftmost one. Lines
-    without tokens are counted under a NULL token.
+    without tokens are counted under a NULL token. ``n`` says how many lines a row stands for.
     """
+    n = F.lit(1) if n is None else n
     return (
-        lines.select(*by, "line_no", F.inline_outer(_occurrences(F.col("tokens"))))
+        lines.select(*by, "line_no", n.alias("n"), F.inline_outer(_occurrences(F.col("tokens"))))
         .groupBy(*by, "token", "pos")
         .agg(
-            F.count_if("lead").alias("df"),
+            F.sum(F.when(F.col("lead"), F.col("n")).otherwise(0)).alias("df"),
             F.min(F.when(F.col("lead"), F.col("line_no"))).alias("first_line"),
-            F.count("*").alias("n"),
+            F.sum("n").alias("n"),
         )
     )
 
@@ -186,8 +199,16 @@ def fit_weights(lines: DataFrame) -> DataFrame:
 
 
 def fit_split_weights(lines: DataFrame, k: int, swap: bool = False) -> DataFrame:
-    """Vocabularies and weights of all ``k`` training sets, from one pass over ``(fold, ...)``."""
-    places = training_places(token_places(lines, ["fold"]), k, swap)
+    """Vocabularies and weights of all ``k`` training sets, from one pass over stored ``(fold, ...)``.
+
+    Where texts repeat themselves, each is cut into its tokens once per fold.
+    """
+    rows = lines.select("fold", "line_no", "tokens")
+    if repeats(rows):
+        places = token_places(counted_texts(rows, ["fold"]), ["fold"], F.col("n"))
+    else:
+        places = token_places(rows, ["fold"])
+    places = training_places(places, k, swap)
     stats = materialize(token_stats(places, ["split"]), "token-stats")
     return materialize(weights(stats, ["split"]), "weights")
 

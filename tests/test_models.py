@@ -25,6 +25,7 @@ from logsift.models.classifiers import (
 from logsift.models.features import FeatureExtractor, FeatureModel
 from logsift.operators.features import TermFeature
 from logsift.operators.labels import binary_truth
+from logsift.operators.vocabulary import fit_split_weights
 from logsift.plans import jobs
 from logsift.registry import Registry, features
 from logsift.sources import stores
@@ -184,6 +185,28 @@ def test_bounded_columns_need_one(spark, corpus):
         FeatureExtractor(columns=0).fit(rows)
 
 
+def test_vectors_of_equal_texts_are_made_once(spark, monkeypatch):
+    """Ten lines to a text, an empty text and none at all: each is looked up once, all lines get its vector."""
+    texts = [["a", "b", "a"], ["b"], ["c", "a"], [], None]
+    lines = spark.createDataFrame(
+        [(i, texts[i % 5], i % 3, "x") for i in range(50)], "line_no bigint, tokens array<string>, fold int, text string"
+    )
+    model = FeatureExtractor(["tfidf", "length"]).fit(lines)
+    made, real = [], feature_models.line_cells
+    monkeypatch.setattr(feature_models, "line_cells", lambda rows, *args: made.append(rows.count()) or real(rows, *args))
+    vectors = model.transform(lines)
+    assert made == [5]
+    assert vectors.columns == ["line_no", "fold", "text", "features"]
+    got = {r.line_no: r.features for r in vectors.collect()}
+    assert len(got) == vectors.count() == 50
+    few = {r.line_no: r.features for r in model.transform(lines.where("line_no < 5")).collect()}
+    assert made == [5, 5] and len(few) == 5 and few[0].numNonzeros() == 3 and few[4].numNonzeros() == 0
+    assert all(got[i] == few[i % 5] for i in range(50))
+    weights = fit_split_weights(lines, 3)
+    split = feature_models.split_vectors(lines, weights, 3, ["tfidf", "length"])
+    assert split.count() == 150 and made[2:] == [15]
+
+
 @pytest.mark.parametrize("columns, swap", [(None, False), (4, False), (None, True)])
 def test_vectors_of_all_folds_equal_those_of_each(spark, corpus, columns, swap):
     rows, _ = jobs.prepare(corpus, "ok")
