@@ -52,8 +52,18 @@ features.register(
 )
 
 
+#: More tokens than Spark's threshold for broadcasts lets through, at some 50 bytes each.
+LARGE_VOCABULARY = 200_000
+
+
 def known_terms(lines: DataFrame, weights: DataFrame) -> DataFrame:
-    """(line_no, token, tf, idx, df, lf, idf, ilf); tokens outside the vocabulary vanish."""
+    """(line_no, token, tf, idx, df, lf, idf, ilf); tokens outside the vocabulary vanish.
+
+    A small vocabulary is broadcast by Spark's own threshold. A large one is hashed within its partitions, so
+    that the terms, which are many times as many, are not sorted by token.
+    """
+    if weights.count() > LARGE_VOCABULARY:
+        weights = weights.hint("shuffle_hash")
     return line_terms(lines, "line_no").join(weights, "token")
 
 

@@ -356,3 +356,15 @@ def test_run_reports_skips_what_does_not_apply(spark):
     multi = predictions(spark, [(0, 0), (2, 0)])
     got = RP.run_reports(["acc", "macro", "top_k_svm"], binary, multi)
     assert set(got) == {("binary", "acc"), ("binary", "macro"), ("multi", "macro")}
+
+
+def test_large_vocabularies_are_hashed_not_sorted(spark, monkeypatch):
+    lines = lines_of(spark, "a b a", "b c", "z")
+    weights = V.fit_weights(lines_of(spark, "a b a", "b c"))
+    few = FE.known_terms(lines, weights)
+    monkeypatch.setattr(FE, "LARGE_VOCABULARY", 1)
+    many = FE.known_terms(lines, weights)
+    join = many._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in join and "SortMergeJoin" not in join
+    assert few.count() == many.count() == 4
+    assert few.exceptAll(many).isEmpty()
