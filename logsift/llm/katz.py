@@ -7,8 +7,10 @@ probabilities sum to one:
     P(w | h) = scale(h) d(c(h, w)) c(h, w)   if the pair was seen
                alpha(h) P(w)                 if not
 
-Words below a share of all training tokens are one class in the pairs; inside the class a word has
-its own discounted share, and one event stands for all words never seen.
+The model has two levels of pairs. In the lower one, words below a share of all training tokens are one
+class; inside the class a word has its own discounted share, and one event stands for all words never
+seen. The upper level has every pair of words that the class hides, with the same discounts, and backs off
+to the lower one: after a rare word its group are all words, after a frequent word the rare ones.
 
 Tables of word and pair counts are written to the shared folder. What the shares bound in number
 (words and pairs above a share of all tokens cannot be more than its inverse) is sent to every task;
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.llm.common import arrow_batch, blobs, id_remainder, text_key
@@ -40,8 +42,10 @@ SHIFT = 20  # a pair's key is history << SHIFT | word
 MEMO = 400_000
 FLUSH = 4_000_000  # tokens that a task counts before it sends the counts on
 END = b" "  # no word holds a space
+BEGIN = np.iinfo(np.int64).min  # code of the place before a text
 WORD_KIND, PAIR_KIND = 0, 1
 SUM_KINDS = {"rows": 2, "tokens": 3, "known": 4, "base": 5, "score": 6}
+RARE_KIND, HISTORY_KIND = 7, 8  # pairs with a rare word, and rare words in front of another
 
 
 def word_key(word: bytes) -> int:
@@ -166,26 +170,63 @@ def pair_keys(ids: np.ndarray) -> np.ndarray:
     return (history << SHIFT) | ids
 
 
-def _count(rows: DataFrame, keys_of) -> DataFrame:
-    """(key, c): how often each key occurs; ``keys_of`` makes a function from a text to its keys."""
-    schema = pa.schema([("key", pa.int64()), ("c", pa.int64())])
+def before(values: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
+    """The value in front of each, ``start`` at the first of each text."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[starts] = start
+    return out
+
+
+def rare_pairs(history: np.ndarray, word: np.ndarray, ids: np.ndarray, id_before: np.ndarray):
+    """Places of the pairs with a rare word, and their histories and words as codes."""
+    at = np.flatnonzero((ids == OTHER) | (id_before == OTHER))
+    return at, history[at], word[at]
+
+
+def rare_key(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64 bits that stand for a pair of codes."""
+    with np.errstate(over="ignore"):
+        x = history.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = ((x ^ (x >> np.uint64(32))) + word.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _count(rows: DataFrame, keys_of, names: tuple[str, ...] = ("key",)) -> DataFrame:
+    """(names..., c): how often each key occurs; ``keys_of`` makes a function from a text to its keys.
+
+    With several names it makes as many arrays, which are counted together.
+    """
+    schema = pa.schema([*((name, pa.int64()) for name in names), ("c", pa.int64())])
+
+    def counted(held):
+        if len(names) == 1:
+            key, c = np.unique(np.concatenate(held), return_counts=True)
+            return arrow_batch(schema, **{names[0]: key}, c=c)
+        parts = [np.concatenate(part) for part in zip(*held, strict=True)]
+        order = np.lexsort(parts[::-1])
+        parts = [part[order] for part in parts]
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([part[1:] != part[:-1] for part in parts], axis=0)
+        first = np.flatnonzero(new)
+        c = np.diff(np.append(first, len(order)))
+        return arrow_batch(schema, **{n: part[first] for n, part in zip(names, parts, strict=True)}, c=c)
 
     def run(batches):
         keys, held, size = keys_of(), [], 0
         for batch in batches:
             for text in blobs(batch.column(0)):
                 held.append(keys(text))
-                size += len(held[-1])
+                size += len(held[-1] if len(names) == 1 else held[-1][0])
                 if size >= FLUSH:
-                    key, c = np.unique(np.concatenate(held), return_counts=True)
-                    yield arrow_batch(schema, key=key, c=c)
+                    yield counted(held)
                     held, size = [], 0
         if held:
-            key, c = np.unique(np.concatenate(held), return_counts=True)
-            yield arrow_batch(schema, key=key, c=c)
+            yield counted(held)
 
-    counted = rows.mapInArrow(run, "key long, c long")
-    return counted.groupBy("key").agg(F.sum("c").alias("c"))
+    found = rows.mapInArrow(run, ", ".join(f"{name} long" for name in (*names, "c")))
+    return found.groupBy(*names).agg(F.sum("c").alias("c"))
 
 
 def _count_of_counts(counts: DataFrame):
@@ -226,6 +267,19 @@ def fit_words(training: DataFrame) -> tuple[Words, DataFrame]:
     return words, counts
 
 
+def back_off(c: np.ndarray, kept: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scale and alpha of histories with ``c`` events, of which discounts leave ``kept``.
+
+    ``prior`` is the share that the words seen after the history have in the level below.
+    """
+    # a history whose words were all seen often frees nothing: one more event makes room
+    room = np.where(kept < c - 1e-9, c, c + 1)
+    left = 1 - prior
+    every = left <= 1e-12  # every word follows the history: nothing to back off to
+    scale = np.where(every, 1 / kept, 1 / room)
+    return scale, np.where(every, 1e-300, np.maximum((1 - kept / room), 1e-300) / np.where(every, 1, left))
+
+
 def fit_pairs(training: DataFrame, words: Words) -> tuple[Pairs, DataFrame]:
     """The pair model and the stored table (key, c) of all training pairs."""
     context = training.sparkSession.sparkContext
@@ -259,12 +313,7 @@ def fit_pairs(training: DataFrame, words: Words) -> tuple[Pairs, DataFrame]:
     by_history = counts.mapInArrow(sums, "h long, c long, kept double, back double")
     by_history = by_history.groupBy("h").agg(*[F.sum(x).alias(x) for x in ("c", "kept", "back")])
     h, c, kept, back = _columns(by_history, "h", "c", "kept", "back")
-    # a history whose words were all seen often frees nothing: one more event makes room
-    room = np.where(kept < c - 1e-9, c, c + 1)
-    left = 1 - back
-    every = left <= 1e-12  # every word follows the history: nothing to back off to
-    scale = np.where(every, 1 / kept, 1 / room)
-    alpha = np.where(every, 1e-300, np.maximum((1 - kept / room), 1e-300) / np.where(every, 1, left))
+    scale, alpha = back_off(c, kept, back)
     scale_log, alpha_log = np.zeros(size), np.zeros(size)
     scale_log[h], alpha_log[h] = np.log10(scale), np.log10(alpha)
     word = F.col("key").bitwiseAND((1 << SHIFT) - 1)
@@ -274,8 +323,108 @@ def fit_pairs(training: DataFrame, words: Words) -> tuple[Pairs, DataFrame]:
     return Pairs(d, scale_log, alpha_log, keys[order], known[order]), counts
 
 
-def _lookups(rows: DataFrame, words, pairs) -> DataFrame:
-    """(kind, key, doc_id, tag, n, value): what a task knows as sums, and the counts it lacks."""
+def _unigram_share(codes: np.ndarray, counts: np.ndarray, words: Words) -> np.ndarray:
+    """P(w | class of w): 1 for a word of the lower level. ``counts`` are those of unknown words."""
+    inner = np.zeros(len(codes))
+    ids = words.ids(codes)
+    known = codes >= 0
+    counts = np.array(counts, dtype=np.float64)
+    if known.any():
+        counts[known] = words.counts[codes[known]]
+    rare = ids == OTHER
+    inner[rare] = words.log_word(counts[rare].astype(np.int64)) - words.class_log[OTHER]
+    return 10**inner
+
+
+def fit_rare_pairs(
+    training: DataFrame, words: Words, pairs: Pairs, word_counts: DataFrame
+) -> tuple[np.ndarray, DataFrame]:
+    """The upper level: log10 alpha after each word of the lower level, and what is joined to the texts.
+
+    The table has (kind, key, delta, alpha). ``delta`` is log10 of a seen pair's probability over that of the
+    lower level, ``alpha`` that of an unseen pair after the same history. A row of ``HISTORY_KIND`` has alpha
+    as its delta. Sums per frequent history are bounded by the lower level's share; rare histories, each of
+    them less than that share of the tokens, are summed where their pairs meet.
+    """
+    context = training.sparkSession.sparkContext
+    sent = context.broadcast((words, pairs))
+
+    def keys_of():
+        words = sent.value[0]
+        memo = Memo(words.coder())
+
+        def keys(text):
+            codes = memo.text(text)
+            ids = words.ids(codes)
+            return rare_pairs(before(codes, 0, BEGIN), codes, ids, before(ids, 0, START))[1:]
+
+        return keys
+
+    counts = materialize(_count(training, keys_of, ("h", "w")), "rare-pairs")
+    _, _, n = _count_of_counts(counts)
+    d = good_turing(n)
+    known = counts.filter("w >= 0").withColumn("cw", F.lit(0).cast("long"))
+    own = word_counts.filter(F.col("c") < KNOWN_SHARE * words.total)
+    own = own.select(F.bitwise_not("key").alias("w"), F.col("c").alias("cw"))
+    unknown = counts.filter("w < 0").join(own, "w", "left").select("h", "w", "c", F.coalesce("cw", F.lit(0)).alias("cw"))
+
+    def priors(batches):
+        words, pairs = sent.value
+        names = ["h", "w", "c", "id", "kept", "prior"]
+        for batch in batches:
+            h, w, c, cw = (batch.column(x).to_numpy() for x in ("h", "w", "c", "cw"))
+            id_before = np.where(h == BEGIN, START, words.ids(h))
+            prior = _unigram_share(w, cw, words)
+            rare = id_before == OTHER
+            key = (OTHER << SHIFT) | words.ids(w[rare])
+            prior[rare] *= 10 ** pairs.log_pair(key, pairs.lookup(key)[0], words)
+            columns = [*(batch.column(x) for x in ("h", "w", "c")), *map(pa.array, (id_before, discounted(c, d), prior))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = "h long, w long, c long, id long, kept double, prior double"
+    based = known.unionByName(unknown).mapInArrow(priors, kinds)
+    totals = {f"all_{x}": F.sum(F.col(x).cast("double")) for x in ("c", "kept", "prior")}
+    frequent = based.filter(F.col("id") != OTHER)
+    names = list(totals)
+    found = frequent.groupBy("id").agg(*[total.alias(x) for x, total in totals.items()])
+    ids, *found = _columns(found, "id", *names)
+    scale_log, alpha_log = np.zeros(len(words.class_log)), np.zeros(len(words.class_log))
+    scale, alpha = back_off(*found)
+    scale_log[ids], alpha_log[ids] = np.log10(scale), np.log10(alpha)
+    factors = context.broadcast((scale_log, alpha_log))
+
+    over = Window.partitionBy("h")
+    rare = based.filter(F.col("id") == OTHER).withColumns(
+        {x: total.over(over) for x, total in totals.items()} | {"first": F.min("w").over(over) == F.col("w")}
+    )
+    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("delta", pa.float64()), ("alpha", pa.float64())])
+
+    def rows(batches):
+        for batch in batches:
+            h, w, id_before, kept, prior = (batch.column(x).to_numpy() for x in ("h", "w", "id", "kept", "prior"))
+            if "first" in batch.schema.names:
+                scale, alpha = map(np.log10, back_off(*(batch.column(x).to_numpy() for x in names)))
+                first = batch.column("first").to_numpy(zero_copy_only=False)
+                n = int(first.sum())
+                yield arrow_batch(
+                    schema, kind=np.full(n, HISTORY_KIND, np.int8), key=h[first], delta=alpha[first], alpha=np.zeros(n)
+                )
+            else:
+                scale, alpha = (x[id_before] for x in factors.value)
+            delta = scale + np.log10(kept) - np.log10(prior)
+            kind = np.full(len(h), RARE_KIND, np.int8)
+            yield arrow_batch(schema, kind=kind, key=rare_key(h, w), delta=delta, alpha=alpha)
+
+    kinds = "kind tinyint, key long, delta double, alpha double"
+    return alpha_log, frequent.mapInArrow(rows, kinds).unionByName(rare.mapInArrow(rows, kinds))
+
+
+def _lookups(rows: DataFrame, words, pairs, after) -> DataFrame:
+    """(kind, key, doc_id, tag, n, value): what a task knows as sums, and the counts it lacks.
+
+    ``after`` has the upper level's log10 alpha after frequent words. All pairs of a training text were seen;
+    where a text is held out, the value of a pair that is looked up is 1, and its alpha is added beside it.
+    """
     schema = pa.schema(
         [
             ("kind", pa.int8()),
@@ -287,7 +436,7 @@ def _lookups(rows: DataFrame, words, pairs) -> DataFrame:
         ]
     )
 
-    def flush(batch, first, held, words, pairs):
+    def flush(batch, first, held, words, pairs, after):
         sizes = np.array([len(x) for x in held])
         codes = np.concatenate(held)
         doc = np.repeat(np.arange(len(held)), sizes)
@@ -309,8 +458,8 @@ def _lookups(rows: DataFrame, words, pairs) -> DataFrame:
         emit(WORD_KIND, rare[packed >> 32], packed & 0xFFFFFFFF, n, None)
 
         ids = words.ids(codes)
-        history = np.concatenate(([START], ids[:-1]))
-        history[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = START
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        history = before(ids, starts, START)
         keys, which = np.unique((history << SHIFT) | ids, return_inverse=True)
         counts, asked = pairs.lookup(keys)
         value = np.where(asked, 0.0, pairs.log_pair(keys, counts, words))
@@ -319,6 +468,20 @@ def _lookups(rows: DataFrame, words, pairs) -> DataFrame:
         packed, n = np.unique((which[open_] << 32) | doc[open_], return_counts=True)
         emit(PAIR_KIND, keys[packed >> 32], packed & 0xFFFFFFFF, n, None)
 
+        apart = batch.column(3).slice(first, len(held)).to_numpy(zero_copy_only=False)
+        at, h, w = rare_pairs(before(codes, starts, BEGIN), codes, ids, history)
+        rare, which = np.unique(rare_key(h, w), return_inverse=True)
+        packed, n = np.unique((which << 32) | doc[at], return_counts=True)
+        text = packed & 0xFFFFFFFF
+        emit(RARE_KIND, rare[packed >> 32], text, n, apart[text].astype(np.float64))
+        kept = apart[doc[at]]
+        at, h = at[kept], h[kept]
+        frequent = history[at] != OTHER
+        score += np.bincount(doc[at[frequent]], after[history[at[frequent]]], len(held))
+        rare, which = np.unique(h[~frequent], return_inverse=True)
+        packed, n = np.unique((which << 32) | doc[at[~frequent]], return_counts=True)
+        emit(HISTORY_KIND, rare[packed >> 32], packed & 0xFFFFFFFF, n, None)
+
         everyone = np.arange(len(held))
         spread = np.array([hash((first, int(i))) for i in everyone], dtype=np.int64)
         found = np.bincount(whose, minlength=len(held))
@@ -342,18 +505,18 @@ def _lookups(rows: DataFrame, words, pairs) -> DataFrame:
             )
 
     def run(batches):
-        own_words, own_pairs = words.value, pairs.value
-        memo = Memo(own_words.coder())
+        own = words.value, pairs.value, after.value
+        memo = Memo(own[0].coder())
         for batch in batches:
             first, held, size = 0, [], 0
             for at, text in enumerate(blobs(batch.column(2))):
                 held.append(memo.text(text))
                 size += len(held[-1])
                 if size >= FLUSH // 4:
-                    yield from flush(batch, first, held, own_words, own_pairs)
+                    yield from flush(batch, first, held, *own)
                     first, held, size = at + 1, [], 0
             if held:
-                yield from flush(batch, first, held, own_words, own_pairs)
+                yield from flush(batch, first, held, *own)
 
     return rows.mapInArrow(run, "kind tinyint, key long, doc_id long, tag int, n int, value double")
 
@@ -369,6 +532,9 @@ def _valued(found: DataFrame, words, pairs) -> DataFrame:
             value = batch.column("value").to_numpy().copy()
             pair = kind == PAIR_KIND
             value[pair] = n[pair] * own_pairs.log_pair(key[pair], c[pair], own_words)
+            upper = (kind == RARE_KIND) | (kind == HISTORY_KIND)
+            delta, alpha = (batch.column(x).to_numpy()[upper] for x in ("delta", "alpha"))
+            value[upper] = n[upper] * (delta - value[upper] * alpha)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(x) for x in names), pa.array(value)], [*names, "value"]
             )
@@ -394,13 +560,14 @@ def score_texts(
         (text_key(text) % (1 << 31)).cast("int").alias("tag"),
         text.cast("binary").alias("text"),
     )
-    held = id_remainder(F.col("doc_id"), held_out[0]) == held_out[1]
-    training = rows.filter(~held).select("text")
+    rows = rows.withColumn("apart", id_remainder(F.col("doc_id"), held_out[0]) == held_out[1])
+    training = rows.filter(~F.col("apart")).select("text")
     words, word_counts = fit_words(training)
     pairs, pair_counts = fit_pairs(training, words)
-    sent = [spark.sparkContext.broadcast(x) for x in (words, pairs)]
+    after, upper = fit_rare_pairs(training, words, pairs, word_counts)
+    *sent, after = [spark.sparkContext.broadcast(x) for x in (words, pairs, after)]
 
-    lookups = _lookups(rows, *sent)
+    lookups = _lookups(rows, *sent, after)
     total = words.total
     pair_total = F.lit(PAIR_SHARE * total)
     rare = word_counts.filter(F.col("c") < KNOWN_SHARE * total).select(
@@ -409,8 +576,10 @@ def score_texts(
     scarce = pair_counts.filter(F.col("c") < pair_total).select(
         F.lit(PAIR_KIND).cast("tinyint").alias("kind"), "key", "c"
     )
-    found = lookups.join(rare.unionByName(scarce), ["kind", "key"], "left").withColumn(
-        "c", F.coalesce("c", F.lit(0).cast("long"))
+    counted = rare.unionByName(scarce).unionByName(upper, allowMissingColumns=True)
+    numbers = {"c": "long", "delta": "double", "alpha": "double"}
+    found = lookups.join(counted, ["kind", "key"], "left").withColumns(
+        {name: F.coalesce(name, F.lit(0).cast(kind)) for name, kind in numbers.items()}
     )
     valued = _valued(found, *sent).repartition("doc_id", "tag")
 
@@ -428,7 +597,7 @@ def score_texts(
         add(part("tokens")).alias("tokens"),
         add(part("known"), word(F.when(F.col("c") > 0, F.col("n").cast("double")))).alias("known"),
         add(part("base"), word(base)).alias("base"),
-        add(part("score"), word(inside), F.when(kind == PAIR_KIND, F.col("value"))).alias("score"),
+        add(part("score"), word(inside), F.when(kind.isin(PAIR_KIND, RARE_KIND, HISTORY_KIND), F.col("value"))).alias("score"),
     )
     return sums.select(
         F.explode(F.sequence(F.lit(1), F.col("m"))).alias("copy"),

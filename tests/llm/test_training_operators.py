@@ -548,6 +548,73 @@ def test_katz_score_follows_the_model(spark, monkeypatch):
     assert scores[0] == pytest.approx(scores[1], rel=1e-9)
 
 
+def brute_katz(training, words, pairs, seen):
+    """P(w | h) of the whole model from plain counts, with None as the begin and katz.END as the end of a text."""
+    grams = collections.Counter()
+    single = collections.Counter()
+    for t in training:
+        row = [*t.lower().encode().split(), katz.END]
+        single.update(row)
+        grams.update(zip([None, *row[:-1]], row, strict=True))
+    place = dict(zip(words.keys.tolist(), words.model_ids.tolist(), strict=True))
+    of = lambda w: katz.START if w is None else place.get(katz.word_key(w), katz.OTHER)
+
+    def share(w):  # of a word inside its class
+        return 10 ** (float(words.log_word(single[w])) - words.class_log[katz.OTHER]) if of(w) == katz.OTHER else 1.0
+
+    def lower(h, w):
+        key = np.array([(of(h) << katz.SHIFT) | of(w)])
+        return 10 ** float(pairs.log_pair(key, np.array([seen.get(int(key[0]), 0)]), words)[0]) * share(w)
+
+    rare = {p: c for p, c in grams.items() if katz.OTHER in (of(p[0]), of(p[1]))}
+    sizes = collections.Counter(rare.values())
+    d = katz.good_turing([sizes[r] for r in range(1, katz.CUTOFF + 2)])
+    kept = {p: float(katz.discounted(c, d)) for p, c in rare.items()}
+
+    def chance(h, w):
+        if katz.OTHER not in (of(h), of(w)):
+            return lower(h, w)
+        group = [p for p in rare if p[0] == h]  # after a frequent word only the rare ones are in it
+        whole = lower(h, w) / share(w) if of(h) != katz.OTHER else 1.0
+        base = lambda v: share(v) if of(h) != katz.OTHER else lower(h, v)
+        if not group:
+            return whole * base(w)
+        n, left = sum(rare[p] for p in group), sum(kept[p] for p in group)
+        room = n if left < n - 1e-9 else n + 1
+        if (h, w) in rare:
+            return whole * kept[h, w] / room
+        return whole * (1 - left / room) / (1 - sum(base(v) for _, v in group)) * base(w)
+
+    return single, chance
+
+
+@pytest.mark.parametrize("known", [5e-7, 0.01])
+def test_katz_scores_pairs_of_rare_words(spark, monkeypatch, known):
+    """Every pair of words has its own count, and each history's probabilities sum to one."""
+    monkeypatch.setattr(katz, "VOCABULARY_SHARE", 0.03)
+    monkeypatch.setattr(katz, "KNOWN_SHARE", known)
+    rng = np.random.default_rng(2)
+    names = [f"r{i}" for i in range(25)]
+    texts = [" ".join(rng.choice(["a", "b", "c", *names], 12, p=[0.2, 0.2, 0.1, *[0.5 / 25] * 25])) for _ in range(60)]
+    texts += ["r1 r2 r3 new"] * 2 + ["", "once"]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    assert any(held)
+    training = [t for t, apart in zip(texts, held, strict=True) if not apart]
+    frame = spark.createDataFrame([(t.encode(),) for t in training], "text binary")
+    words, _ = katz.fit_words(frame)
+    pairs, counts = katz.fit_pairs(frame, words)
+    single, chance = brute_katz(training, words, pairs, dict(counts.collect()))
+    assert (words.model_ids == katz.OTHER).any() or known == 0.01
+    for history in (None, b"a", b"r1", b"new", b"unheard"):
+        assert sum(chance(history, w) for w in [*single, b"unheard"]) == pytest.approx(1, abs=1e-9)
+    expected = {}
+    for i, t in enumerate(texts):
+        row = [*t.encode().split(), katz.END]
+        expected[i] = sum(math.log10(chance(h, w)) for h, w in zip([None, *row[:-1]], row, strict=True))
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS).repartition(3)
+    assert {r.doc_id: r.score for r in katz.score_texts(df).collect()} == pytest.approx(expected, rel=1e-9)
+
+
 # -- 10: personal data --------------------------------------------------------------------------------------
 
 KINDS = {
