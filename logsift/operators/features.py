@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.operators.vocabulary import line_terms
+from logsift.operators.vocabulary import LARGE_VOCABULARY, line_terms
 from logsift.registry import features
 
 
@@ -52,10 +52,6 @@ features.register(
 )
 
 
-#: More tokens than Spark's threshold for broadcasts lets through, at some 50 bytes each.
-LARGE_VOCABULARY = 200_000
-
-
 def known_terms(lines: DataFrame, weights: DataFrame) -> DataFrame:
     """(line_no, token, tf, idx, df, lf, idf, ilf); tokens outside the vocabulary vanish.
 

@@ -18,6 +18,8 @@ from logsift.sources.scratch import materialize
 
 # A vocabulary range covers 2**12 lines: even long lines then add a bounded number of new tokens.
 VOCABULARY_SHIFT = 12
+#: More tokens than Spark's threshold for broadcasts lets through, at some 50 bytes each.
+LARGE_VOCABULARY = 200_000
 
 
 def tokenize(corpus: DataFrame) -> DataFrame:
@@ -103,17 +105,29 @@ def token_places(lines: DataFrame, by: Sequence[str] = (), n: Column | None = No
     )
 
 
+def place_width(lines: DataFrame) -> int | None:
+    """A number of places per line with which ``line_no * width + pos`` of every token fits into 64 bits, if any.
+
+    It reads the lines once, so they should be stored.
+    """
+    low, high, longest = lines.agg(F.min("line_no"), F.max("line_no"), F.max(F.size("tokens"))).first()
+    width = max(1, longest or 0)
+    return width if low is not None and low >= 0 and (high + 1) * width < 1 << 63 else None
+
+
+def _training_sets(k: int, swap: bool) -> Column:
+    """The training sets of a row of ``fold``: every one but that fold's own, or it alone when swapped."""
+    splits = F.sequence(F.lit(0), F.lit(k - 1))
+    return F.filter(splits, lambda s: (s == F.col("fold")) if swap else (s != F.col("fold")))
+
+
 def training_places(places: DataFrame, k: int, swap: bool = False) -> DataFrame:
     """Per-fold places regrouped into the ``k`` training sets, as column ``split``.
 
     Training set i is every fold but i, or fold i alone when train and test are swapped.
     """
-    splits = F.sequence(F.lit(0), F.lit(k - 1))
-    mine = F.filter(
-        splits, lambda s: (s == F.col("fold")) if swap else (s != F.col("fold"))
-    )
     return (
-        places.withColumn("split", F.explode(mine))
+        places.withColumn("split", F.explode(_training_sets(k, swap)))
         .groupBy("split", "token", "pos")
         .agg(
             F.sum("df").alias("df"),
@@ -218,10 +232,38 @@ def line_terms(lines: DataFrame, *keep: str) -> DataFrame:
     return lines.select(*keep, F.inline(term_counts(F.col("tokens"))))
 
 
-def vectorize(lines: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(line_no, pos, idx): tokens replaced by indexes, unknown ones dropped, positions closed up."""
-    known = token_rows(lines, "line_no").join(vocab.select("token", "idx"), "token")
+def fit_split_vocabulary(lines: DataFrame, k: int, swap: bool = False) -> DataFrame:
+    """(split, token, idx): the stored vocabularies of all ``k`` training sets of stored ``(fold, ...)``.
+
+    The numbers alone need no frequencies: a token's first line and place in it are one integer, whose minimum
+    is taken per fold and then per training set.
+    """
+    rows = lines.select("fold", "line_no", "tokens")
+    width = place_width(rows)
+    if width is None:
+        return fit_split_weights(lines, k, swap).select("split", "token", "idx")
+    place = F.min(F.col("line_no").cast("bigint") * width + F.col("pos")).alias("place")
+    folds = token_rows(rows, "fold", "line_no").groupBy("fold", "token").agg(place)
+    first = folds.withColumn("split", F.explode(_training_sets(k, swap))).groupBy("split", "token").agg(F.min("place").alias("place"))
+    line, pos = F.expr(f"place DIV {width}"), (F.col("place") % width).cast("int")
+    stats = materialize(first.select("split", "token", line.alias("first_line"), pos.alias("first_pos")), "first-places")
+    return materialize(vocabulary(stats, ["split"]), "vocabulary")
+
+
+def hashed_if_large(vocab: DataFrame) -> DataFrame:
+    """A vocabulary to join tokens with: Spark's own threshold broadcasts a small one.
+
+    A large one is hashed within its partitions, so that the tokens, which are many times as many, are not sorted.
+    """
+    return vocab.hint("shuffle_hash") if vocab.count() > LARGE_VOCABULARY else vocab
+
+
+def vectorize(lines: DataFrame, vocab: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., line_no, pos, idx): tokens replaced by indexes, unknown ones dropped, positions closed up.
+
+    ``by`` are columns of both: which of several vocabularies a line takes.
+    """
+    vocab = hashed_if_large(vocab.select(*by, "token", "idx"))
+    known = token_rows(lines, *by, "line_no").join(vocab, [*by, "token"])
     place = Window.partitionBy("line_no").orderBy("pos")
-    return known.select(
-        "line_no", (F.row_number().over(place) - 1).alias("pos"), "idx"
-    )
+    return known.select(*by, "line_no", (F.row_number().over(place) - 1).alias("pos"), "idx")

@@ -140,6 +140,32 @@ def test_vectorize_closes_up_positions(spark):
     assert rows_of(got, "line_no", "pos") == [(0, 0, 0), (0, 1, 1)]
 
 
+def test_vectorize_takes_the_vocabulary_of_the_lines_set(spark, monkeypatch):
+    lines = lines_of(spark, "a z b", "b", "z a").selectExpr("*", "IF(line_no = 1, 1, 0) AS split")
+    vocab = spark.createDataFrame([(0, "a", 0), (0, "b", 1), (1, "b", 7)], "split int, token string, idx bigint")
+    expected = [(0, 0, 0, 0), (0, 0, 1, 1), (0, 2, 0, 0), (1, 1, 0, 7)]
+    assert sorted(map(tuple, V.vectorize(lines, vocab, ["split"]).collect())) == expected
+    monkeypatch.setattr(V, "LARGE_VOCABULARY", 1)
+    many = V.vectorize(lines, vocab, ["split"])
+    join = many._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in join and "SortMergeJoin" not in join
+    assert sorted(map(tuple, many.collect())) == expected
+
+
+@pytest.mark.parametrize("offset", [0, -7, 2**63 - 70])  # the last two do not fit into one integer
+def test_split_vocabulary_has_the_numbers_of_the_weights(spark, offset):
+    rng = random.Random(3)
+    rows = [(i + offset, rng.choices("abcdefgh", k=rng.randrange(6)), i % 3) for i in range(60)]
+    lines = spark.createDataFrame(rows, "line_no bigint, tokens array<string>, fold int")
+    assert (V.place_width(lines) is None) == (offset != 0)
+    for swap in (False, True):
+        got = V.fit_split_vocabulary(lines, 3, swap)
+        expected = V.fit_split_weights(lines, 3, swap).select("split", "token", "idx")
+        assert got.columns == expected.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    assert V.place_width(lines.where("false")) is None
+
+
 def test_term_counts(spark):
     got = V.line_terms(lines_of(spark, "b a b b", ""), "line_no")
     assert rows_of(got, "token") == [(0, "a", 1), (0, "b", 3)]

@@ -289,7 +289,9 @@ def _each_training_set(spark, sf_dir, function):
     *TRAIN,
 )
 def vectorize_oov(spark, sf_dir):
-    found = _each_training_set(spark, sf_dir, V.vectorize)
+    lines = materialize(S.stratified_kfold(_encoded(spark, sf_dir, "tokens"), 3).drop("label"), "folds")
+    vocab = V.fit_split_vocabulary(lines, 3)
+    found = V.vectorize(lines.withColumn("split", F.col("fold")), vocab, ["split"])
     return found.withColumn("pos", F.col("pos").cast("bigint"))
 
 
