@@ -10,10 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.operators.vocabulary import LARGE_VOCABULARY, line_terms
+from logsift.operators.vocabulary import LARGE_VOCABULARY, batch_terms, line_terms
 from logsift.registry import features
 
 
@@ -71,6 +74,8 @@ def _grouped_terms(
     Terms and lines meet in one grouping by line, so there is one shuffle of thin rows and the tokens are not in
     it. A term holds ``at``, ``tf`` and a value for each term feature, ``v0``, ``v1``, ...
     """
+    if not by and lines is texts and weights.count() > LARGE_VOCABULARY:
+        return _gathered_terms(lines, weights, names, place)
     others = [c for c in lines.columns if c not in ("line_no", "tokens", *by)]
     line = F.struct("line_no", *others)
     known = known_terms(texts, weights)
@@ -90,6 +95,68 @@ def _grouped_terms(
     )
 
 
+def _gathered_terms(lines: DataFrame, weights: DataFrame, names: Sequence[str], place: Column) -> DataFrame:
+    """``_grouped_terms`` of a large vocabulary: its most frequent tokens travel with the tasks.
+
+    Their terms stay together, in one row per line, so only the rare tokens are rows that meet the vocabulary.
+    ``LARGE_VOCABULARY`` bounds what is sent, whatever the size of the corpus.
+    """
+    others = [c for c in lines.columns if c not in ("line_no", "tokens")]
+    line = F.struct("line_no", *others)
+    terms = [features[n] for n in names if isinstance(features[n], TermFeature)]
+    ratios = [F.expr(t.weight).cast("double").alias(f"v{i}") for i, t in enumerate(terms)]
+    frequent = weights.orderBy(F.desc("df"), "idx").limit(LARGE_VOCABULARY)
+    sent = frequent.select("token", place.cast("bigint").alias("at"), *ratios).toArrow().combine_chunks()
+    held = lines.sparkSession.sparkContext.broadcast(sent)
+    binary = [t.binary for t in terms]
+
+    def known(tokens):
+        rows, code, tf, words = batch_terms(tokens)
+        index = pc.index_in(words, value_set=held.value.column("token").combine_chunks())
+        return rows, code, tf, words, pc.fill_null(index, -1).to_numpy()[code]
+
+    def together(batches):
+        for batch in batches:
+            rows, _, tf, _, at = known(batch.column(1))
+            rows, tf, at = rows[at >= 0], tf[at >= 0], at[at >= 0]
+            columns = [held.value.column("at").to_numpy()[at], tf]
+            for i, once in enumerate(binary):
+                ratio = held.value.column(f"v{i}").to_numpy()[at]
+                columns.append(ratio if once else tf * ratio)
+            ends = np.searchsorted(rows, np.arange(len(batch) + 1)).astype(np.int32)
+            arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in columns]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["line_no", "at", "tf", *values])
+
+    def apart(batches):
+        for batch in batches:
+            rows, code, tf, words, at = known(batch.column(1))
+            rare = at < 0
+            columns = [batch.column(0).take(pa.array(rows[rare])), words.take(pa.array(code[rare])), pa.array(tf[rare])]
+            yield pa.RecordBatch.from_arrays(columns, ["line_no", "token", "tf"])
+
+    values = [f"v{i}" for i in range(len(terms))]
+    slim, kind = lines.select("line_no", "tokens"), lines.schema["line_no"].dataType.simpleString()
+    arrays = ", ".join(f"{x} array<{'long' if x in ('at', 'tf') else 'double'}>" for x in ("at", "tf", *values))
+    parts = ["at", "tf", *values]
+    own = slim.mapInArrow(together, f"line_no {kind}, {arrays}").select("line_no", F.struct(*parts).alias("own"))
+    at = place.cast("bigint").alias("at")
+    term = F.struct(at, "tf", *[t.value().alias(v) for t, v in zip(terms, values, strict=True)])
+    scarce = slim.mapInArrow(apart, f"line_no {kind}, token string, tf long")
+    scarce = scarce.join(weights.hint("shuffle_hash"), "token")
+    grouped = (
+        own.unionByName(scarce.select("line_no", term.alias("term")), allowMissingColumns=True)
+        .unionByName(lines.select("line_no", line.alias("line")), allowMissingColumns=True)
+        .groupBy("line_no")
+        .agg(
+            F.collect_list("own").alias("own"),
+            F.collect_list("term").alias("scarce"),
+            F.first("line", ignorenulls=True).alias("line"),
+        )
+    )
+    zipped = F.flatten(F.transform("own", lambda o: F.arrays_zip(*[o[x].alias(x) for x in parts])))
+    return grouped.select("line_no", F.concat(zipped, "scarce").alias("terms"), "line")
+
+
 def _blocks(names: Sequence[str], width: Column, columns: int | None, cell) -> Column:
     """The cells of all features of a grouped line in one array, made by ``cell(block, at, value)``."""
     counts = F.transform("terms", lambda t: t["tf"].cast("double"))

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,9 +163,99 @@ def token_stats(places: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def batch_tokens(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The tokens of a batch of lines: their rows, positions and codes, and the token of each code."""
+    rows = pc.list_parent_indices(tokens).to_numpy().astype(np.int64)
+    pos = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(tokens)))[rows]
+    coded = pc.dictionary_encode(pc.list_flatten(tokens), null_encoding="encode")
+    return rows, pos, coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def batch_terms(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The different tokens of each line of a batch: rows, codes and counts, and the token of each code."""
+    rows, _, code, words = batch_tokens(tokens)
+    keys, tf = np.unique(rows * max(1, len(words)) + code, return_counts=True)
+    return keys // max(1, len(words)), keys % max(1, len(words)), tf, words.cast(pa.string())
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts keys, equal ones as they come, and where each different key begins in it."""
+    order = np.argsort(keys, kind="stable")
+    found = keys[order]
+    return order, np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+
+
+#: Positions that share a 64-bit mask, and a line number above all.
+MASK_SIZE, NO_LINE = 64, np.iinfo(np.int64).max
+_BLOCKS = "token string, block int, mask long, df long, first_line long, first_pos int, n_lines long, last int"
+
+
+def _position_blocks(batches):
+    """What ``token_stats`` needs of each token and block of positions, combined per batch of lines."""
+    names = [part.split()[0] for part in _BLOCKS.split(", ")]
+    for batch in batches:
+        lines, tokens = pc.fill_null(batch.column(0), NO_LINE).to_numpy(), batch.column(1)
+        bare = len(tokens) - int(pc.sum(pc.greater(pc.list_value_length(tokens), 0)).as_py() or 0)
+        if bare:
+            columns = [pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), *[pa.array([0])] * 2, pa.nulls(1, pa.int64())]
+            columns += [pa.nulls(1, pa.int32()), pa.array([bare]), pa.nulls(1, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+        rows, pos, code, words = batch_tokens(tokens)
+        if not len(rows):
+            continue
+        order, begins = _runs(rows * len(words) + code)
+        lead = np.zeros(len(rows), bool)
+        lead[order[begins]] = True
+        blocks = int(pos.max()) // MASK_SIZE + 1
+        order, begins = _runs(code * blocks + pos // MASK_SIZE)
+        pos, lead, code = pos[order], lead[order], code[order]
+        line = np.where(lead, lines[rows[order]], NO_LINE)
+        first = np.minimum.reduceat(line, begins)
+        own = lead & (line == np.repeat(first, np.diff(np.append(begins, len(line)))))
+        none = first == NO_LINE
+        bits = np.left_shift(np.uint64(1), (pos % MASK_SIZE).astype(np.uint64))
+        columns = [
+            words.take(pa.array(code[begins])).cast(pa.string()),
+            pa.array((pos[begins] // MASK_SIZE).astype(np.int32)),
+            pa.array(np.bitwise_or.reduceat(bits, begins).view(np.int64)),
+            pa.array(np.add.reduceat(lead.astype(np.int64), begins)),
+            pa.array(first, mask=none),
+            pa.array(np.minimum.reduceat(np.where(own, pos, NO_LINE), begins).clip(max=2**31 - 1).astype(np.int32), mask=none),
+            pa.array(np.add.reduceat((pos == 0).astype(np.int64), begins)),
+            pa.array(np.maximum.reduceat(pos, begins).astype(np.int32)),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def line_stats(lines: DataFrame) -> DataFrame:
+    """``token_stats`` of ``(line_no, tokens)`` where each line counts once.
+
+    The positions of a token are told apart by the bits of masks, 64 to a row, so a token takes one row of a
+    batch for each block of positions, not one for every position.
+    """
+    kind = lines.schema["line_no"].dataType
+    found = lines.select(F.col("line_no").cast("bigint"), "tokens").mapInArrow(_position_blocks, _BLOCKS)
+    sums = [F.sum("df").alias("df"), F.min_by("first_pos", "first_line").alias("first_pos")]
+    sums += [F.min("first_line").alias("first_line"), F.sum("n_lines").alias("n_lines"), F.max("last").alias("last")]
+    blocks = found.groupBy("token", "block").agg(F.bit_or("mask").alias("mask"), *sums)
+    return (
+        blocks.groupBy("token")
+        .agg(*sums, F.sum(F.bit_count("mask")).alias("lf"))
+        .select(
+            "token",
+            "df",
+            "lf",
+            "first_pos",
+            F.col("first_line").cast(kind).alias("first_line"),
+            "n_lines",
+            (F.col("last") + 1).cast("bigint").alias("max_len"),
+        )
+    )
+
+
 def fit_stats(lines: DataFrame) -> DataFrame:
     """The stored token counts of a corpus ``(line_no, tokens)``."""
-    return materialize(token_stats(token_places(lines)), "token-stats")
+    return materialize(line_stats(lines), "token-stats")
 
 
 def corpus_totals(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:

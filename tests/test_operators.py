@@ -166,6 +166,19 @@ def test_split_vocabulary_has_the_numbers_of_the_weights(spark, offset):
     assert V.place_width(lines.where("false")) is None
 
 
+def test_token_stats_take_a_row_for_many_positions(spark):
+    """The same counts as by (token, position), from masks of 64 positions."""
+    rng = random.Random(5)
+    rows = [(i * 7 % 401, rng.choices("abcdefgh", k=rng.choice([0, 1, 3, 70, 200]))) for i in range(300)]
+    lines = spark.createDataFrame([*rows, (9000, None), (9001, ["new"])], "line_no bigint, tokens array<string>")
+    blocks = lines.coalesce(1).mapInArrow(V._position_blocks, V._BLOCKS)
+    assert blocks.where("token IS NOT NULL").count() <= 8 * 4 + 1 < V.token_places(lines).count() / 20
+    got, expected = V.line_stats(lines.repartition(3)), V.token_stats(V.token_places(lines))
+    assert got.dtypes == expected.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect()))
+    assert V.line_stats(lines.where("false")).isEmpty()
+
+
 def test_term_counts(spark):
     got = V.line_terms(lines_of(spark, "b a b b", ""), "line_no")
     assert rows_of(got, "token") == [(0, "a", 1), (0, "b", 3)]
@@ -394,3 +407,18 @@ def test_large_vocabularies_are_hashed_not_sorted(spark, monkeypatch):
     assert "ShuffledHashJoin" in join and "SortMergeJoin" not in join
     assert few.count() == many.count() == 4
     assert few.exceptAll(many).isEmpty()
+
+
+@pytest.mark.parametrize("columns", [None, 3])
+def test_frequent_terms_of_large_vocabularies_stay_in_their_lines(spark, monkeypatch, columns):
+    rng = random.Random(8)
+    messages = ["", "unheard", *[" ".join(rng.choices("abcdefghijkl", range(12, 0, -1), k=rng.randrange(30))) for _ in range(50)]]
+    weights = V.fit_weights(lines_of(spark, *messages[2:])).withColumn("col", F.when(F.col("idx") < 3, F.col("idx")))
+    lines = lines_of(spark, *messages).withColumn("y", F.col("line_no") % 2)
+    names = ["tfilf", "length", "tf", "tfidf"]
+    cells = lambda: FE.line_cells(lines, weights, names, F.lit(20), columns)
+    expected = sorted(map(repr, cells().collect()))
+    monkeypatch.setattr(FE, "LARGE_VOCABULARY", 4)
+    many = cells()
+    assert "MapInArrow" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, many.collect())) == expected
