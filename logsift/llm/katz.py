@@ -12,24 +12,30 @@ class; inside the class a word has its own discounted share, and one event stand
 seen. The upper level has every pair of words that the class hides, with the same discounts, and backs off
 to the lower one: after a rare word its group are all words, after a frequent word the rare ones.
 
-Tables of word and pair counts are written to the shared folder. What the shares bound in number
-(words and pairs above a share of all tokens cannot be more than its inverse) is sent to every task;
-the counts of all other words and pairs are joined to the tokens that need them, and the sums return
-to their documents. Nothing whose number grows with the corpus reaches the driver or a single task.
+Texts are read once. Their words are numbered and stored in chunks of some million tokens, and a chunk is the unit of
+all that follows: it asks for the counts of its different words, then of its different pairs. The questions are dealt
+into buckets by word or pair, a bucket adds up what its chunks have counted, and the answers return in the order of
+the questions. So neither a token nor a pair is ever a row, and sums per text are made where the text is. What the
+shares bound in number (words and pairs above a share of all tokens cannot be more than its inverse) is sent to every
+task. Nothing whose number grows with the corpus reaches the driver or a single task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm.common import arrow_batch, blobs, id_remainder, text_key
-from logsift.sources.scratch import materialize
+from logsift.llm.common import arrow_batch, blobs, id_remainder, release, released
+from logsift.llm.packing import gaps, joined, packed, unpacked
+from logsift.sources.scratch import materialize, scratch_scope
 
 #: Words with these shares of the training tokens: counts sent to the tasks; words of the pair model.
 KNOWN_SHARE, VOCABULARY_SHARE = 5e-7, 1e-5
@@ -39,13 +45,15 @@ CUTOFF = 5  # counts above it are not discounted
 HELD_OUT = (10, 0)
 START, OTHER, FIRST = 0, 1, 2  # model ids: before a text, class of rare words, first word
 SHIFT = 20  # a pair's key is history << SHIFT | word
-MEMO = 400_000
-FLUSH = 4_000_000  # tokens that a task counts before it sends the counts on
+CHUNK = 2_000_000  # tokens that a task holds at a time
+BUCKET = 4_000_000  # tokens of the corpus to a bucket at most
 END = b" "  # no word holds a space
-BEGIN = np.iinfo(np.int64).min  # code of the place before a text
-WORD_KIND, PAIR_KIND = 0, 1
-SUM_KINDS = {"rows": 2, "tokens": 3, "known": 4, "base": 5, "score": 6}
-RARE_KIND, HISTORY_KIND = 7, 8  # pairs with a rare word, and rare words in front of another
+TEXTS, WORDS, LOWER, UPPER = 0, 1, 2, 3  # what a row of a chunk holds: its texts, or answers
+STATS = -1  # in place of a chunk: sums that a bucket gives to the model
+ROW = "chunk long, kind int, bucket int, blob binary"
+ROW_SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
+LEAST = 1e-12  # a share below it is none
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def word_key(word: bytes) -> int:
@@ -53,17 +61,11 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) >> 1
 
 
-class Memo(dict):
-    """Codes of words, computed once while the memory lasts."""
-
-    def __init__(self, code):
-        super().__init__()
-        self.code = code
+class Numbers(dict):
+    """Numbers of words, in the order in which they come first."""
 
     def __missing__(self, word):
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = value = self.code(word)
+        self[word] = value = len(self)
         return value
 
     def text(self, text: bytes) -> np.ndarray:
@@ -116,20 +118,15 @@ class Words:
         mass = discounted(counts, self.discount) * self.scale
         return np.log10(np.where(np.asarray(counts) > 0, mass, self.unseen))
 
-    def coder(self):
-        """A function from a word to its place among the known words, or its key's complement."""
-        places = dict(zip(self.keys.tolist(), range(len(self.keys)), strict=True))
-
-        def code(word: bytes) -> int:
-            key = word_key(word)
-            return places.get(key, ~key)
-
-        return code
-
-    def ids(self, codes: np.ndarray) -> np.ndarray:
+    def ids(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return np.full(len(codes), OTHER, dtype=np.int64)
-        return np.where(codes >= 0, self.model_ids[np.maximum(codes, 0)], OTHER)
+            return np.full(len(keys), OTHER, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.model_ids[at], OTHER)
+
+    def log_inside(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 P(w | class of w): 0 for a word of the lower level."""
+        return np.where(ids == OTHER, self.log_word(counts) - self.class_log[OTHER], 0.0)
 
 
 @dataclass
@@ -147,6 +144,11 @@ class Pairs:
         seen = self.scale_log[history] + np.log10(np.maximum(discounted(counts, self.discount), 1e-300))
         return np.where(counts > 0, seen, self.alpha_log[history] + words.class_log[word])
 
+    def after_other(self, words: Words) -> np.ndarray:
+        """log10 of the lower level's probabilities of all model ids after a rare word."""
+        keys = (OTHER << SHIFT) | np.arange(len(words.class_log))
+        return self.log_pair(keys, self.lookup(keys)[0], words)
+
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of pairs, and which of them are only to be had from the table.
 
@@ -165,11 +167,6 @@ def with_other(keys):
     return ((keys >> SHIFT) == OTHER) | ((keys & ((1 << SHIFT) - 1)) == OTHER)
 
 
-def pair_keys(ids: np.ndarray) -> np.ndarray:
-    history = np.concatenate(([START], ids[:-1]))
-    return (history << SHIFT) | ids
-
-
 def before(values: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
     """The value in front of each, ``start`` at the first of each text."""
     out = np.empty_like(values)
@@ -178,61 +175,199 @@ def before(values: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def rare_pairs(history: np.ndarray, word: np.ndarray, ids: np.ndarray, id_before: np.ndarray):
-    """Places of the pairs with a rare word, and their histories and words as codes."""
-    at = np.flatnonzero((ids == OTHER) | (id_before == OTHER))
-    return at, history[at], word[at]
-
-
-def rare_key(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """64 bits that stand for a pair of codes."""
+def mixed(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of numbers that need not be random."""
     with np.errstate(over="ignore"):
-        x = history.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = ((x ^ (x >> np.uint64(32))) + word.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        x = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
+    return ((x >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
 
 
-def _count(rows: DataFrame, keys_of, names: tuple[str, ...] = ("key",)) -> DataFrame:
-    """(names..., c): how often each key occurs; ``keys_of`` makes a function from a text to its keys.
+def kept(c: np.ndarray, sizes: list[np.ndarray], d: np.ndarray) -> np.ndarray:
+    """What discounts leave of ``c`` events, of which ``sizes`` types have the counts 1..CUTOFF."""
+    return c - sum((1 - d[r]) * r * n for r, n in enumerate(sizes[:CUTOFF], 1))
+
+
+def sums_by(place: np.ndarray, c: np.ndarray, size: int) -> list[np.ndarray]:
+    """By place the events, and the numbers of types with counts 1..CUTOFF+1."""
+    rows = [np.bincount(place, c, size).astype(np.int64)]
+    return rows + [np.bincount(place[c == r], minlength=size) for r in range(1, CUTOFF + 2)]
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the query that wrote them has ended, not when the driver collects its garbage."""
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+
+
+def _together(rows: DataFrame, by: str, run: Callable[[dict[str, list]], Iterator[tuple]], kind: str, schema: pa.Schema):
+    """The rows that ``run`` makes of all rows with the same ``by``; it gets lists, in the order of kind, chunk and bucket."""
+
+    def group(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(name, "ascending") for name in ("kind", "chunk", "bucket")])
+        try:
+            columns = list(zip(*run(table.to_pydict()), strict=True)) or [[]] * len(schema)
+            arrays = [pa.array(values, field.type) for values, field in zip(columns, schema, strict=True)]
+            return pa.Table.from_arrays(arrays, schema=schema)
+        finally:
+            release()
+
+    return rows.groupBy(by).applyInArrow(group, kind)
 
-    With several names it makes as many arrays, which are counted together.
-    """
-    schema = pa.schema([*((name, pa.int64()) for name in names), ("c", pa.int64())])
-
-    def counted(held):
-        if len(names) == 1:
-            key, c = np.unique(np.concatenate(held), return_counts=True)
-            return arrow_batch(schema, **{names[0]: key}, c=c)
-        parts = [np.concatenate(part) for part in zip(*held, strict=True)]
-        order = np.lexsort(parts[::-1])
-        parts = [part[order] for part in parts]
-        new = np.ones(len(order), bool)
-        new[1:] = np.any([part[1:] != part[:-1] for part in parts], axis=0)
-        first = np.flatnonzero(new)
-        c = np.diff(np.append(first, len(order)))
-        return arrow_batch(schema, **{n: part[first] for n, part in zip(names, parts, strict=True)}, c=c)
+
+@dataclass
+class Chunk:
+    """Texts whose tokens are places in a dictionary: the ascending keys of their words."""
+
+    ids: np.ndarray  # of the texts
+    null: np.ndarray
+    apart: np.ndarray
+    sizes: np.ndarray
+    keys: np.ndarray
+    tokens: np.ndarray
+    counts: np.ndarray | None = None  # of the words in all training texts
+    numbers: np.ndarray | None = None  # of the words in the corpus
+
+    @classmethod
+    def of(cls, ids, apart, texts: list[np.ndarray], words: dict[bytes, int]) -> Chunk:
+        keys = np.fromiter(map(word_key, words), np.int64, len(words))
+        order = np.argsort(keys)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        null = np.array([i is None for i in ids])
+        ids = np.array([0 if i is None else i for i in ids], np.int64)
+        return cls(ids, null, np.array(apart), np.array([len(x) for x in texts]), keys[order], place[np.concatenate(texts)])
+
+    def blob(self) -> bytes:
+        n = np.bincount(self.tokens, minlength=len(self.keys))
+        rank = np.empty_like(n)
+        rank[np.argsort(-n, kind="stable")] = np.arange(len(n))  # so the numbers of most tokens are small
+        return packed(self.ids, self.null, self.apart, self.sizes, gaps(self.keys), n, rank[self.tokens])
+
+    @classmethod
+    def from_blob(cls, blob: bytes) -> Chunk:
+        ids, null, apart, sizes, steps, n, ranks = unpacked(blob)
+        return cls(ids, null.astype(bool), apart.astype(bool), sizes, np.cumsum(steps), np.argsort(-n, kind="stable")[ranks])
+
+    def spread(self, of_texts: np.ndarray) -> np.ndarray:
+        return np.repeat(of_texts, self.sizes)
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+
+@dataclass
+class Asked:
+    """The different keys of a chunk, dealt into buckets, ascending in each."""
+
+    at: np.ndarray  # tokens of the chunk that have a key
+    which: np.ndarray  # and the places of their keys
+    keys: np.ndarray
+    n: np.ndarray  # training tokens with each key
+    cuts: np.ndarray  # where the buckets begin, and the last one's end
+
+    @classmethod
+    def of(cls, chunk: Chunk, at: np.ndarray, keys: np.ndarray, bucket_of: Callable, buckets: int) -> Asked:
+        found, which = np.unique(keys, return_inverse=True)
+        n = np.bincount(which[~chunk.spread(chunk.apart)[at]], minlength=len(found))
+        bucket = bucket_of(found)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return cls(at, place[which], found[order], n[order], np.searchsorted(bucket[order], np.arange(buckets + 1)))
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the runs of keys with the same upper half begin, and their places by key; a run is in one bucket."""
+        upper = self.keys >> 32
+        new = np.ones(len(upper), bool)
+        new[1:] = upper[1:] != upper[:-1]
+        return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _questions(chunk: Chunk, words: Words, buckets: int) -> tuple[np.ndarray, Asked, Asked, Asked]:
+    """Model ids of the dictionary, and the pairs of the lower level, those after a rare word and before one."""
+    ids = words.ids(chunk.keys)
+    of_token = ids[chunk.tokens]
+    history = before(of_token, chunk.starts, START)
+    lower = Asked.of(
+        chunk, np.arange(len(of_token)), (history << SHIFT) | of_token, lambda k: mixed(k, buckets), buckets
+    )
+    rare_bucket = mixed(chunk.numbers, buckets)
+    by_word = lambda k: rare_bucket[k >> 32]
+    after = np.flatnonzero(history == OTHER)
+    after = Asked.of(chunk, after, (chunk.tokens[after - 1] << 32) | chunk.tokens[after], by_word, buckets)
+    ahead = np.flatnonzero((of_token == OTHER) & (history != OTHER))
+    ahead = Asked.of(chunk, ahead, (chunk.tokens[ahead] << 32) | history[ahead], by_word, buckets)
+    return ids, lower, after, ahead
+
+
+def _names(chunk: Chunk, ids: np.ndarray) -> np.ndarray:
+    """What stands for the words of a dictionary in all chunks: model ids, and numbers above them for rare words."""
+    return np.where(ids == OTHER, chunk.numbers + (1 << SHIFT), ids)
+
+
+def cut_texts(rows: DataFrame) -> DataFrame:
+    """Stored chunks of (doc_id, apart, text): rows of kind ``TEXTS``, and their numbers of training tokens."""
+    schema = pa.schema([*ROW_SCHEMA, ("tokens", pa.int64()), ("training", pa.int64())])
+    most = CHUNK
 
     def run(batches):
-        keys, held, size = keys_of(), [], 0
+        task, made = TaskContext.get().partitionId(), 0
+
+        def chunk(ids, apart, texts, words):
+            nonlocal made
+            whole = Chunk.of(ids, apart, texts, words)
+            row = {"chunk": [(task << 32) | made], "kind": [TEXTS], "bucket": [0], "blob": [whole.blob()]}
+            made += 1
+            return arrow_batch(schema, **row, tokens=[len(whole.tokens)], training=[int(whole.sizes[~whole.apart].sum())])
+
+        held, size, words = ([], [], []), 0, Numbers()
         for batch in batches:
-            for text in blobs(batch.column(0)):
-                held.append(keys(text))
-                size += len(held[-1] if len(names) == 1 else held[-1][0])
-                if size >= FLUSH:
-                    yield counted(held)
-                    held, size = [], 0
-        if held:
-            yield counted(held)
+            columns = batch.column(0).to_pylist(), batch.column(1).to_pylist(), blobs(batch.column(2))
+            for doc_id, apart, text in zip(*columns, strict=True):
+                for part, value in zip(held, (doc_id, apart, words.text(text)), strict=True):
+                    part.append(value)
+                size += len(held[2][-1])
+                if size >= most:
+                    yield chunk(*held, words)
+                    held, size, words = ([], [], []), 0, Numbers()
+        if held[0]:
+            yield chunk(*held, words)
+
+    return materialize(rows.mapInArrow(released(run), f"{ROW}, tokens long, training long"), "chunks")
 
-    found = rows.mapInArrow(run, ", ".join(f"{name} long" for name in (*names, "c")))
-    return found.groupBy(*names).agg(F.sum("c").alias("c"))
 
+def _sums(chunks: DataFrame) -> tuple[int, int]:
+    """Training tokens, and buckets for the questions of these chunks."""
+    row = chunks.agg(F.sum("training").alias("training"), F.sum("tokens").alias("tokens")).first()
+    partitions = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return row.training or 0, max(partitions, -(-(row.tokens or 0) // BUCKET))
 
-def _count_of_counts(counts: DataFrame):
-    sizes = [F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, CUTOFF + 2)]
-    row = counts.agg(F.sum("c").alias("total"), F.count("*").alias("types"), *sizes).first()
-    return row.total or 0, row.types, [row[f"n{r}"] for r in range(1, CUTOFF + 2)]
+
+def _stats(answers: DataFrame, columns: dict[str, type], first: int) -> DataFrame:
+    """The arrays from ``first`` on that buckets gave to the model, a row per number."""
+    schema = pa.schema([(x, pa.float64() if kind is float else pa.int64()) for x, kind in columns.items()])
+
+    def run(batches):
+        for batch in batches:
+            for blob in blobs(batch.column(0)):
+                arrays = unpacked(blob)[first : first + len(columns)]
+                kinds = columns.values()
+                arrays = [x.view(np.float64) if kind is float else x for x, kind in zip(arrays, kinds, strict=True)]
+                yield arrow_batch(schema, **dict(zip(columns, arrays, strict=True)))
+
+    kinds = ", ".join(f"{x} {'double' if kind is float else 'long'}" for x, kind in columns.items())
+    return answers.filter(F.col("chunk") == STATS).select("blob").mapInArrow(run, kinds)
+
+
+SIZES = [f"n{r}" for r in range(1, CUTOFF + 2)]
+BY_HISTORY = {"h": int, "c": int, **dict.fromkeys(SIZES, int), "prior": float}
 
 
 def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -240,20 +375,60 @@ def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [found.column(n).to_numpy() for n in names]
 
 
-def fit_words(training: DataFrame) -> tuple[Words, DataFrame]:
-    """The unigram model and the stored table (key, c) of all training words."""
+def _by_history(answers: DataFrame) -> list[np.ndarray]:
+    """(h, c, [n1..], prior) of all buckets; there is a row for a word of the model at most."""
+    found = _stats(answers, BY_HISTORY, 0).groupBy("h").agg(*[F.sum(x).alias(x) for x in BY_HISTORY if x != "h"])
+    h, c, *sizes, prior = _columns(found, *BY_HISTORY)
+    return [h, c, sizes, prior]
+
 
-    def word_keys():
-        return Memo(word_key).text
+def count_words(chunks: DataFrame, sums: tuple[int, int]) -> tuple[Words, DataFrame]:
+    """The unigram model, and to every word of every chunk its training count and its number as rows of ``WORDS``.
 
-    counts = materialize(_count(training, word_keys), "words")
-    total, types, n = _count_of_counts(counts)
+    The number of a word tells it from all others; the words of a bucket are numbered by falling counts.
+    """
+    total, buckets = sums
+    least = KNOWN_SHARE * total
+
+    def ask(batches):
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
+                chunk = Chunk.from_blob(blob)
+                n = np.bincount(chunk.tokens[~chunk.spread(chunk.apart)], minlength=len(chunk.keys))
+                edges = [(b << 63) // buckets + bool((b << 63) % buckets) for b in range(buckets)]
+                cuts = [*np.searchsorted(chunk.keys, np.array(edges, np.int64)).tolist(), len(n)]
+                parts = [packed(gaps(chunk.keys[a:b]), n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                row = {"chunk": [number] * buckets, "kind": [WORDS] * buckets, "bucket": range(buckets), "blob": parts}
+                yield arrow_batch(ROW_SCHEMA, **{x: list(v) for x, v in row.items()})
+
+    def answer(rows):
+        parts = [unpacked(blob) for blob in rows["blob"]]
+        sizes = [len(n) for _, n in parts]
+        keys, which = np.unique(np.concatenate([np.cumsum(steps) for steps, _ in parts]), return_inverse=True)
+        c = np.bincount(which, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+        bucket = rows["bucket"][0]
+        number = np.empty_like(c)
+        number[np.argsort(-c, kind="stable")] = np.arange(len(c)) * buckets + bucket
+        at = 0
+        for chunk, size in zip(rows["chunk"], sizes, strict=True):
+            own = which[at : at + size]
+            yield chunk, WORDS, bucket, packed(c[own], number[own])
+            at += size
+        types = [np.array([(c > 0).sum()]), *(np.array([(c == r).sum()]) for r in range(1, CUTOFF + 2))]
+        known = (c > 0) & (c >= least)
+        yield STATS, WORDS, bucket, packed(*types, keys[known], c[known])
+
+    asked = chunks.select("chunk", "blob").mapInArrow(released(ask), ROW)
+    answers = materialize(_together(asked, "bucket", answer, ROW, ROW_SCHEMA), "words")
+    names = ["types", *SIZES]
+    row = _stats(answers, dict.fromkeys(names, int), 0).agg(*[F.sum(x).alias(x) for x in names]).first()
+    types, n = row.types or 0, [row[x] or 0 for x in SIZES]
     d = good_turing(n)
     freed = sum((1 - d[r]) * r * n[r - 1] for r in range(1, CUTOFF + 1))
     # without any discount one more event makes room for an unseen word
     scale = 1 / total if freed > 0 else 1 / (total + 1)
     unseen = freed / total if freed > 0 else 1 / (total + 1)
-    keys, known = _columns(counts.filter(F.col("c") >= KNOWN_SHARE * total), "key", "c")
+    keys, known = _columns(_stats(answers, {"key": int, "c": int}, len(names)), "key", "c")
     order = np.argsort(keys)
     keys, known = keys[order], known[order]
     # the end of a text is a word of the pair model, however long the texts are
@@ -264,7 +439,7 @@ def fit_words(training: DataFrame) -> tuple[Words, DataFrame]:
     mass = discounted(known[inside], d) * scale
     other = max(unseen, 1 - float(mass.sum()))
     words.class_log = np.log10(np.concatenate(([1.0, other], mass)))
-    return words, counts
+    return words, answers.filter(F.col("chunk") != STATS)
 
 
 def back_off(c: np.ndarray, kept: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,271 +450,229 @@ def back_off(c: np.ndarray, kept: np.ndarray, prior: np.ndarray) -> tuple[np.nda
     # a history whose words were all seen often frees nothing: one more event makes room
     room = np.where(kept < c - 1e-9, c, c + 1)
     left = 1 - prior
-    every = left <= 1e-12  # every word follows the history: nothing to back off to
-    scale = np.where(every, 1 / kept, 1 / room)
+    every = left <= LEAST  # every word follows the history: nothing to back off to
+    with np.errstate(divide="ignore"):  # a history that was not seen has nothing
+        scale = np.where(every, 1 / kept, 1 / room)
     return scale, np.where(every, 1e-300, np.maximum((1 - kept / room), 1e-300) / np.where(every, 1, left))
 
 
-def fit_pairs(training: DataFrame, words: Words) -> tuple[Pairs, DataFrame]:
-    """The pair model and the stored table (key, c) of all training pairs."""
-    context = training.sparkSession.sparkContext
-    held = context.broadcast(words)
-
-    def keys_of():
-        words = held.value
-        memo = Memo(words.coder())
-        return lambda text: pair_keys(words.ids(memo.text(text)))
-
-    counts = materialize(_count(training, keys_of), "pairs")
-    total, _, n = _count_of_counts(counts)
-    d = good_turing(n)
+def _told(rows: dict[str, list], sent) -> Chunk:
+    """The chunk of a group's rows, with what it was told of its words."""
+    kinds = rows["kind"]
+    chunk = Chunk.from_blob(rows["blob"][kinds.index(TEXTS)])
+    told = [blob for kind, blob in zip(kinds, rows["blob"], strict=True) if kind == WORDS]
+    chunk.counts, chunk.numbers = joined(told, 2)
+    return chunk
+
+
+def ask_pairs(chunks: DataFrame, answers: DataFrame, words, buckets: int) -> DataFrame:
+    """Stored questions (chunk, kind, bucket, lower, upper) for the counts of all pairs of both levels."""
+    schema = pa.schema([*ROW_SCHEMA][:3] + [("lower", pa.binary()), ("upper", pa.binary())])
+
+    def run(rows):
+        chunk = _told(rows, words)
+        ids, lower, after, ahead = _questions(chunk, words.value, buckets)
+        names, counts = _names(chunk, ids), chunk.counts
+        heads = [asked.runs() for asked in (after, ahead)]
+        for b in range(buckets):
+            part = slice(*lower.cuts[b : b + 2])
+            upper = []
+            for asked, (firsts, _) in zip((after, ahead), heads, strict=True):
+                a, z = asked.cuts[b : b + 2]
+                own = firsts[np.searchsorted(firsts, a) : np.searchsorted(firsts, z)]
+                word, other = asked.keys[own] >> 32, asked.keys[a:z] & 0xFFFFFFFF
+                upper += [names[word], np.diff(own, append=z), asked.n[a:z]]
+                if asked is after:
+                    upper += [names[other], np.where(ids[other] == OTHER, counts[other], 0)]
+                else:
+                    upper += [other, counts[word]]
+            yield rows["chunk"][0], LOWER, b, packed(gaps(lower.keys[part]), lower.n[part]), packed(*upper)
+
+    told = chunks.select("chunk", "kind", "bucket", "blob").unionByName(answers)
+    kind = "chunk long, kind int, bucket int, lower binary, upper binary"
+    return materialize(_together(told, "chunk", run, kind, schema), "questions")
+
+
+def count_pairs(questions: DataFrame, words: Words, sent) -> tuple[Pairs, DataFrame]:
+    """The pair model, and the training counts of all pairs of the lower level as rows of ``LOWER``.
+
+    The counts of pairs that the model holds are not repeated in the answers.
+    """
+    least = PAIR_SHARE * words.total  # every training token ends one pair
+
+    def answer(rows):
+        parts = [unpacked(blob) for blob in rows["lower"]]
+        sizes = [len(n) for _, n in parts]
+        keys, which = np.unique(np.concatenate([np.cumsum(steps) for steps, _ in parts]), return_inverse=True)
+        c = np.bincount(which, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+        bucket = rows["bucket"][0]
+        known = (c > 0) & ((c >= least) | with_other(keys))
+        told = np.where(known, 0, c)
+        at = 0
+        for chunk, size in zip(rows["chunk"], sizes, strict=True):
+            yield chunk, LOWER, bucket, packed(told[which[at : at + size]])
+            at += size
+        seen = c > 0
+        h, place = np.unique(keys[seen] >> SHIFT, return_inverse=True)
+        prior = np.bincount(place, 10 ** sent.value.class_log[keys[seen] & ((1 << SHIFT) - 1)], len(h))
+        yield STATS, LOWER, bucket, packed(h, *sums_by(place, c[seen], len(h)), prior.astype(float), keys[known], c[known])
+
+    lower = questions.select("chunk", "kind", "bucket", "lower")
+    answers = materialize(_together(lower, "bucket", answer, ROW, ROW_SCHEMA), "pairs", keep=True)
+    h, c, n, prior = _by_history(answers)
+    d = good_turing([float(x.sum()) for x in n])
+    scale, alpha = back_off(c, kept(c, n, d), prior)
     size = len(words.class_log)
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("kept", pa.float64()), ("back", pa.float64())])
-
-    def sums(batches):
-        prior = 10 ** held.value.class_log
-        for batch in batches:
-            key, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            h, place = np.unique(key >> SHIFT, return_inverse=True)
-            back = prior[key & ((1 << SHIFT) - 1)]
-            yield arrow_batch(
-                schema,
-                h=h,
-                c=np.bincount(place, c).astype(np.int64),
-                kept=np.bincount(place, discounted(c, d)),
-                back=np.bincount(place, back),
-            )
-
-    by_history = counts.mapInArrow(sums, "h long, c long, kept double, back double")
-    by_history = by_history.groupBy("h").agg(*[F.sum(x).alias(x) for x in ("c", "kept", "back")])
-    h, c, kept, back = _columns(by_history, "h", "c", "kept", "back")
-    scale, alpha = back_off(c, kept, back)
     scale_log, alpha_log = np.zeros(size), np.zeros(size)
     scale_log[h], alpha_log[h] = np.log10(scale), np.log10(alpha)
-    word = F.col("key").bitwiseAND((1 << SHIFT) - 1)
-    other = (F.shiftright("key", SHIFT) == OTHER) | (word == OTHER)
-    keys, known = _columns(counts.filter((F.col("c") >= PAIR_SHARE * total) | other), "key", "c")
+    keys, known = _columns(_stats(answers, {"key": int, "c": int}, len(BY_HISTORY)), "key", "c")
     order = np.argsort(keys)
-    return Pairs(d, scale_log, alpha_log, keys[order], known[order]), counts
-
-
-def _unigram_share(codes: np.ndarray, counts: np.ndarray, words: Words) -> np.ndarray:
-    """P(w | class of w): 1 for a word of the lower level. ``counts`` are those of unknown words."""
-    inner = np.zeros(len(codes))
-    ids = words.ids(codes)
-    known = codes >= 0
-    counts = np.array(counts, dtype=np.float64)
-    if known.any():
-        counts[known] = words.counts[codes[known]]
-    rare = ids == OTHER
-    inner[rare] = words.log_word(counts[rare].astype(np.int64)) - words.class_log[OTHER]
-    return 10**inner
-
-
-def fit_rare_pairs(
-    training: DataFrame, words: Words, pairs: Pairs, word_counts: DataFrame
-) -> tuple[np.ndarray, DataFrame]:
-    """The upper level: log10 alpha after each word of the lower level, and what is joined to the texts.
-
-    The table has (kind, key, delta, alpha). ``delta`` is log10 of a seen pair's probability over that of the
-    lower level, ``alpha`` that of an unseen pair after the same history. A row of ``HISTORY_KIND`` has alpha
-    as its delta. Sums per frequent history are bounded by the lower level's share; rare histories, each of
-    them less than that share of the tokens, are summed where their pairs meet.
-    """
-    context = training.sparkSession.sparkContext
-    sent = context.broadcast((words, pairs))
-
-    def keys_of():
-        words = sent.value[0]
-        memo = Memo(words.coder())
+    return Pairs(d, scale_log, alpha_log, keys[order], known[order]), answers.filter(F.col("chunk") != STATS)
 
-        def keys(text):
-            codes = memo.text(text)
-            ids = words.ids(codes)
-            return rare_pairs(before(codes, 0, BEGIN), codes, ids, before(ids, 0, START))[1:]
 
-        return keys
+def count_rare_pairs(questions: DataFrame, words: Words, sent) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """The upper level: discounts, log10 scale and alpha after frequent words, and the answers as rows of ``UPPER``.
 
-    counts = materialize(_count(training, keys_of, ("h", "w")), "rare-pairs")
-    _, _, n = _count_of_counts(counts)
-    d = good_turing(n)
-    known = counts.filter("w >= 0").withColumn("cw", F.lit(0).cast("long"))
-    own = word_counts.filter(F.col("c") < KNOWN_SHARE * words.total)
-    own = own.select(F.bitwise_not("key").alias("w"), F.col("c").alias("cw"))
-    unknown = counts.filter("w < 0").join(own, "w", "left").select("h", "w", "c", F.coalesce("cw", F.lit(0)).alias("cw"))
+    After a rare word all pairs lie in the bucket of that word, which has its sums; pairs of a frequent and a rare word
+    lie in the bucket of the rare one, and the sums of their histories, bounded by the lower level's share, are added up.
+    The answers are the training counts of all pairs, and for every rare word of a chunk the events after it, the types
+    with counts 1..CUTOFF, and the share of the words seen after it in the level below: 2 if that is everything, and left
+    out (0) for a chunk that asks for no unseen pair after the word, as nothing is backed off there.
+    """
 
-    def priors(batches):
+    def answer(rows):
         words, pairs = sent.value
-        names = ["h", "w", "c", "id", "kept", "prior"]
-        for batch in batches:
-            h, w, c, cw = (batch.column(x).to_numpy() for x in ("h", "w", "c", "cw"))
-            id_before = np.where(h == BEGIN, START, words.ids(h))
-            prior = _unigram_share(w, cw, words)
-            rare = id_before == OTHER
-            key = (OTHER << SHIFT) | words.ids(w[rare])
-            prior[rare] *= 10 ** pairs.log_pair(key, pairs.lookup(key)[0], words)
-            columns = [*(batch.column(x) for x in ("h", "w", "c")), *map(pa.array, (id_before, discounted(c, d), prior))]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    kinds = "h long, w long, c long, id long, kept double, prior double"
-    based = known.unionByName(unknown).mapInArrow(priors, kinds)
-    totals = {f"all_{x}": F.sum(F.col(x).cast("double")) for x in ("c", "kept", "prior")}
-    frequent = based.filter(F.col("id") != OTHER)
-    names = list(totals)
-    found = frequent.groupBy("id").agg(*[total.alias(x) for x, total in totals.items()])
-    ids, *found = _columns(found, "id", *names)
+        parts = [unpacked(blob) for blob in rows["upper"]]
+        word, runs, n, other, rare_c, word2, runs2, n2, history, word_c = (
+            np.concatenate([part[i] for part in parts]) for i in range(10)
+        )
+        bucket = rows["bucket"][0]
+        # after a rare word
+        names, place = np.unique(word, return_inverse=True)
+        keys, which = np.unique((np.repeat(place, runs) << 36) | other, return_inverse=True)
+        c = np.bincount(which, n, len(keys)).astype(np.int64)
+        own_c = np.zeros(len(keys), np.int64)
+        own_c[which] = rare_c
+        of_other = keys & ((1 << 36) - 1)
+        ids = np.where(of_other < 1 << SHIFT, of_other, OTHER)
+        seen = c > 0
+        at = (keys >> 36)[seen]
+        prior = 10 ** (words.log_inside(ids, own_c) + pairs.after_other(words)[ids])
+        prior = np.bincount(at, prior[seen], len(names))
+        sums = sums_by(at, c[seen], len(names))
+        every = 1 - prior <= LEAST
+        # a rare word after a frequent one
+        names2, place2 = np.unique(word2, return_inverse=True)
+        keys2, which2 = np.unique((np.repeat(place2, runs2) << 36) | history, return_inverse=True)
+        c2 = np.bincount(which2, n2, len(keys2)).astype(np.int64)
+        own_c2 = np.zeros(len(names2), np.int64)
+        own_c2[place2] = word_c
+        seen2 = c2 > 0
+        at2 = (keys2 >> 36)[seen2]
+        share = 10 ** words.log_inside(np.full(len(names2), OTHER), own_c2)
+        h, by_h = np.unique(keys2[seen2] & ((1 << 36) - 1), return_inverse=True)
+        prior2 = np.bincount(by_h, share[at2], len(h))
+        sums2 = sums_by(by_h, c2[seen2], len(h))
+        at_word = at_pair = at_pair2 = 0
+        for chunk, part in zip(rows["chunk"], parts, strict=True):
+            own = place[at_word : at_word + len(part[0])]
+            counts = c[which[at_pair : at_pair + len(part[2])]]
+            run = np.repeat(np.arange(len(own)), part[1])
+            unseen = np.bincount(run[counts == 0], minlength=len(own)) > 0
+            back = np.where(every[own], 2.0, np.where(unseen, prior[own], 0.0))
+            counts2 = c2[which2[at_pair2 : at_pair2 + len(part[7])]]
+            yield chunk, UPPER, bucket, packed(counts, *(x[own] for x in sums[:-1]), back, counts2)
+            at_word, at_pair, at_pair2 = at_word + len(own), at_pair + len(counts), at_pair2 + len(counts2)
+        # what is after rare words counts for the discounts, under their class
+        h = np.append(h, OTHER)
+        sums2 = [np.append(x, y.sum()) for x, y in zip(sums2, sums, strict=True)]
+        yield STATS, UPPER, bucket, packed(h, *sums2, np.append(prior2, 0.0))
+
+    upper = questions.select("chunk", "kind", "bucket", "upper")
+    answers = materialize(_together(upper, "bucket", answer, ROW, ROW_SCHEMA), "rare-pairs", keep=True)
+    h, c, n, prior = _by_history(answers)
+    d = good_turing([float(x.sum()) for x in n])
+    frequent = h != OTHER
+    h, c, prior, n = h[frequent], c[frequent], prior[frequent], [x[frequent] for x in n]
     scale_log, alpha_log = np.zeros(len(words.class_log)), np.zeros(len(words.class_log))
-    scale, alpha = back_off(*found)
-    scale_log[ids], alpha_log[ids] = np.log10(scale), np.log10(alpha)
-    factors = context.broadcast((scale_log, alpha_log))
+    scale, alpha = back_off(c, kept(c, n, d), prior)
+    scale_log[h], alpha_log[h] = np.log10(scale), np.log10(alpha)
+    return d, scale_log, alpha_log, answers.filter(F.col("chunk") != STATS)
 
-    over = Window.partitionBy("h")
-    rare = based.filter(F.col("id") == OTHER).withColumns(
-        {x: total.over(over) for x, total in totals.items()} | {"first": F.min("w").over(over) == F.col("w")}
-    )
-    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("delta", pa.float64()), ("alpha", pa.float64())])
 
-    def rows(batches):
-        for batch in batches:
-            h, w, id_before, kept, prior = (batch.column(x).to_numpy() for x in ("h", "w", "id", "kept", "prior"))
-            if "first" in batch.schema.names:
-                scale, alpha = map(np.log10, back_off(*(batch.column(x).to_numpy() for x in names)))
-                first = batch.column("first").to_numpy(zero_copy_only=False)
-                n = int(first.sum())
-                yield arrow_batch(
-                    schema, kind=np.full(n, HISTORY_KIND, np.int8), key=h[first], delta=alpha[first], alpha=np.zeros(n)
-                )
-            else:
-                scale, alpha = (x[id_before] for x in factors.value)
-            delta = scale + np.log10(kept) - np.log10(prior)
-            kind = np.full(len(h), RARE_KIND, np.int8)
-            yield arrow_batch(schema, kind=kind, key=rare_key(h, w), delta=delta, alpha=alpha)
-
-    kinds = "kind tinyint, key long, delta double, alpha double"
-    return alpha_log, frequent.mapInArrow(rows, kinds).unionByName(rare.mapInArrow(rows, kinds))
-
-
-def _lookups(rows: DataFrame, words, pairs, after) -> DataFrame:
-    """(kind, key, doc_id, tag, n, value): what a task knows as sums, and the counts it lacks.
-
-    ``after`` has the upper level's log10 alpha after frequent words. All pairs of a training text were seen;
-    where a text is held out, the value of a pair that is looked up is 1, and its alpha is added beside it.
-    """
+def _scores(told: DataFrame, buckets: int, words, pairs, upper) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, base_score, score) from the chunks and all that they were told."""
     schema = pa.schema(
         [
-            ("kind", pa.int8()),
-            ("key", pa.int64()),
             ("doc_id", pa.int64()),
-            ("tag", pa.int32()),
-            ("n", pa.int32()),
-            ("value", pa.float64()),
+            ("held_out", pa.bool_()),
+            ("n_tokens", pa.int64()),
+            ("n_known", pa.int64()),
+            ("base_score", pa.float64()),
+            ("score", pa.float64()),
         ]
     )
 
-    def flush(batch, first, held, words, pairs, after):
-        sizes = np.array([len(x) for x in held])
-        codes = np.concatenate(held)
-        doc = np.repeat(np.arange(len(held)), sizes)
-        known = codes >= 0
-        out = []
-
-        def emit(kind, key, at, n, value):
-            out.append((kind, key, at, n, value))
-
-        base, score = np.zeros(len(held)), np.zeros(len(held))
-        place, whose = codes[known], doc[known]
-        if len(place):
-            base += np.bincount(whose, words.base(words.counts)[place], len(held))
-            inner = words.log_word(words.counts) - words.class_log[words.model_ids]
-            inner[words.model_ids != OTHER] = 0.0
-            score += np.bincount(whose, inner[place], len(held))
-        rare, which = np.unique(~codes[~known], return_inverse=True)
-        packed, n = np.unique((which << 32) | doc[~known], return_counts=True)
-        emit(WORD_KIND, rare[packed >> 32], packed & 0xFFFFFFFF, n, None)
-
-        ids = words.ids(codes)
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        history = before(ids, starts, START)
-        keys, which = np.unique((history << SHIFT) | ids, return_inverse=True)
-        counts, asked = pairs.lookup(keys)
-        value = np.where(asked, 0.0, pairs.log_pair(keys, counts, words))
-        score += np.bincount(doc, value[which], len(held))
-        open_ = asked[which]
-        packed, n = np.unique((which[open_] << 32) | doc[open_], return_counts=True)
-        emit(PAIR_KIND, keys[packed >> 32], packed & 0xFFFFFFFF, n, None)
-
-        apart = batch.column(3).slice(first, len(held)).to_numpy(zero_copy_only=False)
-        at, h, w = rare_pairs(before(codes, starts, BEGIN), codes, ids, history)
-        rare, which = np.unique(rare_key(h, w), return_inverse=True)
-        packed, n = np.unique((which << 32) | doc[at], return_counts=True)
-        text = packed & 0xFFFFFFFF
-        emit(RARE_KIND, rare[packed >> 32], text, n, apart[text].astype(np.float64))
-        kept = apart[doc[at]]
-        at, h = at[kept], h[kept]
-        frequent = history[at] != OTHER
-        score += np.bincount(doc[at[frequent]], after[history[at[frequent]]], len(held))
-        rare, which = np.unique(h[~frequent], return_inverse=True)
-        packed, n = np.unique((which << 32) | doc[at[~frequent]], return_counts=True)
-        emit(HISTORY_KIND, rare[packed >> 32], packed & 0xFFFFFFFF, n, None)
-
-        everyone = np.arange(len(held))
-        spread = np.array([hash((first, int(i))) for i in everyone], dtype=np.int64)
-        found = np.bincount(whose, minlength=len(held))
-        one = np.ones(len(held), np.int64)
-        own = {"rows": one, "tokens": sizes, "known": found, "base": base, "score": score}
-        for name, kind in SUM_KINDS.items():
-            emit(kind, spread, everyone, one, own[name])
-        doc_id = batch.column(0).slice(first, len(held))
-        tag = batch.column(1).slice(first, len(held))
-        for kind, key, at, n, value in out:
-            value = np.zeros(len(key)) if value is None else value
-            at = pa.array(at)
-            yield arrow_batch(
-                schema,
-                kind=np.full(len(key), kind, np.int8),
-                key=key.astype(np.int64),
-                doc_id=doc_id.take(at),
-                tag=tag.take(at),
-                n=n.astype(np.int32),
-                value=np.asarray(value, dtype=np.float64),
-            )
-
-    def run(batches):
-        own = words.value, pairs.value, after.value
-        memo = Memo(own[0].coder())
-        for batch in batches:
-            first, held, size = 0, [], 0
-            for at, text in enumerate(blobs(batch.column(2))):
-                held.append(memo.text(text))
-                size += len(held[-1])
-                if size >= FLUSH // 4:
-                    yield from flush(batch, first, held, *own)
-                    first, held, size = at + 1, [], 0
-            if held:
-                yield from flush(batch, first, held, *own)
+    def run(rows):
+        own_words, own_pairs, (d, scale_log, alpha_log) = words.value, pairs.value, upper.value
+        chunk = _told(rows, words)
+        ids, lower, after, ahead = _questions(chunk, own_words, buckets)
+        doc = chunk.spread(np.arange(len(chunk.sizes)))
+        sums = lambda at, values: np.bincount(doc[at], values, len(chunk.sizes))
+        answers = {kind: [b for k, b in zip(rows["kind"], rows["blob"], strict=True) if k == kind] for kind in (LOWER, UPPER)}
+        every = slice(None)
+        inside = own_words.log_inside(ids, chunk.counts)
+        score = sums(every, inside[chunk.tokens])
+        counts, asked = own_pairs.lookup(lower.keys)
+        (told,) = joined(answers[LOWER], 1)
+        score += sums(every, own_pairs.log_pair(lower.keys, np.where(asked, told, counts), own_words)[lower.which])
+
+        c, events, *n, prior, c2 = joined(answers[UPPER], CUTOFF + 4)
+        seen = np.log10(np.maximum(discounted(c, d), 1e-300))
+        scale, alpha = map(np.log10, back_off(events, kept(events, n, d), prior.view(np.float64)))
+        _, run = after.runs()
+        word = after.keys & 0xFFFFFFFF
+        below = inside[word] + own_pairs.after_other(own_words)[ids[word]]
+        score += sums(after.at, np.where(c > 0, scale[run] + seen - below, alpha[run])[after.which])
+        seen = np.log10(np.maximum(discounted(c2, d), 1e-300))
+        word, h = ahead.keys >> 32, ahead.keys & 0xFFFFFFFF
+        score += sums(ahead.at, np.where(c2 > 0, scale_log[h] + seen - inside[word], alpha_log[h])[ahead.which])
+
+        known = np.bincount(doc[chunk.counts[chunk.tokens] > 0], minlength=len(chunk.sizes))
+        base = sums(every, own_words.base(chunk.counts)[chunk.tokens])
+        doc_id = pa.array(chunk.ids, mask=chunk.null).to_pylist()
+        yield from zip(doc_id, chunk.apart.tolist(), chunk.sizes.tolist(), known.tolist(), base.tolist(), score.tolist(), strict=True)
+
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    return _together(told, "chunk", run, kind, schema)
+
+
+def _training(texts: DataFrame) -> DataFrame:
+    return cut_texts(texts.select(F.lit(None).cast("long"), F.lit(False), F.col(texts.columns[0]).cast("binary")))
 
-    return rows.mapInArrow(run, "kind tinyint, key long, doc_id long, tag int, n int, value double")
 
+def fit_words(training: DataFrame) -> tuple[Words, DataFrame]:
+    """The unigram model of a column of texts, and the answers to their words."""
+    chunks = _training(training)
+    return count_words(chunks, _sums(chunks))
 
-def _valued(found: DataFrame, words, pairs) -> DataFrame:
-    """``found`` with the score of every pair that was looked up as its value, and without the keys."""
-    names = ["doc_id", "tag", "kind", "n", "c"]
 
-    def run(batches):
-        own_words, own_pairs = words.value, pairs.value
+def fit_pairs(training: DataFrame, words: Words) -> tuple[Pairs, DataFrame]:
+    """The pair model of a column of texts, and the table (key, c) of all their pairs."""
+    chunks = _training(training)
+    sent = training.sparkSession.sparkContext.broadcast(words)
+    sums = _sums(chunks)
+    questions = ask_pairs(chunks, count_words(chunks, sums)[1], sent, sums[1])
+    schema = pa.schema([("key", pa.int64()), ("c", pa.int64())])
+
+    def counted(batches):
         for batch in batches:
-            kind, key, n, c = (batch.column(x).to_numpy() for x in ("kind", "key", "n", "c"))
-            value = batch.column("value").to_numpy().copy()
-            pair = kind == PAIR_KIND
-            value[pair] = n[pair] * own_pairs.log_pair(key[pair], c[pair], own_words)
-            upper = (kind == RARE_KIND) | (kind == HISTORY_KIND)
-            delta, alpha = (batch.column(x).to_numpy()[upper] for x in ("delta", "alpha"))
-            value[upper] = n[upper] * (delta - value[upper] * alpha)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in names), pa.array(value)], [*names, "value"]
-            )
+            for blob in blobs(batch.column(0)):
+                steps, n = unpacked(blob)
+                yield arrow_batch(schema, key=np.cumsum(steps), c=n)
 
-    return found.mapInArrow(run, "doc_id long, tag int, kind tinyint, n int, c long, value double")
+    counts = questions.select("lower").mapInArrow(counted, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return count_pairs(questions, words, sent)[0], counts
 
 
 def score_texts(
@@ -549,63 +682,27 @@ def score_texts(
 
     Texts whose id's crc32 has the held-out remainder do not train; a null id counts as the empty
     text and is held out. A null text is empty: one token, its end. ``base_score`` is the additive
-    unigram score, ``score`` the model's log10 probability of the text. Rows that agree in id and
-    text are scored together and returned as often as they came. With nothing to train on, every
-    token is the unseen event, of probability one. An empty table gives no rows.
+    unigram score, ``score`` the model's log10 probability of the text. With nothing to train on, every
+    token is the unseen event, of probability one. An empty table gives no rows. The rows are stored.
     """
     spark = docs.sparkSession
-    text = F.col(text_col)
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        (text_key(text) % (1 << 31)).cast("int").alias("tag"),
-        text.cast("binary").alias("text"),
-    )
-    rows = rows.withColumn("apart", id_remainder(F.col("doc_id"), held_out[0]) == held_out[1])
-    training = rows.filter(~F.col("apart")).select("text")
-    words, word_counts = fit_words(training)
-    pairs, pair_counts = fit_pairs(training, words)
-    after, upper = fit_rare_pairs(training, words, pairs, word_counts)
-    *sent, after = [spark.sparkContext.broadcast(x) for x in (words, pairs, after)]
-
-    lookups = _lookups(rows, *sent, after)
-    total = words.total
-    pair_total = F.lit(PAIR_SHARE * total)
-    rare = word_counts.filter(F.col("c") < KNOWN_SHARE * total).select(
-        F.lit(WORD_KIND).cast("tinyint").alias("kind"), "key", "c"
-    )
-    scarce = pair_counts.filter(F.col("c") < pair_total).select(
-        F.lit(PAIR_KIND).cast("tinyint").alias("kind"), "key", "c"
-    )
-    counted = rare.unionByName(scarce).unionByName(upper, allowMissingColumns=True)
-    numbers = {"c": "long", "delta": "double", "alpha": "double"}
-    found = lookups.join(counted, ["kind", "key"], "left").withColumns(
-        {name: F.coalesce(name, F.lit(0).cast(kind)) for name, kind in numbers.items()}
-    )
-    valued = _valued(found, *sent).repartition("doc_id", "tag")
-
-    factor = F.array(*[F.lit(float(x)) for x in words.discount])
-    factor = F.when(F.col("c") > CUTOFF, F.lit(1.0)).otherwise(F.get(factor, F.col("c").cast("int")))
-    chance = F.when(F.col("c") > 0, factor * F.col("c") * words.scale).otherwise(F.lit(words.unseen))
-    inside = F.col("n") * (F.log10(chance) - float(words.class_log[OTHER]))
-    base = F.col("n") * F.log10((F.col("c") + 0.1) / (total + 0.1 * (words.types + 1)))
-    kind = F.col("kind")
-    part = lambda name: F.when(kind == SUM_KINDS[name], F.col("value"))
-    word = lambda value: F.when(kind == WORD_KIND, value)
-    add = lambda *terms: F.sum(F.coalesce(*terms, F.lit(0.0)))
-    sums = valued.groupBy("doc_id", "tag").agg(
-        add(part("rows")).cast("int").alias("m"),
-        add(part("tokens")).alias("tokens"),
-        add(part("known"), word(F.when(F.col("c") > 0, F.col("n").cast("double")))).alias("known"),
-        add(part("base"), word(base)).alias("base"),
-        add(part("score"), word(inside), F.when(kind.isin(PAIR_KIND, RARE_KIND, HISTORY_KIND), F.col("value"))).alias("score"),
-    )
-    return sums.select(
-        F.explode(F.sequence(F.lit(1), F.col("m"))).alias("copy"),
-        "doc_id",
-        (id_remainder(F.col("doc_id"), held_out[0]) == held_out[1]).alias("held_out"),
-        (F.col("tokens") / F.col("m")).cast("long").alias("n_tokens"),
-        (F.col("known") / F.col("m")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("m")).alias("base_score"),
-        (F.col("score") / F.col("m")).alias("score"),
-    ).drop("copy")
+    context = spark.sparkContext
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    apart = id_remainder(F.col("doc_id"), held_out[0]) == held_out[1]
+    with scratch_scope(spark), shuffles_dropped(spark):
+        chunks = cut_texts(rows.select("doc_id", apart.alias("apart"), "text"))
+        sums = _sums(chunks)
+        words, word_answers = count_words(chunks, sums)
+        sent_words = context.broadcast(words)
+        with scratch_scope(spark):  # the questions go when they are answered
+            questions = ask_pairs(chunks, word_answers, sent_words, sums[1])
+            pairs, pair_answers = count_pairs(questions, words, sent_words)
+            sent_pairs = context.broadcast(pairs)
+            both = context.broadcast((words, pairs))
+            *upper, upper_answers = count_rare_pairs(questions, words, both)
+        told = chunks.select("chunk", "kind", "bucket", "blob")
+        for answers in (word_answers, pair_answers, upper_answers):
+            told = told.unionByName(answers)
+        scores = _scores(told, sums[1], sent_words, sent_pairs, context.broadcast(upper))
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return materialize(scores.withColumn("train_tokens", F.lit(words.total).cast("long")).select(*names), "scores", keep=True)

@@ -4,7 +4,9 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -20,6 +22,7 @@ from logsift.llm import (
     golay_dedup,
     katz,
     mixing,
+    packing,
     pii,
     prefix_forest,
     rans,
@@ -27,6 +30,7 @@ from logsift.llm import (
     toxicity_fm,
 )
 from logsift.llm.components import components
+from logsift.sources import scratch
 from logsift.sources.scratch import scratch_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -615,6 +619,65 @@ def test_katz_scores_pairs_of_rare_words(spark, monkeypatch, known):
     assert {r.doc_id: r.score for r in katz.score_texts(df).collect()} == pytest.approx(expected, rel=1e-9)
 
 
+def test_katz_chunks_agree(spark, monkeypatch):
+    """Scores do not depend on how texts are cut into chunks and their words and pairs into buckets."""
+    monkeypatch.setattr(katz, "VOCABULARY_SHARE", 0.02)
+    texts = [*random_texts(70, 6), *odd_texts(), *[" ".join(f"r{i % 9}" for i in range(k, k + 7)) for k in range(30)]]
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, "w1 r1 r2", None, None, None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = []
+    for tasks, chunk, bucket in ((1, 10**6, 10**6), (3, 40, 10**6), (2, 150, 17)):
+        monkeypatch.setattr(katz, "CHUNK", chunk)
+        monkeypatch.setattr(katz, "BUCKET", bucket)
+        found.append(sorted(map(tuple, katz.score_texts(df.repartition(tasks)).collect()), key=repr))
+        assert len(found[-1]) == len(rows)
+        for one, other in zip(found[0], found[-1], strict=True):
+            assert one[:5] == other[:5] and one[5:] == pytest.approx(other[5:], rel=1e-9)
+
+
+def test_katz_disk(spark, tmp_path, monkeypatch):
+    """Pairs are not rows on disk, and a shuffle's files go with its query."""
+    rng = np.random.default_rng(0)
+    vocabulary = np.array([f"word{i}" for i in range(8000)])
+    texts = [" ".join(vocabulary[(8000 * rng.random(150) ** 3).astype(int)]) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS).repartition(4)
+    monkeypatch.setattr(katz, "VOCABULARY_SHARE", 2e-3)
+    monkeypatch.setattr(scratch, "scratch_dir", lambda _: str(tmp_path))
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def used():
+        shuffled = [f for f in manager.getAllFiles().mkString("\n").split("\n") if re.search(r"/shuffle_\d+_", f)]
+        return sum(Path(f).stat().st_size for f in [*shuffled, *tmp_path.rglob("*.parquet")] if Path(f).is_file())
+
+    spark._jvm.System.gc()  # what other tests have left
+    time.sleep(2)
+    most, begun, write = [], used(), katz.materialize
+
+    def watched(*args, **options):
+        stored = write(*args, **options)
+        most.append(used() - begun)
+        return stored
+
+    monkeypatch.setattr(katz, "materialize", watched)
+    katz.score_texts(df).write.parquet(f"{tmp_path}/out")
+    most.append(used() - begun)
+    assert max(most) < 2 * sum(map(len, texts))
+
+
+def test_packed_arrays_round_trip():
+    rng = np.random.default_rng(1)
+    arrays = [np.zeros(0, np.int64), np.array([0]), rng.integers(0, 300, 1000), rng.integers(-(2**63), 2**63 - 1, 50)]
+    blob = packing.packed(*arrays, np.array([True, False]), np.array([-1.5, np.inf, 1e-300]))
+    *got, flags, floats = packing.unpacked(blob)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, got, strict=True))
+    assert flags.tolist() == [1, 0] and floats.view(np.float64).tolist() == [-1.5, np.inf, 1e-300]
+    steps = packing.gaps(np.array([3, 3, 2**62]))
+    assert np.cumsum(steps).tolist() == [3, 3, 2**62] and not len(packing.gaps(np.zeros(0, np.int64)))
+    assert [x.tolist() for x in packing.joined([packing.packed(steps, [1]), packing.packed([5], [])], 2)] == [[*steps, 5], [1]]
+    assert [x.tolist() for x in packing.joined([], 2)] == [[], []]
+
+
 # -- 10: personal data --------------------------------------------------------------------------------------
 
 KINDS = {
